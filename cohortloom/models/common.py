@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
 from cohortloom.functions.rowwise import named
@@ -71,8 +72,8 @@ def map_rows(df: DataFrame, features: Sequence[str], step: Callable[[np.ndarray]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, made], names=[*batch.schema.names[:-1], "_y"])
 
-    schema = df.select(*[named(c) for c in kept]).schema
-    schema = type(schema)(list(schema.fields)).add("_y", "array<double>")
+    fields = df.select(*[named(c) for c in kept]).schema.fields
+    schema = StructType([*fields, StructField("_y", ArrayType(DoubleType()))])
     made = fed.mapInArrow(run, schema)
     return made.select(*[named(c) for c in kept], *[F.col("_y")[i].alias(n) for i, n in enumerate(names)])
 
