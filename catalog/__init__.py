@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """(queries, sql) of every module in this package."""
-    from catalog import modelling, relational, scalars, tables  # noqa: F401
+    from catalog import modelling, relational, reports, scalars, tables  # noqa: F401
     from catalog.registry import QUERIES, SQL
 
     return QUERIES, SQL

@@ -176,14 +176,14 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("o_custkey").agg(
         *[F.max((F.col(c) == v).cast("int")).alias(f) for f, (c, v) in FLAG_RULES.items()],
         F.count("*").alias("n_orders"),
-        F.round(F.avg("o_totalprice"), 2).alias("price"),
+        F.max("o_totalprice").alias("price"),
     )
 
 
 FLAGS_SQL = (
     "flags AS (SELECT o_custkey, "
     + ", ".join(f"max(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END) AS {f}" for f, (c, v) in FLAG_RULES.items())
-    + ", count(*) AS n_orders, round(avg(o_totalprice), 2) AS price FROM orders GROUP BY o_custkey)"
+    + ", count(*) AS n_orders, max(o_totalprice) AS price FROM orders GROUP BY o_custkey)"
 )
 
 

@@ -256,13 +256,13 @@ def _(spark, d):
     "ag9_flag_positive_profile",
     f"WITH {FLAGS_SQL} "
     + " UNION ALL ".join(
-        f"SELECT '{f}' AS flag, count(*) AS n, {r('avg(price)', 4)} AS price, {r('avg(n_orders)', 4)} AS n_orders "
+        f"SELECT '{f}' AS flag, count(*) AS n, {r('avg(price)')} AS price, {r('avg(n_orders)')} AS n_orders "
         f"FROM flags WHERE {f} = 1 HAVING count(*) >= 3"
         for f in FLAGS
     ),
 )
 def _(spark, d):
-    return rounded(ag.flag_positive_means(fr.flags(spark, d), FLAGS, ["price", "n_orders"], 3), 4)
+    return rounded(ag.flag_positive_means(fr.flags(spark, d), FLAGS, ["price", "n_orders"], 3))
 
 
 @query(

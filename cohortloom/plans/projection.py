@@ -43,8 +43,13 @@ def class_scores(
     return project_classes(scored, class_weights, "DX", topics, names)
 
 
-def class_score_tests(scored: DataFrame, combination: str = "copath", prefix: str = "ND_") -> DataFrame:
-    """Significant paired differences of class scores within combinations."""
+def class_score_tests(
+    scored: DataFrame, combination: str = "copath", prefix: str = "ND_", significant: bool = True
+) -> DataFrame:
+    """Paired differences of class scores within combinations, adjusted.
+
+    Only significant ones with their star code unless asked for all.
+    """
     names = [c for c in scored.columns if c.startswith(prefix)]
-    tests = paired_tests(scored, combination, names)
-    return significant_only(adjust_bh(tests, [combination], ["first", "second"]))
+    tests = adjust_bh(paired_tests(scored, combination, names), [combination], ["first", "second"])
+    return significant_only(tests) if significant else tests
