@@ -27,10 +27,10 @@ def q(name: str) -> str:
 # --- cohort: one row per vector, class D0..D9, D0 is the reference -------------
 def cohort(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select(
-        F.col("vec_id").alias("id"),
-        F.concat(F.lit("D"), F.col("label").cast("string")).alias("DX"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(FEATURES)],
+    return e.selectExpr(
+        "vec_id AS id",
+        "concat('D', label) AS DX",
+        *[f"CAST(get(embedding, {i}) AS DOUBLE) AS `{f}`" for i, f in enumerate(FEATURES)],
     )
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from cohortloom.functions.rowwise import named
+from cohortloom.functions.rowwise import double_of, quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,11 +28,11 @@ def query(name: str, sql: str | None = None):
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Floating columns rounded, so two engines' last bits do not matter."""
     floating = (DoubleType, FloatType)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(named(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name)
+            f"round({double_of(f.name)}, {digits}) + 0D AS {quoted(f.name)}"
             if isinstance(f.dataType, floating)
-            else named(f.name)
+            else quoted(f.name)
             for f in df.schema.fields
         ]
     )

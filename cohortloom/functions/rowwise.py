@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -10,8 +11,31 @@ from pyspark.sql import functions as F
 
 def named(name: str, table: str | None = None) -> Column:
     """Column by literal name, safe for ``/``, ``(``, ``)`` and ``.``."""
-    quoted = "`" + name.replace("`", "``") + "`"
-    return F.col(f"{table}.{quoted}" if table else quoted)
+    return F.col(f"{table}.{quoted(name)}" if table else quoted(name))
+
+
+def quoted(name: str) -> str:
+    """SQL text of a column name.
+
+    Wide feature blocks are written as SQL text: one expression per column
+    costs one call to the JVM instead of one per operator.
+    """
+    return "`" + name.replace("`", "``") + "`"
+
+
+def double_of(name: str) -> str:
+    return f"CAST({quoted(name)} AS DOUBLE)"
+
+
+def number(value: float) -> str:
+    """SQL text of a double, exact to the last bit."""
+    value = float(value)
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+
+
+def clipped(value: str) -> str:
+    """SQL text of ``max(value, 0)``: null stays null and NaN stays NaN."""
+    return f"CASE WHEN {value} <= 0D THEN 0D ELSE {value} END"
 
 
 def nan_to_null(column: Column) -> Column:
@@ -21,7 +45,8 @@ def nan_to_null(column: Column) -> Column:
 def lower_bound_zero(column: Column, flip: bool = False) -> Column:
     """``max(x, 0)`` or ``max(-x, 0)``; null stays null and NaN stays NaN."""
     value = -column if flip else column
-    return F.when(column.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(value, F.lit(0.0)))
+    # NaN compares as larger than any number, so it takes the second branch
+    return F.when(value <= 0.0, F.lit(0.0)).otherwise(value)
 
 
 def invert(column: Column, ceiling: float) -> Column:
@@ -59,10 +84,7 @@ def winner_flags(names: Sequence[str], suffix: str = "_winner") -> dict[str, Col
 
 def row_total(names: Sequence[str]) -> Column:
     """Sum of a column family; missing values count as zero."""
-    total = F.lit(0.0)
-    for n in names:
-        total = total + F.coalesce(nan_to_null(named(n).cast("double")), F.lit(0.0))
-    return total
+    return F.expr(" + ".join(f"coalesce(nanvl({double_of(n)}, 0D), 0D)" for n in names) or "0D")
 
 
 def names_lacking(names: Sequence[str], text: str) -> list[str]:
@@ -72,10 +94,8 @@ def names_lacking(names: Sequence[str], text: str) -> list[str]:
 
 def row_shares(names: Sequence[str], scale: float = 1.0) -> dict[str, Column]:
     """Every column divided by the row sum, times ``scale``."""
-    total = F.lit(0.0)
-    for n in names:
-        total = total + named(n).cast("double")
-    return {n: F.try_divide(named(n).cast("double"), total) * F.lit(float(scale)) for n in names}
+    total = " + ".join(double_of(n) for n in names)
+    return {n: F.expr(f"try_divide({double_of(n)}, {total}) * {number(scale)}") for n in names}
 
 
 def tidy_text(column: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import named
+from cohortloom.functions.rowwise import quoted
 
 
 @dataclass(frozen=True)
@@ -69,12 +69,10 @@ def code_columns() -> list[str]:
     return list(dict.fromkeys(seen))
 
 
-def any_code(codes: Sequence[str], values: Sequence[int]) -> Column:
-    """True when any code column holds one of the values; null counts as no."""
-    hit = F.lit(False)
-    for code in codes:
-        hit = hit | F.coalesce(named(code).isin(*values), F.lit(False))
-    return hit
+def any_code(codes: Sequence[str], values: Sequence[int]) -> str:
+    """SQL text: any code column holds one of the values; null is no."""
+    listed = ", ".join(str(v) for v in values)
+    return "(" + " OR ".join(f"coalesce({quoted(c)} IN ({listed}), false)" for c in codes) + ")"
 
 
 def clinical_flags(fill_zero: bool = False) -> dict[str, Column]:
@@ -83,29 +81,25 @@ def clinical_flags(fill_zero: bool = False) -> dict[str, Column]:
     The two-way subtype sets only one of its flags for codes 1 and 2 and
     leaves the other missing; ``fill_zero`` writes 0 there instead.
     """
-    demented = F.coalesce(named(STAGE_COLUMN) == DEMENTED, F.lit(False))
+    stage = quoted(STAGE_COLUMN)
+    demented = f"coalesce({stage} = {DEMENTED}, false)"
 
-    def condition(rule: FlagRule) -> Column:
+    def condition(rule: FlagRule) -> str:
         met = any_code(rule.codes, rule.values)
-        return met & demented if rule.staged else met
-
-    flags = {
-        flag: F.coalesce((named(STAGE_COLUMN) == code).cast("int"), F.lit(0)) for flag, code in STAGE_FLAGS
-    }
-    caused = F.lit(False)
-    for rule in CAUSE_RULES:
-        flags[rule.flag] = condition(rule).cast("int")
-    subtype = named(SUBTYPE_COLUMN)
+        return f"({met} AND {demented})" if rule.staged else met
+
+    texts = {flag: f"coalesce({stage} = {code}, false)" for flag, code in STAGE_FLAGS}
+    texts |= {rule.flag: condition(rule) for rule in CAUSE_RULES}
+    flags = {flag: F.expr(f"CAST({text} AS INT)") for flag, text in texts.items()}
+    subtype = quoted(SUBTYPE_COLUMN)
     for flag, code in SUBTYPE_FLAGS:
-        others = [c for _, c in SUBTYPE_FLAGS if c != code]
-        missing = F.lit(0) if fill_zero else F.lit(None).cast("int")
-        flags[flag] = F.when(subtype == code, 1).when(subtype.isin(*others), missing).otherwise(0)
-    for rule in LATER_RULES:
-        flags[rule.flag] = condition(rule).cast("int")
-    for rule in CAUSE_RULES + LATER_RULES:
-        if rule.cause:
-            caused = caused | condition(rule)
-    flags[FALLBACK_FLAG] = (demented & (~caused | any_code(FALLBACK_CODES, (1, 2)))).cast("int")
+        others = ", ".join(str(c) for _, c in SUBTYPE_FLAGS if c != code)
+        missing = "0" if fill_zero else "NULL"
+        flags[flag] = F.expr(f"CASE WHEN {subtype} = {code} THEN 1 WHEN {subtype} IN ({others}) THEN {missing} ELSE 0 END")
+    flags |= {rule.flag: F.expr(f"CAST({condition(rule)} AS INT)") for rule in LATER_RULES}
+    caused = " OR ".join(any_code(rule.codes, rule.values) for rule in CAUSE_RULES + LATER_RULES if rule.cause)
+    other = any_code(FALLBACK_CODES, (1, 2))
+    flags[FALLBACK_FLAG] = F.expr(f"CAST({demented} AND (NOT ({caused}) OR {other}) AS INT)")
     return flags
 
 

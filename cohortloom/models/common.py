@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
-from cohortloom.functions.rowwise import named
+from cohortloom.functions.rowwise import named, quoted
 from cohortloom.operators.columns import feature_vector
 
 
-def matrix_input(df: DataFrame, features: Sequence[str], clip: bool = True) -> DataFrame:
+def matrix_input(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Only the feature block, as one array column ``x``."""
-    return df.select(feature_vector(features, clip).alias("x"))
+    return df.select(feature_vector(features, clip=False).alias("x"))
 
 
 def cached(df: DataFrame) -> DataFrame:
@@ -53,8 +53,9 @@ def sum_over_rows(
     return out
 
 
-def map_rows(df: DataFrame, features: Sequence[str], step: Callable[[np.ndarray], np.ndarray], names: Sequence[str],
-             clip: bool = True) -> DataFrame:
+def map_rows(
+    df: DataFrame, features: Sequence[str], step: Callable[[np.ndarray], np.ndarray], names: Sequence[str]
+) -> DataFrame:
     """Add columns ``names`` computed per row from the feature block.
 
     No shuffle; the other columns pass through.
@@ -62,7 +63,7 @@ def map_rows(df: DataFrame, features: Sequence[str], step: Callable[[np.ndarray]
     from cohortloom.models.kernels import as_list_column, batch_matrix
 
     kept = [c for c in df.columns if c not in names]
-    fed = df.select(*[named(c) for c in kept], feature_vector(features, clip).alias("_x"))
+    fed = df.select(*[named(c) for c in kept], feature_vector(features, clip=False).alias("_x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +76,7 @@ def map_rows(df: DataFrame, features: Sequence[str], step: Callable[[np.ndarray]
     fields = df.select(*[named(c) for c in kept]).schema.fields
     schema = StructType([*fields, StructField("_y", ArrayType(DoubleType()))])
     made = fed.mapInArrow(run, schema)
-    return made.select(*[named(c) for c in kept], *[F.col("_y")[i].alias(n) for i, n in enumerate(names)])
+    return made.selectExpr(*[quoted(c) for c in kept], *[f"_y[{i}] AS {quoted(n)}" for i, n in enumerate(names)])
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:

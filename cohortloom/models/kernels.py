@@ -15,10 +15,11 @@ EPS = np.finfo(np.float64).eps
 
 
 def batch_matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """An array<double> column as a dense matrix, without a Python loop."""
+    """An array<double> column as a dense matrix, negatives clipped at 0."""
     values = batch.column(batch.schema.get_field_index(column))
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(values), -1) if len(values) else np.zeros((0, 0))
+    # missing entries arrive as NaN, which the clip keeps
+    return np.maximum(flat, 0.0).reshape(len(values), -1) if len(values) else np.zeros((0, 0))
 
 
 def as_list_column(matrix: np.ndarray) -> pa.Array:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import named, nan_to_null
+from cohortloom.functions.rowwise import double_of, named, nan_to_null, quoted
+from cohortloom.operators.columns import feature_vector, long_features, name_array
 from cohortloom.operators.spread import exact_quantiles
 from cohortloom.runtime import join_small
 
@@ -27,13 +28,11 @@ def with_group(df: DataFrame, group: Sequence[str] | str) -> tuple[list[str], Da
 def group_means_long(df: DataFrame, group: Sequence[str] | str, names: Sequence[str]) -> DataFrame:
     """(group, pos, feature, mean): one row per group and column."""
     groups, kept = with_group(df, group)
-    values = F.array(*[nan_to_null(named(n).cast("double")) for n in names])
-    labels = F.array(*[F.lit(n) for n in names])
     return (
-        kept.select(*[named(g) for g in groups], F.posexplode(values).alias("pos", "value"))
+        long_features(kept, groups, names)
         .groupBy(*[named(g) for g in groups], "pos")
-        .agg(F.avg("value").alias("mean"))
-        .withColumn("feature", F.get(labels, F.col("pos")))
+        .agg(F.avg(nan_to_null(F.col("value"))).alias("mean"))
+        .withColumn("feature", F.get(name_array(names), F.col("pos")))
     )
 
 
@@ -42,14 +41,15 @@ def group_means(df: DataFrame, group: Sequence[str] | str, names: Sequence[str])
     groups, kept = with_group(df, group)
     if len(names) <= WIDE_AGGREGATE_COLUMNS:
         return kept.groupBy(*[named(g) for g in groups]).agg(
-            *[F.avg(nan_to_null(named(n).cast("double"))).alias(n) for n in names]
+            *[F.expr(f"avg(nanvl({double_of(n)}, NULL))").alias(n) for n in names]
         )
     long = group_means_long(df, groups, names)
-    by_pos = F.map_from_entries(F.collect_list(F.struct("pos", "mean")))
+    # at most one entry per feature in each list
+    by_pos = F.array_sort(F.collect_list(F.struct("pos", "mean")))
     return (
         long.groupBy(*[named(g) for g in groups])
         .agg(by_pos.alias("_m"))
-        .select(*[named(g) for g in groups], *[F.col("_m")[i].alias(n) for i, n in enumerate(names)])
+        .selectExpr(*[quoted(g) for g in groups], *[f"_m[{i}].mean AS {quoted(n)}" for i, n in enumerate(names)])
     )
 
 
@@ -98,7 +98,7 @@ def shared_peak(df: DataFrame, group: Sequence[str] | str, names: Sequence[str])
 
 def family_range(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Smallest and largest value over a column family, missing skipped."""
-    values = F.array(*[nan_to_null(named(n).cast("double")) for n in names])
+    values = F.transform(feature_vector(names, clip=False), nan_to_null)
     return df.select(F.array_min(values).alias("_lo"), F.array_max(values).alias("_hi")).agg(
         F.min("_lo").alias("low"), F.max("_hi").alias("high")
     )
@@ -120,8 +120,7 @@ def flag_positive_means(df: DataFrame, flags: Sequence[str], names: Sequence[str
 
 def contrast_to_others(means: DataFrame, group: str, target: str, names: Sequence[str]) -> DataFrame:
     """Target's mean minus the plain mean of the other groups' means."""
-    values = F.array(*[named(n) for n in names])
-    labels = F.array(*[F.lit(n) for n in names])
+    values, labels = feature_vector(names, clip=False), name_array(names)
     is_target = named(group).cast("string") == target
     return (
         means.select(named(group), F.posexplode(values).alias("pos", "mean"))
@@ -134,13 +133,11 @@ def contrast_to_others(means: DataFrame, group: str, target: str, names: Sequenc
 
 def coefficient_importance(coefficients: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean absolute coefficient per feature over all classes, largest first."""
-    values = F.array(*[F.abs(named(n).cast("double")) for n in names])
-    labels = F.array(*[F.lit(n) for n in names])
     return (
-        coefficients.select(F.posexplode(values).alias("pos", "value"))
+        long_features(coefficients, [], names)
         .groupBy("pos")
-        .agg(F.avg("value").alias("importance"))
-        .select(F.get(labels, F.col("pos")).alias("feature"), "importance")
+        .agg(F.avg(F.abs("value")).alias("importance"))
+        .select(F.get(name_array(names), F.col("pos")).alias("feature"), "importance")
         .orderBy(F.desc("importance"), "feature")
     )
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import lower_bound_zero, named, nan_to_null
-from cohortloom.operators.columns import long_features
+from cohortloom.functions.rowwise import clipped, double_of, lower_bound_zero, named, nan_to_null, number, quoted
+from cohortloom.operators.columns import long_features, name_array
 from cohortloom.runtime import bounded_rows, join_small
 
 # Added to the population standard deviation (fixed value).
@@ -26,7 +26,7 @@ def baseline_table(
     NaN, as a plain mean over it would be; ``'skip'`` ignores such values.
     """
     long = long_features(reference, by, names)
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = name_array(names)
     value = nan_to_null(F.col("value"))
     table = long.groupBy(*[named(b) for b in by], "pos").agg(
         F.avg(value).alias("mean"),
@@ -61,18 +61,23 @@ class Baseline:
 
     def columns(self, clip: bool = True, source: Mapping[str, str] | None = None) -> dict:
         """Score expression per feature: ``max(-(x-m)/s, 0)`` or signed z."""
+        return {name: F.expr(text) for name, text in self._texts(clip, source).items()}
+
+    def _texts(self, clip: bool, source: Mapping[str, str] | None) -> dict[str, str]:
         out = {}
         for name, mean, std in zip(self.features, self.means, self.stds):
-            x = named((source or {}).get(name, name)).cast("double")
-            z = (x - F.lit(mean)) / F.lit(std)
-            out[name] = lower_bound_zero(z, flip=True) if clip else z
+            x = double_of((source or {}).get(name, name))
+            if clip:
+                out[name] = clipped(f"(({number(mean)} - {x}) / {number(std)})")
+            else:
+                out[name] = f"({x} - {number(mean)}) / {number(std)}"
         return out
 
     def apply(self, df: DataFrame, clip: bool = True, source: Mapping[str, str] | None = None) -> DataFrame:
         """Replace the feature block by scores in one projection."""
-        scores = self.columns(clip, source)
-        kept = [named(c) for c in df.columns if c not in scores]
-        return df.select(*kept, *[v.alias(n) for n, v in scores.items()])
+        scores = self._texts(clip, source)
+        kept = [quoted(c) for c in df.columns if c not in scores]
+        return df.selectExpr(*kept, *[f"{text} AS {quoted(n)}" for n, text in scores.items()])
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, f, m, s) for i, (f, m, s) in enumerate(zip(self.features, self.means, self.stds))]
@@ -107,14 +112,16 @@ class CohortBaselines:
         joined = join_small(df, self.arrays, [self.cohort])
         scores = []
         for i, n in enumerate(self.features):
-            z = (named(n).cast("double") - F.col("_means")[i]) / F.col("_stds")[i]
-            scores.append((lower_bound_zero(z, flip=True) if clip else z).alias(n))
-        return joined.select(*[named(c) for c in df.columns if c not in self.features], *scores)
+            z = f"(({double_of(n)} - _means[{i}]) / _stds[{i}])"
+            scores.append(f"{clipped('(-' + z + ')') if clip else z} AS {quoted(n)}")
+        return joined.selectExpr(*[quoted(c) for c in df.columns if c not in self.features], *scores)
 
 
 def clip_scores(df: DataFrame, names: Sequence[str], flip: bool = False) -> DataFrame:
     """Clip ready-made scores at 0, after a sign change when asked."""
-    return df.withColumns({n: lower_bound_zero(named(n).cast("double"), flip) for n in names})
+    sign = "-" if flip else ""
+    scores = {n: f"{clipped(sign + double_of(n))} AS {quoted(n)}" for n in names}
+    return df.selectExpr(*[scores.get(c, quoted(c)) for c in df.columns])
 
 
 def score_long(
@@ -142,7 +149,7 @@ def group_maps(
     ``clip`` gives clipped scores; otherwise signed, with ``flip`` the sign
     turned so that loss is positive.
     """
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = name_array(names)
     long = score_long(df.filter(named(label).isNotNull()), [label], names, table, clip)
     mean = F.avg("score")
     if not clip and flip:

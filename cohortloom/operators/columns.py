@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import lower_bound_zero, named
+from cohortloom.functions.rowwise import double_of, lower_bound_zero, named, quoted
 from cohortloom.operators.spread import sorted_position
 
 
@@ -34,7 +34,7 @@ def pick(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def rename_by(df: DataFrame, rule: Mapping[str, str] | Callable[[str], str]) -> DataFrame:
     """Rename by dictionary or by a function of the name."""
     new = (lambda c: rule.get(c, c)) if isinstance(rule, Mapping) else rule
-    return df.select(*[named(c).alias(new(c)) for c in df.columns])
+    return df.selectExpr(*[f"{quoted(c)} AS {quoted(new(c))}" for c in df.columns])
 
 
 def suffix_family(df: DataFrame, prefix: str, suffix: str) -> DataFrame:
@@ -66,8 +66,8 @@ def text_key(column: Column) -> Column:
 
 def feature_vector(names: Sequence[str], clip: bool = True) -> Column:
     """The feature block as one array column, negatives clipped at 0."""
-    columns = [named(n).cast("double") for n in names]
-    return F.array(*[lower_bound_zero(c) if clip else c for c in columns])
+    block = F.expr("array(" + ", ".join(double_of(n) for n in names) + ")")
+    return F.transform(block, lower_bound_zero) if clip else block
 
 
 def long_features(df: DataFrame, keep: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -77,6 +77,11 @@ def long_features(df: DataFrame, keep: Sequence[str], names: Sequence[str]) -> D
     )
 
 
+def name_array(names: Sequence[str]) -> Column:
+    """The feature names as one literal, to turn a place into its name."""
+    return F.lit(list(names))
+
+
 def labels_of(df: DataFrame, label: str, ids: Sequence[str]) -> DataFrame:
     return df.select(*[named(i) for i in ids], named(label).cast("string").alias("label"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions.rowwise import named
+from cohortloom.operators.columns import long_features, name_array
 from cohortloom.runtime import join_small
 
 
@@ -47,10 +48,9 @@ def drop_incomplete(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
 
 def missing_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per feature with the number of null or NaN values."""
-    values = F.array(*[named(n).cast("double") for n in names])
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = name_array(names)
     return (
-        df.select(F.posexplode(values).alias("pos", "value"))
+        long_features(df, [], names)
         .groupBy("pos")
         .agg(F.count_if(F.col("value").isNull() | F.isnan("value")).alias("n_missing"))
         .select(F.get(labels, F.col("pos")).alias("feature"), "n_missing")

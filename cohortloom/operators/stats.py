@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from cohortloom.functions.rowwise import named, nan_to_null, stars
 from cohortloom.functions.tails import t_two_sided
 from cohortloom.operators.aggregates import with_group
+from cohortloom.operators.columns import feature_vector, name_array
 
 
 def pearson_with_target(df: DataFrame, names: Sequence[str], target: str, group: Sequence[str] = ()) -> DataFrame:
     """(group, feature, n, r, p) of every column against the target."""
-    values = F.array(*[nan_to_null(named(n).cast("double")) for n in names])
-    labels = F.array(*[F.lit(n) for n in names])
+    values = F.transform(feature_vector(names, clip=False), nan_to_null)
+    labels = name_array(names)
     y = nan_to_null(named(target).cast("double"))
     pairs = (
         df.select(*[named(g) for g in group], y.alias("_y"), F.posexplode(values).alias("pos", "_x"))

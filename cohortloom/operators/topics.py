@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import named
+from cohortloom.functions.rowwise import double_of, named, number
 from cohortloom.operators.aggregates import group_means
 from cohortloom.operators.ranking import top_per_group
 from cohortloom.runtime import join_small
@@ -58,12 +58,15 @@ def weighted_top_scores(
     """
     rows = top_per_group(patterns, "topic", "weight", "pos", n).orderBy("topic", "rank").collect()
     have = set(df.columns)
-    sums: dict[int, Column] = {}
+    sums: dict[int, list[str]] = {}
     for r in rows:
         column = r["feature"] + score_suffix
-        term = named(column) * F.lit(r["weight"]) if column in have else F.lit(0.0)
-        sums[r["topic"]] = sums[r["topic"]] + term if r["topic"] in sums else term
-    return df.withColumns({out.format(topic=f"Topic_{k}"): v for k, v in sorted(sums.items())})
+        terms = sums.setdefault(r["topic"], [])
+        if column in have:
+            terms.append(f"{double_of(column)} * {number(r['weight'])}")
+    return df.withColumns(
+        {out.format(topic=f"Topic_{k}"): F.expr(" + ".join(v) or "0D") for k, v in sorted(sums.items())}
+    )
 
 
 def class_weights_frame(spark: SparkSession, weights: Mapping[str, Mapping[int, float]], n_topics: int) -> DataFrame:
@@ -92,10 +95,8 @@ def project_classes(
     """
     added = {}
     for r in weights.orderBy(named(label)).collect():
-        total = F.lit(0.0)
-        for t, s in zip(topics, scores):
-            total = total + named(s) * F.lit(float(r[t]))
-        added[f"{prefix}{r[label]}"] = total
+        terms = [f"{double_of(s)} * {number(r[t])}" for t, s in zip(topics, scores)]
+        added[f"{prefix}{r[label]}"] = F.expr(" + ".join(terms))
     return df.withColumns(added)
 
 
@@ -114,12 +115,9 @@ def reconstruct_groups(
     )
 
 
-def mixture(matrix: Sequence[Sequence[float]], topics: Sequence[int], weights: Sequence[str], pos: int) -> Column:
-    """``sum_k w_k * H[k, pos]`` over the chosen topics."""
-    total = F.lit(0.0)
-    for k in topics:
-        total = total + named(weights[k]) * F.lit(float(matrix[k][pos]))
-    return total
+def mixture(matrix: Sequence[Sequence[float]], topics: Sequence[int], weights: Sequence[str], pos: int) -> str:
+    """SQL text of ``sum_k w_k * H[k, pos]`` over the chosen topics."""
+    return "(" + (" + ".join(f"{double_of(weights[k])} * {number(matrix[k][pos])}" for k in topics) or "0D") + ")"
 
 
 def partial_reconstruction(
@@ -134,7 +132,7 @@ def partial_reconstruction(
     built = {}
     for r, f in enumerate(features):
         value = mixture(matrix, topics, weights, r)
-        built[f] = F.lit(float(ceiling)) - value if ceiling is not None else value
+        built[f] = F.expr(f"{number(ceiling)} - {value}" if ceiling is not None else value)
     return df.withColumns(built)
 
 
@@ -147,11 +145,11 @@ def reweighted_features(
     out: Sequence[str],
 ) -> DataFrame:
     """Features times the rebuilt values over their row mean."""
-    built = df.withColumn("_r", F.array(*[mixture(matrix, topics, weights, r) for r in range(len(features))]))
+    built = df.withColumn("_r", F.expr(f"array({', '.join(mixture(matrix, topics, weights, r) for r in range(len(features)))})"))
     mean = F.aggregate("_r", F.lit(0.0), lambda a, v: a + v) / F.lit(float(len(features))) + F.lit(1e-8)
     built = built.withColumn("_m", mean)
     return built.withColumns(
-        {o: named(f) * (F.get("_r", F.lit(r)) / F.col("_m")) for r, (f, o) in enumerate(zip(features, out))}
+        {o: F.expr(f"{double_of(f)} * (_r[{r}] / _m)") for r, (f, o) in enumerate(zip(features, out))}
     ).drop("_r", "_m")
 
 
@@ -165,7 +163,10 @@ def topic_masked_features(
 ) -> DataFrame:
     """Features times their own weighted sum of chosen normalised patterns."""
     return df.withColumns(
-        {o: named(f) * mixture(matrix, topics, weights, r) for r, (f, o) in enumerate(zip(features, out))}
+        {
+            o: F.expr(f"{double_of(f)} * {mixture(matrix, topics, weights, r)}")
+            for r, (f, o) in enumerate(zip(features, out))
+        }
     )
 
 
@@ -183,7 +184,7 @@ def loss_and_expected(
     """Rebuilt score in raw units, and the reference mean less that loss."""
     added = {}
     for r in range(len(features)):
-        lost = mixture(matrix, topics, weights, r) * F.lit(float(stds[r]))
-        added[loss[r]] = lost
-        added[expected[r]] = F.lit(float(means[r])) - lost
+        lost = f"{mixture(matrix, topics, weights, r)} * {number(stds[r])}"
+        added[loss[r]] = F.expr(lost)
+        added[expected[r]] = F.expr(f"{number(means[r])} - {lost}")
     return df.withColumns(added)
