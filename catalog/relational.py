@@ -368,18 +368,18 @@ def _(spark, d):
 COMBINED = (
     FLAGS_SQL + ", combined AS (SELECT o_custkey, price, nullif(concat_ws('+', "
     + ", ".join(f"CASE WHEN {f} = 1 THEN '{f}' END" for f in FLAGS)
-    + "), '') AS copath FROM flags)"
+    + "), '') AS combination FROM flags)"
 )
 
 
 @query(
     "ag18_combination_counts",
-    f"WITH {COMBINED} SELECT copath, count(*) AS n FROM combined WHERE copath IS NOT NULL GROUP BY copath",
+    f"WITH {COMBINED} SELECT combination, count(*) AS n FROM combined WHERE combination IS NOT NULL GROUP BY combination",
 )
 def _(spark, d):
     from cohortloom.plans.clinical import with_combination
 
-    return ag.combination_counts(with_combination(fr.flags(spark, d), FLAGS), "copath")
+    return ag.combination_counts(with_combination(fr.flags(spark, d), FLAGS), "combination")
 
 
 # ---- rankings, samples, folds ------------------------------------------------------------

@@ -118,14 +118,14 @@ def _(spark, d):
 
 @query(
     "fd2_combination_profiles",
-    f"WITH {COMBINED}, c AS (SELECT replace(copath, 'FTD_ANY', 'FTD') AS copath, "
-    "CAST(len(string_split(copath, '+')) AS INTEGER) AS copath_counts, price FROM combined WHERE copath IS NOT NULL), "
-    "g AS (SELECT copath, copath_counts, count(*) AS n, 'price' AS feature, avg(price) AS mean FROM c GROUP BY 1, 2) "
-    f"SELECT copath, copath_counts, n, feature, {r('mean')} AS mean, {r('max(mean) OVER () * 1.1')} AS y_max FROM g",
+    f"WITH {COMBINED}, c AS (SELECT replace(combination, 'FTD_ANY', 'FTD') AS combination, "
+    "CAST(len(string_split(combination, '+')) AS INTEGER) AS n_labels, price FROM combined WHERE combination IS NOT NULL), "
+    "g AS (SELECT combination, n_labels, count(*) AS n, 'price' AS feature, avg(price) AS mean FROM c GROUP BY 1, 2) "
+    f"SELECT combination, n_labels, n, feature, {r('mean')} AS mean, {r('max(mean) OVER () * 1.1')} AS y_max FROM g",
 )
 def _(spark, d):
     combined = with_combination(fr.flags(spark, d), FLAGS)
-    return rounded(fd.combination_profiles(combined, "copath", "copath_counts", ["price"]))
+    return rounded(fd.combination_profiles(combined, "combination", "n_labels", ["price"]))
 
 
 @query(
@@ -346,13 +346,13 @@ MERGED_FLAGS = {f: CLINICAL_FLAG_SQL[f] for f in COMBINATION_FLAGS}
     "FROM demo d JOIN clinical c ON d.c_custkey = c.c_custkey), "
     "f AS (SELECT *, nullif(concat_ws('+', "
     + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in MERGED_FLAGS.items())
-    + "), '') AS copath FROM m) SELECT c_custkey AS \"NACCID\", \"NACCAGEB\", \"EDUC\", \"NACCMMSE\", copath, "
-    "CAST(len(string_split(copath, '+')) AS INTEGER) AS copath_counts FROM f",
+    + "), '') AS combination FROM m) SELECT c_custkey AS \"NACCID\", \"NACCAGEB\", \"EDUC\", \"NACCMMSE\", combination, "
+    "CAST(len(string_split(combination, '+')) AS INTEGER) AS n_labels FROM f",
 )
 def _(spark, d):
     images, clinical = _clinical_tables(spark, d)
     made = prepare_clinical(images, clinical, [F.col("NACCAGE")])
-    return made.select("NACCID", "NACCAGEB", "EDUC", "NACCMMSE", "copath", "copath_counts")
+    return made.select("NACCID", "NACCAGEB", "EDUC", "NACCMMSE", "combination", "n_labels")
 
 
 @query("clinical_stage_scores")
@@ -370,7 +370,7 @@ def _(spark, d):
 def _(spark, d):
     c = fr.cohort(spark, d)
     label = F.when(F.col("DX") == "D0", "CN").otherwise(F.col("DX")).alias("DX")
-    combination = F.when(F.col("id") % 3 == 0, "AD").when(F.col("id") % 3 == 1, "AD+LBD").otherwise("NC").alias("copath")
+    combination = F.when(F.col("id") % 3 == 0, "AD").when(F.col("id") % 3 == 1, "AD+LBD").otherwise("NC").alias("combination")
     subjects = c.select("id", label, combination, *[named(f) for f in FEATURES])
     weights = class_weights_frame(spark, MANUAL, 4)
     scored = class_scores(subjects, FEATURES, patterns(spark, d), weights)

@@ -248,17 +248,17 @@ def _(spark, d):
     return flagged.select("c_custkey", *[named(f) for f in clinical_flags()])
 
 
-@query("sc20_label_combination", f"WITH {COMBINED} SELECT o_custkey, copath FROM combined")
+@query("sc20_label_combination", f"WITH {COMBINED} SELECT o_custkey, combination FROM combined")
 def _(spark, d):
-    return with_combination(fr.flags(spark, d), FLAGS).select("o_custkey", "copath")
+    return with_combination(fr.flags(spark, d), FLAGS).select("o_custkey", "combination")
 
 
 @query(
     "sc21_label_count",
-    f"WITH {COMBINED} SELECT o_custkey, CAST(len(string_split(copath, '+')) AS INTEGER) AS copath_counts FROM combined",
+    f"WITH {COMBINED} SELECT o_custkey, CAST(len(string_split(combination, '+')) AS INTEGER) AS n_labels FROM combined",
 )
 def _(spark, d):
-    return with_combination(fr.flags(spark, d), FLAGS).select("o_custkey", "copath_counts")
+    return with_combination(fr.flags(spark, d), FLAGS).select("o_custkey", "n_labels")
 
 
 SVAD = ["P(AD)", "P(SVAD)", "P(PD)", "P(LBD)"]

@@ -61,9 +61,9 @@ def argmax_label(names: Sequence[str], strip: str = "", labels: Sequence[str] |
     """Label of the first largest column; nulls and NaN are skipped."""
     shown = list(labels) if labels is not None else [n.replace(strip, "", 1) if strip else n for n in names]
     values = F.array(*[nan_to_null(named(n).cast("double")) for n in names])
-    top = F.array_max(values)
-    place = F.array_position(values, top).cast("int")
-    return F.when(top.isNotNull(), F.element_at(F.array(*[F.lit(s) for s in shown]), place))
+    # a row without any value has a null maximum, hence a null place and label
+    place = (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return F.get(F.lit(shown), place)
 
 
 def winner_flags(names: Sequence[str], suffix: str = "_winner") -> dict[str, Column]:
@@ -103,11 +103,13 @@ def tidy_text(column: Column) -> Column:
 
 
 def encode_with(column: Column, codes: Mapping[str, int]) -> Column:
-    """Code of a value; unknown or missing values give null."""
-    chain = None
-    for value, code in codes.items():
-        chain = F.when(column == value, code) if chain is None else chain.when(column == value, code)
-    return chain if chain is not None else F.lit(None).cast("int")
+    """Code of a value; unknown or missing values give null.
+
+    A map lookup reads the column once, so stacked codes do not multiply
+    the expression the way nested CASE branches would.
+    """
+    entries = [F.lit(part) for pair in codes.items() for part in pair]
+    return F.element_at(F.create_map(*entries), column.cast("string"))
 
 
 def discordance(
@@ -118,7 +120,8 @@ def discordance(
     below: str = "Underpredict",
 ) -> Column:
     """Compare two ordinal codes; null on either side gives null."""
-    return F.when(predicted > observed, above).when(predicted == observed, equal).when(predicted < observed, below)
+    place = (F.signum(predicted - observed) + 1).cast("int")
+    return F.get(F.lit([below, equal, above]), place)
 
 
 def threshold_stage(first: Column, second: Column, cut: float = 2.0) -> Column:
@@ -164,11 +167,8 @@ def label_count(column: Column, delimiter: str = "+") -> Column:
 
 def probability_of(label: Column, classes: Sequence[str], prefix: str = "P(", suffix: str = ")") -> Column:
     """The probability column that belongs to the row's own label."""
-    chain = None
-    for c in classes:
-        value = named(f"{prefix}{c}{suffix}")
-        chain = F.when(label == c, value) if chain is None else chain.when(label == c, value)
-    return chain
+    entries = [part for c in classes for part in (F.lit(c), named(f"{prefix}{c}{suffix}"))]
+    return F.element_at(F.create_map(*entries), label.cast("string"))
 
 
 def order_index(column: Column, order: Sequence[str]) -> Column:

@@ -115,11 +115,11 @@ class TopicClassifier:
             scored = scored.withColumn("_e", powers)
             total = F.aggregate("_e", F.lit(0.0), lambda a, v: a + v)
             scored = scored.withColumn("_p", F.transform("_e", lambda v: v / total))
-        top = F.array_position("_p", F.array_max("_p")).cast("int")
+        top = (F.array_position("_p", F.array_max("_p")) - 1).cast("int")
         return scored.select(
             *[named(c) for c in df.columns],
             *[F.get("_p", F.lit(k)).alias(f"P({c})") for k, c in enumerate(classes)],
-            F.element_at(F.array(*[F.lit(c) for c in classes]), top).alias("DX_pred"),
+            F.get(F.lit(classes), top).alias("DX_pred"),
         )
 
     def cross_validate(self, df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str]) -> DataFrame:

@@ -69,11 +69,11 @@ class LogisticTopicClassifier:
         model = self._fitted()
         model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_vector")
         scored = model.transform(self._scaled(df)).withColumn("_p", vector_to_array("_vector"))
-        top = F.array_position("_p", F.array_max("_p")).cast("int")
+        top = (F.array_position("_p", F.array_max("_p")) - 1).cast("int")
         return scored.select(
             *[named(c) for c in df.columns],
             *[F.get("_p", F.lit(k)).alias(f"P({c})") for k, c in enumerate(self.classes)],
-            F.element_at(F.array(*[F.lit(c) for c in self.classes]), top).alias("DX_pred"),
+            F.get(F.lit(self.classes), top).alias("DX_pred"),
         )
 
     def cross_validate(self, df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str]) -> DataFrame:

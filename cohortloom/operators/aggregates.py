@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions.rowwise import double_of, named, nan_to_null, quoted
@@ -75,9 +74,14 @@ def group_counts(df: DataFrame, group: str) -> DataFrame:
 def group_shares(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
     """Share of every value (missing counts as a value) inside ``within``."""
     counts = df.groupBy(*[named(w) for w in within], named(value)).agg(F.count("*").alias("n"))
-    # the window runs over one row per value
-    total = F.sum("n").over(W.partitionBy(*[named(w) for w in within]))
-    return counts.withColumn("prop", F.col("n") / total)
+    if not within:
+        return counts.withColumn("prop", F.col("n") / F.lit(df.count()))
+    totals = df.groupBy(*[named(w).alias(f"_w{i}") for i, w in enumerate(within)]).agg(F.count("*").alias("_t"))
+    match = F.lit(True)
+    for i, w in enumerate(within):
+        match = match & named(w).eqNullSafe(F.col(f"_w{i}"))
+    shares = join_small(counts, totals, match).withColumn("prop", F.col("n") / F.col("_t"))
+    return shares.drop("_t", *[f"_w{i}" for i in range(len(within))])
 
 
 def flag_prevalence(df: DataFrame, group: str, flags: Sequence[str]) -> DataFrame:

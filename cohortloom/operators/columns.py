@@ -67,7 +67,7 @@ def text_key(column: Column) -> Column:
 def feature_vector(names: Sequence[str], clip: bool = True) -> Column:
     """The feature block as one array column, negatives clipped at 0."""
     block = F.expr("array(" + ", ".join(double_of(n) for n in names) + ")")
-    return F.transform(block, lower_bound_zero) if clip else block
+    return F.transform(block, lambda v: lower_bound_zero(v)) if clip else block
 
 
 def long_features(df: DataFrame, keep: Sequence[str], names: Sequence[str]) -> DataFrame:

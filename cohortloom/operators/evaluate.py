@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions.rowwise import named
 from cohortloom.operators.ranking import class_list
-from cohortloom.runtime import join_small
+from cohortloom.runtime import join_small, small_local
 
 
 def confusion_counts(df: DataFrame, observed: str, predicted: str, labels: Sequence[str]) -> DataFrame:
@@ -26,6 +27,8 @@ def confusion_counts(df: DataFrame, observed: str, predicted: str, labels: Seque
         .groupBy("observed", "predicted")
         .agg(F.count("*").alias("n"))
     )
+    # one scan: the counted cells are at most the grid
+    counts = small_local(counts, len(labels) ** 2)
     filled = F.broadcast(grid).join(counts, ["observed", "predicted"], "left").na.fill(0, ["n"])
     totals = counts.groupBy("observed").agg(F.sum("n").alias("_t"))
     return (
@@ -69,7 +72,8 @@ def classification_report(df: DataFrame, observed: str, predicted: str, labels:
         .agg(F.sum("e.s").alias("support"), F.sum("e.p").alias("_p"), F.sum("e.h").alias("_h"))
     )
     listed = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in labels], "label string"))
-    sums = listed.join(seen, ["label"], "left").na.fill(0, ["support", "_p", "_h"])
+    # one scan: the sums have one row per listed label
+    sums = small_local(listed.join(seen, ["label"], "left").na.fill(0, ["support", "_p", "_h"]), len(labels))
     precision = F.coalesce(F.try_divide(F.col("_h"), F.col("_p")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("_h"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.col("_h"), F.col("_p") + F.col("support")), F.lit(0.0))
@@ -105,8 +109,6 @@ def classification_report(df: DataFrame, observed: str, predicted: str, labels:
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Add ``rows / (classes * rows of the class)``."""
     counts = df.filter(named(label).isNotNull()).groupBy(named(label)).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window as W
-
     everything = W.partitionBy()  # over one row per class
     weights = counts.select(
         named(label), (F.sum("_n").over(everything) / (F.count("*").over(everything) * F.col("_n"))).alias(out)
@@ -117,9 +119,9 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
 def encode_labels(df: DataFrame, label: str, out: str = "label_code") -> tuple[DataFrame, list[str]]:
     """Add the class number in sorted order; also return the classes."""
     classes = class_list(df, label)
-    place = F.array_position(F.array(*[F.lit(c) for c in classes]), named(label).cast("string"))
+    place = F.array_position(F.lit(classes), named(label).cast("string"))
     return df.withColumn(out, F.when(place > 0, place - 1).cast("int")), classes
 
 
 def decode_labels(df: DataFrame, code: str, classes: Sequence[str], out: str) -> DataFrame:
-    return df.withColumn(out, F.get(F.array(*[F.lit(c) for c in classes]), named(code)))
+    return df.withColumn(out, F.get(F.lit(list(classes)), named(code)))

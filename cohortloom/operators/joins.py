@@ -72,7 +72,8 @@ def absent_from(df: DataFrame, other: DataFrame, key: str, other_key: str | None
 
 
 def present_in(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
-    keys = other.select(named(other_key or key).alias("_k"))
+    # distinct shrinks copies of a hot key before they are shuffled
+    keys = other.select(named(other_key or key).alias("_k")).filter("_k is not null").distinct()
     return df.join(keys, named(key) == F.col("_k"), "left_semi")
 
 

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from cohortloom.functions.rowwise import double_of, named, number
 from cohortloom.operators.aggregates import group_means
 from cohortloom.operators.ranking import top_per_group
-from cohortloom.runtime import join_small
+from cohortloom.runtime import bounded_rows, join_small
+
+# Topics and classes become literals of one projection, so they are few.
+MAX_TOPICS = 1000
 
 
 def topic_names(n: int, prefix: str = "Topic_") -> list[str]:
@@ -56,7 +59,8 @@ def weighted_top_scores(
     Feature ``f`` is read from column ``f + score_suffix``; features without
     such a column are left out.
     """
-    rows = top_per_group(patterns, "topic", "weight", "pos", n).orderBy("topic", "rank").collect()
+    top = top_per_group(patterns, "topic", "weight", "pos", n).orderBy("topic", "rank")
+    rows = bounded_rows(top, MAX_TOPICS * n, "topics")
     have = set(df.columns)
     sums: dict[int, list[str]] = {}
     for r in rows:
@@ -94,7 +98,7 @@ def project_classes(
     ``weights`` has one row per class; its rows become literals.
     """
     added = {}
-    for r in weights.orderBy(named(label)).collect():
+    for r in bounded_rows(weights.orderBy(named(label)), MAX_TOPICS, "classes"):
         terms = [f"{double_of(s)} * {number(r[t])}" for t, s in zip(topics, scores)]
         added[f"{prefix}{r[label]}"] = F.expr(" + ".join(terms))
     return df.withColumns(added)

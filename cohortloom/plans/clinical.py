@@ -61,9 +61,9 @@ def prepare_clinical(images: DataFrame, clinical: DataFrame, order: Sequence[Col
 
 
 def with_combination(df: DataFrame, flags: Mapping[str, str] | Sequence[str]) -> DataFrame:
-    """Add ``copath`` (joined labels) and ``copath_counts``."""
-    df = df.withColumn("copath", joined_labels(flags))
-    return df.withColumn("copath_counts", label_count(F.col("copath")))
+    """Add ``combination`` (joined labels) and ``n_labels``."""
+    df = df.withColumn("combination", joined_labels(flags))
+    return df.withColumn("n_labels", label_count(F.col("combination")))
 
 
 def with_stage_scores(df: DataFrame, cell_counts: Mapping[int, int]) -> DataFrame:

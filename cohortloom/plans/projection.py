@@ -21,7 +21,7 @@ def class_scores(
     class_weights: DataFrame,
     label: str = "DX",
     reference: str = "CN",
-    combination: str = "copath",
+    combination: str = "combination",
     drop_pattern: str = "NC|MCI|iMCI",
     renamed: tuple[str, str] = ("NC+PD", "PD"),
     top: int = 10,
@@ -44,7 +44,7 @@ def class_scores(
 
 
 def class_score_tests(
-    scored: DataFrame, combination: str = "copath", prefix: str = "ND_", significant: bool = True
+    scored: DataFrame, combination: str = "combination", prefix: str = "ND_", significant: bool = True
 ) -> DataFrame:
     """Paired differences of class scores within combinations, adjusted.
 

@@ -92,7 +92,7 @@ def test_threshold_stage_needs_only_second_for_high(spark):
 
 def test_joined_labels_and_counts(spark):
     df = spark.createDataFrame([(1, 1, 1), (2, 0, 1), (3, 0, 0), (4, None, None)], "id int, AD int, LBD int")
-    got = with_combination(df, ["AD", "LBD"]).select("id", "copath", "copath_counts")
+    got = with_combination(df, ["AD", "LBD"]).select("id", "combination", "n_labels")
     assert rows(got, "id") == [(1, "AD+LBD", 2), (2, "LBD", 1), (3, None, None), (4, None, None)]
 
 
