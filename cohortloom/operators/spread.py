@@ -2,7 +2,7 @@
 
 A class may hold a third of all rows, so ``row_number() over (partition by
 class)`` on the raw rows is ruled out. Ranks are built from counts of finer
-pieces (hash buckets or sorted partitions) plus a short window inside each
+pieces (hash prefixes or sorted partitions) plus a short window inside each
 piece; quantiles from a bounded sketch that brackets the wanted rank, and an
 exact count of the few values inside the bracket.
 """
@@ -16,9 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions.rowwise import named, nan_to_null
-from cohortloom.runtime import join_small, settle
+from cohortloom.runtime import join_small, settle, small_local
 
-HASH_DIGITS = 4
+# Rows a single window task may rank; larger groups are cut into pieces.
+PIECE_ROWS = 500_000
 
 
 def seeded_key(ids: Sequence[str], seed: int) -> Column:
@@ -26,8 +27,42 @@ def seeded_key(ids: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[named(i).cast("string") for i in ids]))
 
 
-def _keyed(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
-    return df.withColumn("_key", seeded_key(ids, seed)).withColumn("_piece", F.substring("_key", 1, HASH_DIGITS))
+def _group_sizes(df: DataFrame, group: str) -> DataFrame:
+    """(group, _size, _digits): rows, and how many key digits make a piece.
+
+    A group of up to ``PIECE_ROWS`` rows is one piece (no digits); each digit
+    splits sixteenfold, so a piece stays small whatever the group's size.
+    """
+    digits = F.ceil(F.log(16.0, F.col("_size") / F.lit(float(PIECE_ROWS))))
+    return (
+        df.filter(named(group).isNotNull())
+        .groupBy(named(group))
+        .agg(F.count("*").alias("_size"))
+        .withColumn("_digits", F.greatest(digits, F.lit(0)).cast("int"))
+    )
+
+
+def _cut_up(df: DataFrame, group: str, ids: Sequence[str], seed: int, sizes: DataFrame) -> DataFrame:
+    """Rows with their key, their group's size columns and their piece."""
+    keyed = df.filter(named(group).isNotNull()).withColumn("_key", seeded_key(ids, seed))
+    return join_small(keyed, sizes, [group]).withColumn("_piece", F.expr("substring(_key, 1, _digits)"))
+
+
+def _piece_offsets(cut: DataFrame, group: str) -> DataFrame:
+    """(group, _piece, _before): rows of the group in earlier pieces.
+
+    Only groups in several pieces are counted; the window runs over counts.
+    """
+    counts = cut.filter("_digits > 0").groupBy(named(group), "_piece").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(named(group)).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    return counts.select(named(group), "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+
+
+def _known(sizes: DataFrame) -> tuple[DataFrame, bool]:
+    """Group sizes, on the driver when few, and whether any group is cut."""
+    local = small_local(sizes)
+    sizes = local if local is not None else sizes
+    return sizes, bool(sizes.filter("_digits > 0").limit(1).collect())
 
 
 def hash_rank(df: DataFrame, group: str, ids: Sequence[str], seed: int = 42) -> DataFrame:
@@ -36,48 +71,41 @@ def hash_rank(df: DataFrame, group: str, ids: Sequence[str], seed: int = 42) ->
     The join and the window share the (group, piece) partitioning, so large
     inputs are shuffled once. Rows without a group are dropped.
     """
-    keyed = _keyed(df, ids, seed)
-    counts = keyed.filter(named(group).isNotNull()).groupBy(named(group), "_piece").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(named(group)).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        named(group),
-        "_piece",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(named(group))).alias("_size"),
-    )
+    sizes, several = _known(_group_sizes(df, group))
+    cut = _cut_up(df, group, ids, seed, sizes)
     inside = W.partitionBy(named(group), "_piece").orderBy("_key", *[named(i) for i in ids])
-    return (
-        keyed.join(offsets, [group, "_piece"])
-        .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-        .drop("_key", "_piece", "_before")
-    )
+    rank = F.row_number().over(inside)
+    if several:
+        cut = cut.join(_piece_offsets(cut, group), [group, "_piece"], "left")
+        rank = F.coalesce(F.col("_before"), F.lit(0)) + rank
+    return cut.withColumn("_rank", rank).select(*[named(c) for c in df.columns], "_rank", "_size")
 
 
 def hash_cut(df: DataFrame, group: str, ids: Sequence[str], limit: Column, seed: int = 42) -> DataFrame:
     """Keep the first ``limit`` rows of each group by hash key.
 
-    The piece in which a group reaches its limit is found from counts; rows
-    of later pieces are filtered before any shuffle and only the kept pieces
-    are ranked, each on its own.
+    Groups within their limit stay whole. For others the piece that reaches
+    the limit is found from counts; rows of later pieces are dropped before
+    any shuffle, and only the last kept piece has to be ranked.
     """
-    keyed = _keyed(df, ids, seed).filter(named(group).isNotNull())
-    counts = keyed.groupBy(named(group), "_piece").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(named(group)).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    reached = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_limit", limit.cast("long"))
-        .filter(F.col("_before") < F.col("_limit"))
-    )
-    cuts = reached.groupBy(named(group), "_limit").agg(
-        F.max("_piece").alias("_last"), F.max("_before").alias("_before")
-    )
+    sizes = _group_sizes(df, group).withColumn("_limit", limit.cast("long"))
+    sizes = sizes.withColumn("_digits", F.when(F.col("_size") > F.col("_limit"), F.col("_digits")).otherwise(0))
+    sizes, several = _known(sizes)
+    if several:
+        offsets = _piece_offsets(_cut_up(df, group, ids, seed, sizes), group)
+        reached = join_small(offsets, sizes.select(named(group), "_limit"), [group]).filter("_before < _limit")
+        last = reached.groupBy(named(group)).agg(F.max("_piece").alias("_last"), F.max("_before").alias("_before"))
+        sizes = sizes.join(last, [group], "left")
+    else:
+        sizes = sizes.withColumns({"_last": F.lit(None).cast("string"), "_before": F.lit(0).cast("long")})
+    cuts = sizes.na.fill({"_last": "", "_before": 0})
     inside = W.partitionBy(named(group), "_piece").orderBy("_key", *[named(i) for i in ids])
     return (
-        join_small(keyed, cuts, [group])
-        .filter(F.col("_piece") <= F.col("_last"))
+        _cut_up(df, group, ids, seed, cuts)
+        .filter("_piece <= _last")
         .withColumn("_rn", F.row_number().over(inside))
-        .filter((F.col("_piece") < F.col("_last")) | (F.col("_before") + F.col("_rn") <= F.col("_limit")))
-        .drop("_key", "_piece", "_last", "_before", "_limit", "_rn")
+        .filter("_size <= _limit OR _piece < _last OR _before + _rn <= _limit")
+        .select(*[named(c) for c in df.columns])
     )
 
 
@@ -101,7 +129,7 @@ def sorted_position(
     groups = [named(w) for w in within]
     firsts = laid.groupBy(*groups, "_part").agg(F.min("_slot").alias("_first"), F.count("*").alias("_n"))
     window = W.orderBy("_part") if not within else W.partitionBy(*groups).orderBy("_part")
-    # as in hash_rank, this window runs over counts, not over rows
+    # this window runs over counts, not over rows
     firsts = firsts.withColumn(
         "_before", F.coalesce(F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).drop("_n")

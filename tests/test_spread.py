@@ -26,7 +26,13 @@ def skewed(spark):
     return spark.createDataFrame(data, "id long, dx string").repartition(4).cache()
 
 
-def test_cap_keeps_small_classes_whole(skewed):
+@pytest.fixture(params=[500_000, 20], ids=["one-piece", "many-pieces"])
+def piece_rows(request, monkeypatch):
+    """Small groups in one piece, and the hot class cut into many."""
+    monkeypatch.setattr(spread, "PIECE_ROWS", request.param)
+
+
+def test_cap_keeps_small_classes_whole(skewed, piece_rows):
     got = {}
     for r in rk.cap_per_class(skewed, "dx", ["id"], 100, {"one": 5}).collect():
         got.setdefault(r["dx"], set()).add(r["id"])
@@ -34,20 +40,20 @@ def test_cap_keeps_small_classes_whole(skewed):
     assert got["hot"] == set(sorted(range(7, 3000), key=key)[:100])
 
 
-def test_sample_is_exact_and_bounded(skewed):
+def test_sample_is_exact_and_bounded(skewed, piece_rows):
     ids = [*range(3000), 9000]
     assert {r["id"] for r in rk.sample_rows(skewed, ["id"], 250).collect()} == set(sorted(ids, key=key)[:250])
     assert rk.sample_rows(skewed, ["id"], 10_000).count() == 3001
 
 
-def test_folds_are_balanced_and_total(skewed):
+def test_folds_are_balanced_and_total(skewed, piece_rows):
     got = rk.stratified_folds(skewed, "dx", ["id"], 5).collect()
     assert len(got) == 3000
     order = sorted(range(7, 3000), key=key)
     assert {r["id"]: r["fold"] for r in got if r["dx"] == "hot"} == {i: n % 5 for n, i in enumerate(order)}
 
 
-def test_holdout_share(skewed):
+def test_holdout_share(skewed, piece_rows):
     got = rk.stratified_holdout(skewed, "dx", ["id"], 0.2).filter("is_test").groupBy("dx").count().collect()
     assert {r["dx"]: r["count"] for r in got} == {"hot": round(0.2 * 2993), "small": 1}
 
