@@ -1,39 +1,103 @@
-"""Two-component mixture of one score and the scaling by its lower part."""
+"""Two-component mixture of one score and the scaling by its lower part.
+
+Every step is one aggregate over the cached values, in generated JVM code.
+The start is a deterministic two-means split, so a result does not depend on
+how the rows are partitioned.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import named, nan_to_null
+from cohortloom.functions.rowwise import named, nan_to_null, number
+from cohortloom.models.common import cached
+
+# Added to every variance (fixed value).
+VARIANCE_FLOOR = 1e-6
+
+
+def _two_means(x: DataFrame, low: float, high: float, spread: float) -> float:
+    """The cut between two one-dimensional means, from the extremes inwards."""
+    for _ in range(100):
+        cut = (low + high) / 2.0
+        below, above = x.agg(F.avg(F.when(F.col("x") <= cut, F.col("x"))), F.avg(F.when(F.col("x") > cut, F.col("x")))).first()
+        below, above = (low if below is None else below), (high if above is None else above)
+        moved = (below - low) ** 2 + (above - high) ** 2
+        low, high = below, above
+        if moved <= 1e-4 * spread:
+            break
+    return (low + high) / 2.0
+
 
+def _moments(x: DataFrame, share: str, level: str) -> tuple:
+    """(count, mean level, and per part: weight sum, value sum, square sum)."""
+    return tuple(
+        x.selectExpr("x", f"{share} AS a", f"{level} AS l")
+        .agg(
+            F.count("*"), F.avg("l"), F.sum("a"), F.sum(F.expr("a * x")), F.sum(F.expr("a * x * x")),
+            F.sum(F.expr("1 - a")), F.sum(F.expr("(1 - a) * x")), F.sum(F.expr("(1 - a) * x * x")),
+        )
+        .first()
+    )
 
-def two_components(df: DataFrame, name: str, seed: int = 42, max_iter: int = 100) -> list[tuple[float, float, float]]:
-    """[(mean, std, weight)] by rising mean, or [] below two values."""
-    values = df.select(nan_to_null(named(name).cast("double")).alias("_v")).filter("_v is not null")
-    if len(values.limit(2).collect()) < 2:
-        return []
-    fed = VectorAssembler(inputCols=["_v"], outputCol="features").transform(values).select("features")
-    fed = fed.persist()
+
+def _parts(moments: tuple) -> list[tuple[float, float, float]]:
+    """[(mean, variance, weight)] from the sums of both parts."""
+    n, out = moments[0], []
+    for size, first, second in (moments[2:5], moments[5:8]):
+        size += 1e-12
+        mean = first / size
+        out.append((mean, max(second / size - mean * mean, 0.0) + VARIANCE_FLOOR, size / n))
+    return out
+
+
+def two_components(df: DataFrame, name: str, max_iter: int = 100, tol: float = 1e-3) -> list[tuple[float, float, float]]:
+    """[(mean, std, weight)] by rising mean, or [] below two values.
+
+    Stops when the mean log likelihood moves by less than ``tol``.
+    """
+    values = df.select(nan_to_null(named(name).cast("double")).alias("v")).filter("v is not null")
+    values = cached(values)
     try:
-        model = GaussianMixture(k=2, seed=seed, maxIter=max_iter, tol=1e-3).fit(fed)
+        n, center, low, high, spread = values.agg(
+            F.count("v"), F.avg("v"), F.min("v"), F.max("v"), F.var_pop("v")
+        ).first()
+        if n < 2:
+            return []
+        # centred, so that squares do not cancel
+        x = values.selectExpr(f"v - {number(center)} AS x")
+        cut = _two_means(x, low - center, high - center, spread)
+        parts = _parts(_moments(x, f"CASE WHEN x <= {number(cut)} THEN 1D ELSE 0D END", "0D"))
+        before = -math.inf
+        for _ in range(max_iter):
+            (m1, v1, w1), (m2, v2, w2) = parts
+            logs = [
+                f"({number(math.log(max(w, 1e-300)) - 0.5 * math.log(2 * math.pi * v))}"
+                f" - (x - {number(m)}) * (x - {number(m)}) * {number(0.5 / v)})"
+                for m, v, w in ((m1, v1, w1), (m2, v2, w2))
+            ]
+            top = f"greatest({logs[0]}, {logs[1]})"
+            level = f"({top} + ln(exp({logs[0]} - {top}) + exp({logs[1]} - {top})))"
+            share = f"(1D / (1D + exp({logs[1]} - {logs[0]})))"
+            moments = _moments(x, share, level)
+            parts = _parts(moments)
+            if abs(moments[1] - before) < tol:
+                break
+            before = moments[1]
     finally:
-        fed.unpersist()
-    rows = model.gaussiansDF.collect()
-    parts = [(float(r["mean"][0]), math.sqrt(float(r["cov"].toArray()[0][0])), w) for r, w in zip(rows, model.weights)]
-    return sorted(parts)
+        values.unpersist()
+    return sorted((m + center, math.sqrt(v), w) for m, v, w in parts)
 
 
-def mixture_score(df: DataFrame, name: str, out: str, seed: int = 42) -> DataFrame:
+def mixture_score(df: DataFrame, name: str, out: str) -> DataFrame:
     """Add ``(x - mean) / std`` of the lower component.
 
     With fewer than two values the column is not added.
     """
-    parts = two_components(df, name, seed)
+    parts = two_components(df, name)
     if not parts:
         return df
     mean, std, _ = parts[0]

@@ -99,6 +99,31 @@ def test_mixture_uses_the_lower_part(spark):
     low, high = two_components(df, "v")
     assert low[0] == pytest.approx(1.0, abs=0.05) and high[0] == pytest.approx(3.0, abs=0.1)
     assert low[1] == pytest.approx(0.1, abs=0.03)
+    # the same steps in plain numpy
+    x, cut = v - v.mean(), None
+    a, b = x.min(), x.max()
+    for _ in range(100):
+        cut = (a + b) / 2
+        new = x[x <= cut].mean(), x[x > cut].mean()
+        moved, (a, b) = (new[0] - a) ** 2 + (new[1] - b) ** 2, new
+        if moved <= 1e-4 * x.var():
+            break
+    share, before = (x <= (a + b) / 2).astype(float), -np.inf
+    while True:
+        parts = []
+        for s in (share, 1 - share):
+            m = (s * x).sum() / s.sum()
+            parts.append((m, (s * (x - m) ** 2).sum() / s.sum() + 1e-6, s.mean()))
+        logs = np.array([np.log(w) - 0.5 * np.log(2 * np.pi * var) - (x - m) ** 2 / (2 * var) for m, var, w in parts])
+        level = np.logaddexp(*logs)
+        share = np.exp(logs[0] - level)
+        if abs(level.mean() - before) < 1e-3:
+            break
+        before = level.mean()
+    m = (share * x).sum() / share.sum()
+    assert low[0] == pytest.approx(m + v.mean(), abs=1e-8)
+    same = spark.createDataFrame([(2.0,)] * 5, "v double")
+    assert two_components(same, "v")[0][0] == pytest.approx(2.0)
     assert "z" in mixture_score(df, "v", "z").columns
     assert mixture_score(df.filter("v is null"), "v", "z").columns == ["v"]
 
