@@ -40,10 +40,10 @@ def flagship(spark, d):
 @query(
     "jn1_left_join_named_keys",
     "SELECT o.o_orderkey, o.o_custkey, c.c_custkey, c.c_mktsegment FROM orders o "
-    "LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o.o_custkey = c.c_custkey",
+    "LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o.o_custkey = c.c_custkey",
 )
 def _(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment")
+    c = table(spark, d, "customer").filter("c_acctbal >= 0").select("c_custkey", "c_mktsegment")
     return jn.merge(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, [("o_custkey", "c_custkey")])
 
 
@@ -123,27 +123,27 @@ def _(spark, d):
 
 @query(
     "jn9_family_patch",
-    f"WITH {COHORT}, a AS (SELECT * FROM cohort WHERE id % 2 = 0), b AS (SELECT * FROM cohort WHERE id % 3 = 0) "
+    f"WITH {COHORT}, a AS (SELECT * FROM cohort WHERE {q('VA/0')} > 0), b AS (SELECT * FROM cohort WHERE {q('VA/1')} > 0) "
     "SELECT c.id, c.DX, "
-    + ", ".join(f"coalesce({r('a.' + q(f))}, {r('b.' + q(f))}) AS {q(f)}" for f in FEATURES[:6])
+    + ", ".join(f"coalesce({r('a.' + q(f))}, {r('b.' + q(f))}) AS {q(f)}" for f in FEATURES)
     + " FROM cohort c LEFT JOIN a ON c.id = a.id LEFT JOIN b ON c.id = b.id",
 )
 def _(spark, d):
     c = cohort(spark, d)
-    first, second = c.filter("id % 2 = 0"), c.filter("id % 3 = 0")
-    return rounded(jn.patch_family(c.select("id", "DX"), "id", [(first, "id"), (second, "id")], FEATURES[:6]))
+    first, second = c.filter("`VA/0` > 0"), c.filter("`VA/1` > 0")
+    return rounded(jn.patch_family(c.select("id", "DX"), "id", [(first, "id"), (second, "id")], FEATURES))
 
 
 @query(
     "jn10_label_map",
     "WITH names AS (SELECT 'ctx_lh_' || n_name AS name, CAST(1000 + n_nationkey AS VARCHAR) AS label FROM nation "
-    "WHERE n_nationkey < 20 UNION ALL SELECT 'ctx_rh_' || n_name, CAST(2000 + n_nationkey AS VARCHAR) FROM nation "
-    "WHERE n_nationkey < 20), regions AS (SELECT c_custkey, 'ctx_' || CASE WHEN c_custkey % 2 = 0 THEN 'lh' ELSE 'rh' END "
+    "WHERE n_regionkey <> 4 UNION ALL SELECT 'ctx_rh_' || n_name, CAST(2000 + n_nationkey AS VARCHAR) FROM nation "
+    "WHERE n_regionkey <> 4), regions AS (SELECT c_custkey, 'ctx_' || CASE WHEN c_custkey % 2 = 0 THEN 'lh' ELSE 'rh' END "
     "|| '_NATION_' || CAST(c_nationkey AS VARCHAR) AS region FROM customer) "
     "SELECT g.c_custkey, g.region, coalesce(n.label, g.region) AS label FROM regions g LEFT JOIN names n ON g.region = n.name",
 )
 def _(spark, d):
-    n = table(spark, d, "nation").filter("n_nationkey < 20").selectExpr(
+    n = table(spark, d, "nation").filter("n_regionkey <> 4").selectExpr(
         "n_name AS ROI", "1000 + n_nationkey AS lh", "2000 + n_nationkey AS rh"
     )
     labels = jn.hemisphere_labels(n, "ROI", "lh", "rh")
@@ -158,10 +158,10 @@ def _(spark, d):
     "jn11_prediction_join_back",
     f"WITH {PREDICTIONS} SELECT o.o_orderkey, o.o_totalprice, p.DX_pred, "
     + ", ".join(f"{r('p.' + q(p))} AS {q(p)}" for p in PROBS)
-    + " FROM orders o LEFT JOIN (SELECT * FROM predictions WHERE o_orderkey % 4 <> 0) p ON o.o_orderkey = p.o_orderkey",
+    + " FROM orders o LEFT JOIN (SELECT * FROM predictions WHERE DX_pred <> 'B') p ON o.o_orderkey = p.o_orderkey",
 )
 def _(spark, d):
-    made = fr.predictions(spark, d).filter("o_orderkey % 4 <> 0").withColumnRenamed("o_orderkey", "SUBJ_ID")
+    made = fr.predictions(spark, d).filter("DX_pred <> 'B'").withColumnRenamed("o_orderkey", "SUBJ_ID")
     raw = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return rounded(jn.attach_predictions(raw, made, "o_orderkey").drop("SUBJ_ID", "DX_true"))
 

@@ -73,20 +73,20 @@ def _(spark, d):
 
 @query(
     "sc6_inverted_intensity",
-    f"WITH {COHORT} SELECT id, " + ", ".join(f"{r('7 - ' + q(f))} AS {q(f)}" for f in FEATURES[:6]) + " FROM cohort",
+    f"WITH {COHORT} SELECT id, " + ", ".join(f"{r('7 - ' + q(f))} AS {q(f)}" for f in FEATURES) + " FROM cohort",
 )
 def _(spark, d):
-    c = cohort(spark, d).select("id", *[named(f) for f in FEATURES[:6]])
-    return rounded(add_family(c, {f: rw.invert(named(f), 7) for f in FEATURES[:6]}))
+    c = cohort(spark, d).select("id", *[named(f) for f in FEATURES])
+    return rounded(add_family(c, {f: rw.invert(named(f), 7) for f in FEATURES}))
 
 
 @query(
     "sc7_log_inverted_intensity",
-    f"WITH {COHORT} SELECT id, " + ", ".join(f"{r('ln(1 + 7 - ' + q(f) + ')')} AS {q(f)}" for f in FEATURES[:6]) + " FROM cohort",
+    f"WITH {COHORT} SELECT id, " + ", ".join(f"{r('ln(1 + 7 - ' + q(f) + ')')} AS {q(f)}" for f in FEATURES) + " FROM cohort",
 )
 def _(spark, d):
-    c = cohort(spark, d).select("id", *[named(f) for f in FEATURES[:6]])
-    return rounded(add_family(c, {f: rw.log_invert(named(f), 7) for f in FEATURES[:6]}))
+    c = cohort(spark, d).select("id", *[named(f) for f in FEATURES])
+    return rounded(add_family(c, {f: rw.log_invert(named(f), 7) for f in FEATURES}))
 
 
 # ---- stages ----------------------------------------------------------------------------
@@ -379,16 +379,16 @@ def pattern_matrix(spark, d):
     return matrix
 
 
-def _subjects(spark, d, n=8):
-    """First n features next to the topic weights, by id."""
-    c = cohort(spark, d).select("id", *[named(f) for f in FEATURES[:n]])
+def _subjects(spark, d):
+    """All features next to the topic weights, by id."""
+    c = cohort(spark, d).drop("DX")
     return c.join(fr.topic_weights(spark, d).drop("DX"), "id")
 
 
 PARTIAL = (
     PATTERNS + ", " + WEIGHTS + ", part AS (SELECT c.id, c.pos, c.x, c.mean, c.std, "
     "w.Topic_0 * max(p.weight) FILTER (WHERE p.topic = 0) + w.Topic_2 * max(p.weight) FILTER (WHERE p.topic = 2) AS rec "
-    "FROM signed c JOIN weights w ON c.id = w.id JOIN patterns p ON c.pos = p.pos WHERE c.pos < 8 "
+    "FROM signed c JOIN weights w ON c.id = w.id JOIN patterns p ON c.pos = p.pos "
     "GROUP BY c.id, c.pos, c.x, c.mean, c.std, w.Topic_0, w.Topic_2)"
 )
 
@@ -397,15 +397,15 @@ def _wide(value, names, digits=6):
     return ", ".join(f"{r(f'max({value}) FILTER (WHERE pos = {i})', digits)} AS {q(n)}" for i, n in enumerate(names))
 
 
-@query("sc30_partial_reconstruction", f"WITH {PARTIAL} SELECT id, {_wide('7 - rec', FEATURES[:8])} FROM part GROUP BY id")
+@query("sc30_partial_reconstruction", f"WITH {PARTIAL} SELECT id, {_wide('7 - rec', FEATURES)} FROM part GROUP BY id")
 def _(spark, d):
     built = tp.partial_reconstruction(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES[:8], TOPICS, [0, 2], ceiling=7
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], ceiling=7
     )
     return rounded(built.drop(*TOPICS))
 
 
-NMF_NAMES = swap_family(FEATURES[:8], "VA/", "VA_nmf/")
+NMF_NAMES = swap_family(FEATURES, "VA/", "VA_nmf/")
 
 
 @query(
@@ -415,7 +415,7 @@ NMF_NAMES = swap_family(FEATURES[:8], "VA/", "VA_nmf/")
 )
 def _(spark, d):
     built = tp.reweighted_features(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES[:8], TOPICS, [0, 2], NMF_NAMES
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], NMF_NAMES
     )
     return rounded(built.select("id", *[named(n) for n in NMF_NAMES]))
 
@@ -423,13 +423,13 @@ def _(spark, d):
 @query("sc32_topic_mask", f"WITH {PARTIAL} SELECT id, {_wide('x * rec', NMF_NAMES)} FROM part GROUP BY id")
 def _(spark, d):
     built = tp.topic_masked_features(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES[:8], TOPICS, [0, 2], NMF_NAMES
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], NMF_NAMES
     )
     return rounded(built.select("id", *[named(n) for n in NMF_NAMES]))
 
 
-LOSS = swap_family(FEATURES[:8], "VA/", "VA_adloss/")
-EXPECTED = swap_family(FEATURES[:8], "VA/", "VA_ADpred/")
+LOSS = swap_family(FEATURES, "VA/", "VA_adloss/")
+EXPECTED = swap_family(FEATURES, "VA/", "VA_ADpred/")
 
 
 @query(
@@ -437,9 +437,9 @@ EXPECTED = swap_family(FEATURES[:8], "VA/", "VA_ADpred/")
     f"WITH {PARTIAL} SELECT id, {_wide('rec * std', LOSS)}, {_wide('mean - rec * std', EXPECTED)} FROM part GROUP BY id",
 )
 def _(spark, d):
-    base = Baseline.fit(cohort(spark, d).filter("DX = 'D0'"), FEATURES[:8])
+    base = Baseline.fit(cohort(spark, d).filter("DX = 'D0'"), FEATURES)
     built = tp.loss_and_expected(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES[:8], TOPICS, [0, 2], base.means, base.stds, LOSS, EXPECTED
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], base.means, base.stds, LOSS, EXPECTED
     )
     return rounded(built.select("id", *[named(n) for n in [*LOSS, *EXPECTED]]))
 

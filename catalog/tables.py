@@ -118,19 +118,19 @@ def _(spark, d):
 @query(
     "pr6_rename_by_rule",
     f"WITH {COHORT} SELECT id, "
-    + ", ".join(f"{r(q(f))} AS {q(f + '_zscore')}" for f in FEATURES[:5])
+    + ", ".join(f"{r(q(f))} AS {q(f + '_zscore')}" for f in FEATURES)
     + " FROM cohort",
 )
 def _(spark, d):
-    return rounded(co.suffix_family(co.pick(cohort(spark, d), ["id", *FEATURES[:5]]), "VA/", "_zscore"))
+    return rounded(co.suffix_family(co.pick(cohort(spark, d), ["id", *FEATURES]), "VA/", "_zscore"))
 
 
 @query(
     "pr7_prefix_swap",
-    f"WITH {COHORT} SELECT id, " + ", ".join(f"{r(q(f))} AS {q('VA_nmf/' + f[3:])}" for f in FEATURES[:5]) + " FROM cohort",
+    f"WITH {COHORT} SELECT id, " + ", ".join(f"{r(q(f))} AS {q('VA_nmf/' + f[3:])}" for f in FEATURES) + " FROM cohort",
 )
 def _(spark, d):
-    names = FEATURES[:5]
+    names = FEATURES
     swapped = dict(zip(names, co.swap_family(names, "VA/", "VA_nmf/")))
     return rounded(co.rename_by(co.pick(cohort(spark, d), ["id", *names]), swapped))
 
@@ -144,14 +144,14 @@ def _(spark, d):
 @query(
     "pr9_side_by_side",
     f"WITH {SCORES} SELECT id, "
-    + ", ".join(f"max(CASE WHEN pos = {i} THEN {r('x')} END) AS {q(f)}" for i, f in enumerate(FEATURES[:4]))
+    + ", ".join(f"max(CASE WHEN pos = {i} THEN {r('x')} END) AS {q(f)}" for i, f in enumerate(FEATURES))
     + ", "
-    + ", ".join(f"max(CASE WHEN pos = {i} THEN {r('s')} END) AS {q(f + '_ND')}" for i, f in enumerate(FEATURES[:4]))
+    + ", ".join(f"max(CASE WHEN pos = {i} THEN {r('s')} END) AS {q(f + '_ND')}" for i, f in enumerate(FEATURES))
     + " FROM scores GROUP BY id",
 )
 def _(spark, d):
-    c = co.pick(cohort(spark, d), ["id", "DX", *FEATURES[:4]])
-    scored = Baseline.fit(c.filter("DX = 'D0'"), FEATURES[:4]).apply(c)
+    c = co.pick(cohort(spark, d), ["id", "DX", *FEATURES])
+    scored = Baseline.fit(c.filter("DX = 'D0'"), FEATURES).apply(c)
     return rounded(co.side_by_side(c, co.suffix_family(scored, "VA/", "_ND").drop("DX"), ["id"]).drop("DX"))
 
 
