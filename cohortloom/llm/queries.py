@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, exact, packing, simhash
+from cohortloom.llm import bpe, exact, langid, packing, simhash, suffixes, trees, warc
 from cohortloom.llm.common import documents
 
 ALL, SQL = {}, {}
@@ -39,3 +39,31 @@ def op9_simhash(spark, sf_dir):
 @query
 def op10_bpe(spark, sf_dir):
     return bpe.encode_digests(documents(spark, sf_dir))
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    return trees.digests(documents(spark, sf_dir))
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixes.digests(documents(spark, sf_dir))
+
+
+@query(sql="""
+WITH records AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                        max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM records""")
+def op2_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
