@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, exact, langid, packing, simhash, suffixes, trees, warc
+from cohortloom.llm import bpe, exact, langid, ngram, packing, simhash, suffixes, trees, warc
 from cohortloom.llm.common import documents
 
 ALL, SQL = {}, {}
@@ -67,3 +67,8 @@ FROM records""")
 def op2_warc(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op1_quality(spark, sf_dir):
+    return ngram.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
