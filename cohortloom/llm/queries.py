@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cohortloom.llm import bpe, exact, langid, ngram, packing, simhash, suffixes, trees, warc
 from cohortloom.llm.common import documents
 
@@ -72,3 +73,8 @@ def op2_warc(spark, sf_dir):
 @query
 def op1_quality(spark, sf_dir):
     return ngram.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ALL["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
