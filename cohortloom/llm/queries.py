@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cohortloom.llm import bpe, exact, langid, ngram, packing, simhash, suffixes, trees, warc
+from cohortloom.llm import bpe, exact, langid, neighbours, ngram, packing, simhash, suffixes, trees, warc
 from cohortloom.llm.common import documents
 
 ALL, SQL = {}, {}
@@ -75,6 +75,11 @@ def op1_quality(spark, sf_dir):
     return ngram.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op7_embedding_dedup(spark, sf_dir):
+    return neighbours.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 ALL["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
