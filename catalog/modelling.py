@@ -38,48 +38,70 @@ def patients(spark, d):
     return base.apply(c.filter("DX <> 'D0'")), base
 
 
-def quick_trees(kind="boosted"):
-    return TopicClassifier(kind, n_splits=3, rounds=3 if kind == "boosted" else 20, depth=3, class_weight="balanced")
+_FITTED: dict[tuple, object] = {}
 
 
-def quick_model(max_iter=8):
-    return CohortModel(n_topics=4, alpha=0.25, beta=0.25, max_iter=max_iter, classifier=quick_trees())
+def shared(spark, d, name, make):
+    """A fit of this session and table folder, made once for all queries that start from it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def forget():
+    """Drop the shared fits, so that a timed query makes its own."""
+    _FITTED.clear()
+
+
+def topic_fit(spark, d):
+    return shared(spark, d, "topics", lambda: TopicModel(4, 0.25, 0.25).fit(patients(spark, d)[0], FEATURES))
+
+
+def factor_fit(spark, d):
+    return shared(spark, d, "factors", lambda: FactorModel(4).fit(patients(spark, d)[0], FEATURES))
+
+
+def tree_fit(spark, d):
+    return shared(spark, d, "trees", lambda: TopicClassifier(class_weight="balanced").fit(weighted_classes(spark, d), TOPICS, "DX"))
+
+
+def logistic_fit(spark, d):
+    return shared(spark, d, "logistic", lambda: LogisticTopicClassifier().fit(weighted_classes(spark, d), TOPICS, "DX"))
+
+
+def full_model():
+    return CohortModel(n_topics=4, alpha=0.25, beta=0.25, classifier=TopicClassifier(class_weight="balanced"))
 
 
 # ---- topics ----------------------------------------------------------------------------
 @query("ml1_topic_fit_patterns")
 def _(spark, d):
-    scored, _ = patients(spark, d)
-    model = TopicModel(4, 0.25, 0.25, max_iter=10).fit(scored, FEATURES, with_perplexity=False)
-    return rounded(model.patterns(spark))
+    return rounded(topic_fit(spark, d).patterns(spark))
 
 
 @query("ml2_topic_weights_of_new_rows")
 def _(spark, d):
-    scored, base = patients(spark, d)
-    model = TopicModel(4, 0.25, 0.25, max_iter=8).fit(scored, FEATURES, with_perplexity=False)
-    new = base.apply(classed(spark, d).filter("DX = 'D0'"))
+    model, base = topic_fit(spark, d), patients(spark, d)[1]
+    new = base.apply(classed(spark, d))
     return rounded(model.transform(new).select("id", *model.topics))
 
 
 @query("ml3_topic_perplexity")
 def _(spark, d):
-    scored, _ = patients(spark, d)
-    model = TopicModel(4, 0.25, 0.25, max_iter=8).fit(scored, FEATURES)
+    model = topic_fit(spark, d)
     return rounded(spark.createDataFrame([(4, model.perplexity_)], "k int, perplexity double"))
 
 
 @query("ml4_factor_fit_patterns")
 def _(spark, d):
-    scored, _ = patients(spark, d)
-    return rounded(FactorModel(4, max_iter=15).fit(scored, FEATURES).patterns(spark))
+    return rounded(factor_fit(spark, d).patterns(spark))
 
 
 @query("ml4b_factor_weights_of_new_rows")
 def _(spark, d):
-    scored, base = patients(spark, d)
-    model = FactorModel(4, max_iter=10).fit(scored, FEATURES)
-    new = base.apply(classed(spark, d).filter("DX = 'D0'"))
+    model, base = factor_fit(spark, d), patients(spark, d)[1]
+    new = base.apply(classed(spark, d))
     return rounded(model.transform(new, prefix="nmf/Topic_").select("id", *topic_names(4, "nmf/Topic_")))
 
 
@@ -105,8 +127,7 @@ def weighted_classes(spark, d):
 
 @query("ml7_boosted_classes")
 def _(spark, d):
-    w = weighted_classes(spark, d)
-    model = quick_trees().fit(w, TOPICS, "DX")
+    w, model = weighted_classes(spark, d), tree_fit(spark, d)
     return rounded(model.predict(w).select("id", *[f"`P({c})`" for c in model.classes], "DX_pred"))
 
 
@@ -131,31 +152,31 @@ def _(spark, d):
 
 @query("ml10_predict_with_probabilities")
 def _(spark, d):
-    w = weighted_classes(spark, d)
-    model = quick_trees("forest").fit(w, TOPICS, "DX")
+    w, model = weighted_classes(spark, d), tree_fit(spark, d)
     return rounded(model.predict(w.select("id", *TOPICS)).drop(*TOPICS))
 
 
 @query("ml11_out_of_fold_predictions")
 def _(spark, d):
-    return rounded(quick_trees("forest").cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"]))
+    return rounded(
+        TopicClassifier(class_weight="balanced").cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"])
+    )
 
 
 @query("ml12_multinomial_logistic")
 def _(spark, d):
-    w = weighted_classes(spark, d)
-    return rounded(LogisticTopicClassifier(max_iter=50).fit(w, TOPICS, "DX").coefficients(spark), 3)
+    return rounded(logistic_fit(spark, d).coefficients(spark), 3)
 
 
 @query("ml12b_logistic_out_of_fold")
 def _(spark, d):
-    model = LogisticTopicClassifier(n_splits=3, max_iter=30)
+    model = LogisticTopicClassifier()
     return rounded(model.cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"]), 3)
 
 
 @query("ml13_feature_importance")
 def _(spark, d):
-    return rounded(quick_trees().fit(weighted_classes(spark, d), TOPICS, "DX").feature_importance(spark))
+    return rounded(tree_fit(spark, d).feature_importance(spark))
 
 
 # ---- evaluation ----------------------------------------------------------------------------
@@ -209,14 +230,16 @@ def _(spark, d):
 @query("ml17_topic_count_sweep")
 def _(spark, d):
     scored, _ = patients(spark, d)
-    return rounded(sweep_topics(scored, FEATURES, "DX", ["id"], [3, 5], max_iter=5, classifier=quick_trees("forest")))
+    return rounded(sweep_topics(scored, FEATURES, "DX", ["id"], [8], classifier=TopicClassifier(class_weight="balanced")))
 
 
-def _fitted(spark, d, run_cv=False):
-    c = classed(spark, d)
-    model = quick_model()
-    train, reference = c.filter("DX <> 'D0'"), c.filter("DX = 'D0'")
-    return model, model.fit(train, FEATURES, True, reference, "DX", "id", run_cv)
+def _fitted(spark, d):
+    def make():
+        c, model = classed(spark, d), full_model()
+        train, reference = c.filter("DX <> 'D0'"), c.filter("DX = 'D0'")
+        return model, model.fit(train, FEATURES, True, reference, "DX", "id")
+
+    return shared(spark, d, "cohort", make)
 
 
 @query("ml18_infer_new_cohort")
@@ -228,16 +251,15 @@ def _(spark, d):
 @query("ml19_infer_with_logistic")
 def _(spark, d):
     scored, base = patients(spark, d)
-    topics = TopicModel(4, 0.25, 0.25, max_iter=8).fit(scored, FEATURES, with_perplexity=False)
+    topics = topic_fit(spark, d)
     weights = topics.transform(scored).select("id", "DX", *topics.topics)
-    classifier = LogisticTopicClassifier(max_iter=30).fit(weights, topics.topics, "DX")
+    classifier = LogisticTopicClassifier().fit(weights, topics.topics, "DX")
     return rounded(infer_with_logistic(classed(spark, d), topics, classifier, base, "id", "DX"), 3)
 
 
 @query("ml20_fit_end_to_end")
 def _(spark, d):
-    _, fitted = _fitted(spark, d, run_cv=True)
-    return rounded(fitted["cv"])
+    return rounded(_fitted(spark, d)[1]["cv"])
 
 
 @query("ml21_analyse_files")
@@ -247,7 +269,7 @@ def _(spark, d):
     path = write_csv(c, f"{folder}/input")
     schema = "PTID long, DX string, " + ", ".join(f"{f.replace('/', '_')} double" for f in FEATURES)
     _, fitted = analyse_files(
-        spark, path, path, "VA_0", "VA_63", folder, "D0", model=quick_model(), save_model=False, schema=schema
+        spark, path, path, "VA_0", "VA_63", folder, "D0", model=full_model(), save_model=False, schema=schema
     )
     return rounded(fitted["weights"])
 
@@ -281,7 +303,7 @@ def _(spark, d):
 @query("io10_topic_model_store")
 def _(spark, d):
     scored, _ = patients(spark, d)
-    model = TopicModel(4, 0.25, 0.25, max_iter=5).fit(scored, FEATURES, with_perplexity=False)
+    model = topic_fit(spark, d)
     path = fresh_path(spark, "topics")
     model.save(spark, path)
     return rounded(TopicModel.load(spark, path).transform(scored).select("id", *model.topics))
@@ -291,7 +313,7 @@ def _(spark, d):
 def _(spark, d):
     w = weighted_classes(spark, d)
     path = fresh_path(spark, "classifier")
-    quick_trees("forest").fit(w, TOPICS, "DX").save(spark, path)
+    tree_fit(spark, d).save(spark, path)
     return rounded(TopicClassifier.load(spark, path).predict(w).drop(*TOPICS))
 
 

@@ -26,6 +26,9 @@ class TopicClassifier:
     """One boosted-tree model per class, softmax of their margins.
 
     ``kind='forest'`` fits a single multiclass random forest instead.
+    ``rounds`` is the number of trees of each model; ``row_share``,
+    ``rows_per_leaf``, ``features_per_split`` and ``bins`` go to the engine's
+    tree learner as they are.
     """
 
     def __init__(
@@ -34,22 +37,32 @@ class TopicClassifier:
         n_splits: int = 5,
         seed: int = 42,
         class_weight: str | None = None,
-        rounds: int = 20,
-        depth: int = 5,
+        rounds: int = 100,
+        depth: int = 6,
         step: float = 0.3,
         workers: int = 4,
+        row_share: float = 1.0,
+        rows_per_leaf: int = 1,
+        features_per_split: str = "auto",
+        bins: int = 32,
     ):
         if kind not in ("boosted", "forest"):
             raise ValueError(f"unknown kind {kind!r}")
         self.kind, self.n_splits, self.seed, self.class_weight = kind, n_splits, seed, class_weight
         self.rounds, self.depth, self.step, self.workers = rounds, depth, step, workers
+        self.trees = dict(row_share=row_share, rows_per_leaf=rows_per_leaf, features_per_split=features_per_split, bins=bins)
         self.features: list[str] | None = None
         self.classes: list[str] | None = None
         self.models: list = []
 
+    def _engine(self) -> dict:
+        t = self.trees
+        return dict(subsamplingRate=t["row_share"], minInstancesPerNode=t["rows_per_leaf"],
+                    featureSubsetStrategy=t["features_per_split"], maxBins=t["bins"], maxDepth=self.depth, seed=self.seed)
+
     def _params(self) -> dict:
         return dict(kind=self.kind, n_splits=self.n_splits, seed=self.seed, class_weight=self.class_weight,
-                    rounds=self.rounds, depth=self.depth, step=self.step, workers=self.workers)
+                    rounds=self.rounds, depth=self.depth, step=self.step, workers=self.workers, **self.trees)
 
     def _fitted(self) -> list[str]:
         if not self.models:
@@ -77,7 +90,7 @@ class TopicClassifier:
             if self.kind == "forest":
                 forest = RandomForestClassifier(
                     featuresCol="_features", labelCol="_code", weightCol="_weight",
-                    numTrees=self.rounds, maxDepth=self.depth, seed=self.seed,
+                    numTrees=self.rounds, **self._engine(),
                 )
                 self.models = [forest.fit(fed)]
             else:
@@ -86,7 +99,7 @@ class TopicClassifier:
                     binary = fed.withColumn("_y", (F.col("_code") == k).cast("double"))
                     return GBTClassifier(
                         featuresCol="_features", labelCol="_y", weightCol="_weight", maxIter=self.rounds,
-                        maxDepth=self.depth, stepSize=self.step, seed=self.seed,
+                        stepSize=self.step, **self._engine(),
                     ).fit(binary)
 
                 tasks = [lambda k=k: one(k) for k in range(len(self.classes))]

@@ -21,36 +21,72 @@ def matrix_input(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(feature_vector(features, clip=False).alias("x"))
 
 
+# Partial sums that the driver adds up itself; more are first added in tasks.
+DIRECT_PARTS = 64
+
+
 def cached(df: DataFrame) -> DataFrame:
     """Keep the input of an iterative fit; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def fit_input(df: DataFrame, features: Sequence[str], nonnegative: bool = False) -> DataFrame:
+    """The cached feature block of a fit, refused if a value is missing.
+
+    One aggregate names the columns with null or NaN values and, with
+    ``nonnegative``, those with values below zero.
+    """
+    x = cached(matrix_input(df, features))
+    value = F.col("v")
+    checks = [F.max(value.isNull() | F.isnan(value)).alias("missing"), F.max(value < 0).alias("negative")]
+    bad = (
+        x.select(F.posexplode("x").alias("pos", "v"))
+        .groupBy("pos")
+        .agg(*checks)
+        .filter("missing" + (" OR negative" if nonnegative else ""))
+        .collect()
+    )
+    if bad:
+        x.unpersist()
+        for kind in ("missing", "negative"):
+            names = [features[r["pos"]] for r in sorted(bad, key=lambda r: r["pos"]) if r[kind]]
+            if names and (kind == "missing" or nonnegative):
+                raise ValueError(f"{kind} values in {', '.join(names)}")
+    return x
+
+
 def sum_over_rows(
     x: DataFrame, length: int, step: Callable[[np.ndarray], np.ndarray], column: str = "x"
 ) -> np.ndarray:
     """Sum ``step(batch)`` (a flat array of ``length``) over all batches.
 
-    Every task emits one partial array; Spark adds them by position, so the
-    driver receives ``length`` numbers whatever the number of tasks.
+    Every task emits one partial array. Up to ``DIRECT_PARTS`` of them are
+    added on the driver; more are added in tasks first, level by level, so the
+    driver never holds more than that whatever the number of tasks.
     """
     from cohortloom.models.kernels import as_list_column, batch_matrix
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(length)
-        seen = False
-        for batch in batches:
-            if batch.num_rows:
-                total += step(batch_matrix(batch, column))
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([as_list_column(total[None, :])], names=["s"])
-
-    parts = x.select(column).mapInArrow(partial, "s array<double>")
-    sums = parts.select(F.posexplode("s").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(length)
-    out[sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
-    return out
+    def adding(name: str, add: Callable[[np.ndarray], np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(length)
+            seen = False
+            for batch in batches:
+                if batch.num_rows:
+                    total += add(batch_matrix(batch, name))
+                    seen = True
+            if seen:
+                yield pa.RecordBatch.from_arrays([as_list_column(total[None, :])], names=["s"])
+
+        return run
+
+    parts = x.select(column).mapInArrow(adding(column, step), "s array<double>")
+    count = getattr(x, "_part_count", None)
+    if count is None:
+        count = x._part_count = x.rdd.getNumPartitions()
+    while count > DIRECT_PARTS:
+        count = -(-count // DIRECT_PARTS)
+        parts = parts.repartition(count).mapInArrow(adding("s", lambda m: m.sum(axis=0)), "s array<double>")
+    return batch_matrix(parts.toArrow().combine_chunks(), "s").reshape(-1, length).sum(axis=0)
 
 
 def map_rows(

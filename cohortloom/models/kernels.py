@@ -14,12 +14,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EPS = np.finfo(np.float64).eps
 
 
-def batch_matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """An array<double> column as a dense matrix, negatives clipped at 0."""
+def batch_matrix(batch: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    """An array<double> column as a dense matrix; missing entries are NaN."""
     values = batch.column(batch.schema.get_field_index(column))
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    # missing entries arrive as NaN, which the clip keeps
-    return np.maximum(flat, 0.0).reshape(len(values), -1) if len(values) else np.zeros((0, 0))
+    return flat.reshape(len(values), -1) if len(values) else np.zeros((0, 0))
 
 
 def as_list_column(matrix: np.ndarray) -> pa.Array:
@@ -85,16 +86,18 @@ def topic_posterior(x: np.ndarray, word: np.ndarray, alpha: float, steps: int =
     return gamma
 
 
-def topic_statistics(x: np.ndarray, word: np.ndarray, alpha: float) -> np.ndarray:
+def topic_statistics(x: np.ndarray, word: np.ndarray, alpha: float, steps: int = 100, tol: float = 1e-3) -> np.ndarray:
     """Sufficient statistics of one batch, topics x features."""
-    weight = np.exp(dirichlet_log_mean(topic_posterior(x, word, alpha)))
+    weight = np.exp(dirichlet_log_mean(topic_posterior(x, word, alpha, steps, tol)))
     norm = weight @ word + EPS
     return (weight.T @ (x / norm)) * word
 
 
-def topic_bound(x: np.ndarray, word_log: np.ndarray, word: np.ndarray, alpha: float) -> float:
+def topic_bound(
+    x: np.ndarray, word_log: np.ndarray, word: np.ndarray, alpha: float, steps: int = 100, tol: float = 1e-3
+) -> float:
     """The per-row part of the variational bound, summed over a batch."""
-    gamma = topic_posterior(x, word, alpha)
+    gamma = topic_posterior(x, word, alpha, steps, tol)
     theta_log = dirichlet_log_mean(gamma)
     score = 0.0
     # log sum_k exp(theta + beta), stably and for a few hundred rows at a time

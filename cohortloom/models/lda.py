@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortloom.functions.rowwise import named
 from cohortloom.models import kernels
 from cohortloom.models.common import (
-    cached,
+    fit_input,
     map_rows,
     matrix_input,
     read_json,
@@ -34,7 +34,11 @@ class TopicModel:
     """Topics over a block of non-negative features.
 
     ``tol`` ends the fit once the mean relative change of the topic
-    parameters falls below it; 0 always runs ``max_iter`` passes.
+    parameters falls below it; 0 always runs ``max_iter`` passes. A row's
+    posterior takes up to ``posterior_steps`` steps, or stops when they move
+    less than ``posterior_tol``. After a fit ``n_iter_`` has the passes made,
+    ``converged_`` whether ``tol`` was reached. Missing or negative values are
+    refused.
     """
 
     def __init__(
@@ -44,14 +48,17 @@ class TopicModel:
         beta: float = 0.1,
         max_iter: int = 500,
         seed: int = 42,
-        tol: float = 1e-4,
+        tol: float = 0.0,
+        posterior_steps: int = 100,
+        posterior_tol: float = 1e-3,
     ):
         self.n_topics, self.alpha, self.beta = n_topics, float(alpha), float(beta)
         self.max_iter, self.seed, self.tol = max_iter, seed, tol
+        self.posterior_steps, self.posterior_tol = posterior_steps, posterior_tol
         self.features: list[str] | None = None
         self.components: np.ndarray | None = None
         self.perplexity_: float | None = None
-        self.n_iter_ = 0
+        self.n_iter_, self.converged_ = 0, False
         self.mass_: list[float] = []
 
     def _fitted(self) -> np.ndarray:
@@ -61,7 +68,8 @@ class TopicModel:
 
     def fit(self, df: DataFrame, features: Sequence[str], with_perplexity: bool = True) -> "TopicModel":
         self.features = list(features)
-        x = cached(matrix_input(df, features))
+        x = fit_input(df, features, nonnegative=True)
+        settle = (self.posterior_steps, self.posterior_tol)
         try:
             shape = (self.n_topics, len(self.features))
             lam = np.random.RandomState(self.seed).gamma(100.0, 0.01, shape)
@@ -69,13 +77,14 @@ class TopicModel:
             for i in range(self.max_iter):
                 word = np.exp(kernels.dirichlet_log_mean(lam))
                 stats = sum_over_rows(
-                    x, lam.size, lambda m, w=word: kernels.topic_statistics(m, w, alpha).ravel()
+                    x, lam.size, lambda m, w=word: kernels.topic_statistics(m, w, alpha, *settle).ravel()
                 ).reshape(shape)
                 new = self.beta + stats
                 change = float(np.abs(new - lam).mean() / max(np.abs(lam).mean(), 1e-300))
                 lam, self.n_iter_ = new, i + 1
                 self.mass_.append(float(lam.sum()))
-                if change < self.tol:
+                self.converged_ = change < self.tol
+                if self.converged_:
                     break
             self.components = lam
             self.perplexity_ = self._perplexity(x) if with_perplexity else None
@@ -84,11 +93,11 @@ class TopicModel:
         return self
 
     def _perplexity(self, x: DataFrame) -> float:
-        lam, alpha = self._fitted(), self.alpha
+        lam, alpha, settle = self._fitted(), self.alpha, (self.posterior_steps, self.posterior_tol)
         word_log = kernels.dirichlet_log_mean(lam)
         word = np.exp(word_log)
         bound, mass = sum_over_rows(
-            x, 2, lambda m: np.array([kernels.topic_bound(m, word_log, word, alpha), m.sum()])
+            x, 2, lambda m: np.array([kernels.topic_bound(m, word_log, word, alpha, *settle), m.sum()])
         )
         eta, width = self.beta, lam.shape[1]
         bound += float(((eta - lam) * word_log).sum())
@@ -102,11 +111,11 @@ class TopicModel:
 
     def transform(self, df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
         """Add ``Topic_k`` weights (rows sum to 1); the topics stay fixed."""
-        lam, alpha = self._fitted(), self.alpha
+        lam, alpha, settle = self._fitted(), self.alpha, (self.posterior_steps, self.posterior_tol)
         word = np.exp(kernels.dirichlet_log_mean(lam))
 
         def weights(m):
-            gamma = kernels.topic_posterior(m, word, alpha)
+            gamma = kernels.topic_posterior(m, word, alpha, *settle)
             return gamma / gamma.sum(axis=1, keepdims=True)
 
         return map_rows(df, features or self.features, weights, self.topics)
@@ -139,13 +148,17 @@ class TopicModel:
     def save(self, spark: SparkSession, path: str) -> None:
         write_matrix(spark, f"{path}/components", self._fitted())
         params = dict(n_topics=self.n_topics, alpha=self.alpha, beta=self.beta, max_iter=self.max_iter,
-                      seed=self.seed, tol=self.tol, features=self.features, perplexity=self.perplexity_)
+                      seed=self.seed, tol=self.tol, features=self.features, perplexity=self.perplexity_,
+                      n_iter=self.n_iter_, converged=self.converged_, posterior_steps=self.posterior_steps,
+                      posterior_tol=self.posterior_tol)
         write_json(spark, f"{path}/params", params)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TopicModel":
         p = read_json(spark, f"{path}/params")
-        model = cls(p["n_topics"], p["alpha"], p["beta"], p["max_iter"], p["seed"], p["tol"])
+        model = cls(p["n_topics"], p["alpha"], p["beta"], p["max_iter"], p["seed"], p["tol"],
+                    p["posterior_steps"], p["posterior_tol"])
         model.features, model.perplexity_ = p["features"], p["perplexity"]
+        model.n_iter_, model.converged_ = p["n_iter"], p["converged"]
         model.components = read_matrix(spark, f"{path}/components")
         return model
