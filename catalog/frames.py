@@ -54,21 +54,29 @@ SCORES = (
     "scores AS (SELECT *, greatest(-z, 0.0) AS s FROM signed)"
 )
 
-# --- weights: the class-like shares of four score features, as topic weights ----
+# --- weights: the shares of four blocks of 16 features each, as topic weights ----
 TOPICS = [f"Topic_{k}" for k in range(4)]
 
 
+def weight_columns() -> list:
+    """Four non-negative weights that sum to 1, from all 64 features of a row."""
+    blocks = [[F.abs(F.col(f"`VA/{i}`")) for i in range(16 * k, 16 * k + 16)] for k in range(4)]
+    raw = [sum(block[1:], block[0]) + F.lit(0.01) for block in blocks]
+    total = raw[0] + raw[1] + raw[2] + raw[3]
+    return [(w / total).alias(t) for w, t in zip(raw, TOPICS)]
+
+
 def topic_weights(spark: SparkSession, d: str) -> DataFrame:
     """id, DX and four non-negative weights summing to 1 per row."""
-    c = cohort(spark, d)
-    raw = [F.abs(F.col(f"`VA/{k}`")) + F.lit(0.01) for k in range(4)]
-    total = raw[0] + raw[1] + raw[2] + raw[3]
-    return c.select("id", "DX", *[(w / total).alias(t) for w, t in zip(raw, TOPICS)])
+    return cohort(spark, d).select("id", "DX", *weight_columns())
 
 
 WEIGHTS = (
     "raw_w AS (SELECT vec_id AS id, 'D' || CAST(label AS VARCHAR) AS DX, "
-    + ", ".join(f"abs(CAST(embedding[{k + 1}] AS DOUBLE)) + 0.01 AS w{k}" for k in range(4))
+    + ", ".join(
+        " + ".join(f"abs(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(16 * k, 16 * k + 16)) + f" + 0.01 AS w{k}"
+        for k in range(4)
+    )
     + " FROM embeddings), weights AS (SELECT id, DX, "
     + ", ".join(f"w{k} / (w0 + w1 + w2 + w3) AS Topic_{k}" for k in range(4))
     + " FROM raw_w)"

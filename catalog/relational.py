@@ -302,12 +302,12 @@ def _(spark, d):
 @query(
     "ag13_area_means",
     f"WITH {VOXELS} SELECT v.subject, "
-    + ", ".join(f"{r(f'avg(v.value) FILTER (WHERE a.label = {k})')} AS \"{k}\"" for k in (1, 2, 3, 9))
+    + ", ".join(f"{r(f'avg(v.value) FILTER (WHERE a.label = {k})')} AS \"{k}\"" for k in (1, 2, 3, 4, 5, 6, 7, 9))
     + " FROM voxels v JOIN atlas a ON v.place = a.place GROUP BY v.subject",
 )
 def _(spark, d):
     means = ag.roi_means(fr.voxels(spark, d), fr.atlas(spark, d), "subject", ["place"], "label", "value")
-    return rounded(ag.roi_means_wide(means, "subject", "label", [1, 2, 3, 9]))
+    return rounded(ag.roi_means_wide(means, "subject", "label", [1, 2, 3, 4, 5, 6, 7, 9]))
 
 
 @query("ag14_label_cell_counts", f"WITH {VOXELS} SELECT label, count(*) AS n_cells FROM atlas GROUP BY label")

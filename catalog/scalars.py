@@ -380,9 +380,9 @@ def pattern_matrix(spark, d):
 
 
 def _subjects(spark, d):
-    """All features next to the topic weights, by id."""
+    """All features next to the topic weights of the same row."""
     c = cohort(spark, d).drop("DX")
-    return c.join(fr.topic_weights(spark, d).drop("DX"), "id")
+    return c.select(*[F.col(f"`{n}`") for n in c.columns], *fr.weight_columns())
 
 
 PARTIAL = (

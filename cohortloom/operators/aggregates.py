@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions.rowwise import double_of, named, nan_to_null, quoted
@@ -74,14 +75,9 @@ def group_counts(df: DataFrame, group: str) -> DataFrame:
 def group_shares(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
     """Share of every value (missing counts as a value) inside ``within``."""
     counts = df.groupBy(*[named(w) for w in within], named(value)).agg(F.count("*").alias("n"))
-    if not within:
-        return counts.withColumn("prop", F.col("n") / F.lit(df.count()))
-    totals = df.groupBy(*[named(w).alias(f"_w{i}") for i, w in enumerate(within)]).agg(F.count("*").alias("_t"))
-    match = F.lit(True)
-    for i, w in enumerate(within):
-        match = match & named(w).eqNullSafe(F.col(f"_w{i}"))
-    shares = join_small(counts, totals, match).withColumn("prop", F.col("n") / F.col("_t"))
-    return shares.drop("_t", *[f"_w{i}" for i in range(len(within))])
+    # the window runs over counted values, one row each
+    total = F.sum("n").over(W.partitionBy(*[named(w) for w in within]))
+    return counts.withColumn("prop", F.col("n") / total)
 
 
 def flag_prevalence(df: DataFrame, group: str, flags: Sequence[str]) -> DataFrame:
@@ -125,11 +121,11 @@ def flag_positive_means(df: DataFrame, flags: Sequence[str], names: Sequence[str
 def contrast_to_others(means: DataFrame, group: str, target: str, names: Sequence[str]) -> DataFrame:
     """Target's mean minus the plain mean of the other groups' means."""
     values, labels = feature_vector(names, clip=False), name_array(names)
-    is_target = named(group).cast("string") == target
+    is_target, mean = named(group).cast("string") == target, nan_to_null(F.col("mean"))
     return (
         means.select(named(group), F.posexplode(values).alias("pos", "mean"))
         .groupBy("pos")
-        .agg((F.avg(F.when(is_target, F.col("mean"))) - F.avg(F.when(~is_target, F.col("mean")))).alias("contrast"))
+        .agg((F.avg(F.when(is_target, mean)) - F.avg(F.when(~is_target, mean))).alias("contrast"))
         .select(F.get(labels, F.col("pos")).alias("feature"), "contrast")
         .orderBy(F.desc("contrast"), "feature")
     )
@@ -140,7 +136,7 @@ def coefficient_importance(coefficients: DataFrame, names: Sequence[str]) -> Dat
     return (
         long_features(coefficients, [], names)
         .groupBy("pos")
-        .agg(F.avg(F.abs("value")).alias("importance"))
+        .agg(F.avg(F.abs(nan_to_null(F.col("value")))).alias("importance"))
         .select(F.get(name_array(names), F.col("pos")).alias("feature"), "importance")
         .orderBy(F.desc("importance"), "feature")
     )

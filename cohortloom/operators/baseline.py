@@ -108,8 +108,8 @@ class CohortBaselines:
         return cls(cohort, list(names), arrays)
 
     def apply(self, df: DataFrame, clip: bool = True) -> DataFrame:
-        """Score every row against its cohort; cohorts without one drop."""
-        joined = join_small(df, self.arrays, [self.cohort])
+        """Score every row against its cohort; without reference rows of its cohort a row's scores are missing."""
+        joined = join_small(df, self.arrays, [self.cohort], "left")
         scores = []
         for i, n in enumerate(self.features):
             z = f"(({double_of(n)} - _means[{i}]) / _stds[{i}])"

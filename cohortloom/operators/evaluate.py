@@ -56,7 +56,8 @@ def accuracy(df: DataFrame, observed: str, predicted: str) -> DataFrame:
 def classification_report(df: DataFrame, observed: str, predicted: str, labels: Sequence[str]) -> DataFrame:
     """Per label, then macro, weighted and accuracy rows; 0/0 counts as 0.
 
-    Each input row is read as two label events and summed per label.
+    Each input row is read as two label events and summed per label. The
+    accuracy row is over all rows that have both labels, listed or not.
     """
     both = df.filter(named(observed).isNotNull() & named(predicted).isNotNull())
     event = F.explode(
@@ -90,8 +91,8 @@ def classification_report(df: DataFrame, observed: str, predicted: str, labels:
             F.lit(name).alias("label"), "precision", "recall", "f1", "support"
         )
 
-    right = F.coalesce(F.try_divide(F.sum("_h"), F.sum("support")), F.lit(0.0))
-    overall = per.agg(right.alias("a"), F.sum("support").alias("support")).select(
+    share, count = F.col("accuracy"), F.col("n")
+    overall = accuracy(df, observed, predicted).select(F.coalesce(share, F.lit(0.0)).alias("a"), count.alias("support")).select(
         F.lit("accuracy").alias("label"),
         F.col("a").alias("precision"),
         F.col("a").alias("recall"),
@@ -107,13 +108,13 @@ def classification_report(df: DataFrame, observed: str, predicted: str, labels:
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Add ``rows / (classes * rows of the class)``."""
+    """Add ``rows / (classes * rows of the class)``; unlabelled rows get none."""
     counts = df.filter(named(label).isNotNull()).groupBy(named(label)).agg(F.count("*").alias("_n"))
     everything = W.partitionBy()  # over one row per class
     weights = counts.select(
         named(label), (F.sum("_n").over(everything) / (F.count("*").over(everything) * F.col("_n"))).alias(out)
     )
-    return join_small(df, weights, [label])
+    return join_small(df, weights, [label], "left")
 
 
 def encode_labels(df: DataFrame, label: str, out: str = "label_code") -> tuple[DataFrame, list[str]]:

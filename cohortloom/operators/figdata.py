@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import named, row_total, swap_text
+from cohortloom.functions.rowwise import named, nan_to_null, row_total, swap_text
 from cohortloom.operators.aggregates import (
     box_summary,
     flag_positive_means,
@@ -38,7 +38,7 @@ def class_profiles(df: DataFrame, group: Sequence[str] | str, names: Sequence[st
     """
     groups, kept = with_group(df, group)
     sums = kept.groupBy(*[named(g) for g in groups]).agg(
-        F.count("*").alias("n"), *[F.avg(named(n).cast("double")).alias(n) for n in names]
+        F.count("*").alias("n"), *[F.avg(nan_to_null(named(n).cast("double"))).alias(n) for n in names]
     )
     entries = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), named(n).alias("mean")) for n in names]))
     long = sums.select(*[named(g) for g in groups], "n", entries.alias("e")).select(
@@ -161,7 +161,7 @@ def flag_panels(
     )
     large = group_counts(rows, "flag").filter(F.col("n") >= minimum).select("flag")
     kept = rows.join(F.broadcast(large), ["flag"], "left_semi")  # at most one row per listed flag
-    placed = sorted_position(kept, [named(score).desc_nulls_last(), *[named(i) for i in ids]], ["flag"])
+    placed = sorted_position(kept, [nan_to_null(named(score).cast("double")).desc_nulls_last(), *[named(i) for i in ids]], ["flag"])
     return profiles, placed
 
 

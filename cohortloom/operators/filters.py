@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.rowwise import named
 from cohortloom.operators.columns import long_features, name_array
-from cohortloom.runtime import join_small
 
 
 def differs_from(df: DataFrame, name: str, value) -> DataFrame:
@@ -82,7 +81,7 @@ def flag_set(df: DataFrame, flag: str) -> DataFrame:
 def groups_of_size(df: DataFrame, group: str, minimum: int) -> DataFrame:
     """Rows of groups with at least ``minimum`` rows."""
     big = df.groupBy(named(group)).count().filter(F.col("count") >= minimum).select(named(group))
-    return join_small(df, big, [group], "left_semi")
+    return df.join(big, [group], "left_semi")
 
 
 def confusion_cell(df: DataFrame, observed: str, predicted: str, observed_is, predicted_is) -> DataFrame:
@@ -98,4 +97,4 @@ def first_match(
         .filter("_rn = 1")
         .select(named(lookup_key).alias("_k"), named(value).alias(value))
     )
-    return join_small(df, first, named(key) == F.col("_k"), "left").drop("_k")
+    return df.join(first, named(key) == F.col("_k"), "left").drop("_k")

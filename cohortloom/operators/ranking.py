@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import named, order_index, probability_of
+from cohortloom.functions.rowwise import named, nan_to_null, order_index, probability_of
 from cohortloom.operators.spread import hash_cut, hash_rank, sorted_position
 from cohortloom.runtime import bounded_rows
 
 
 def top_per_group(patterns: DataFrame, group: str, score: str, place: str, n: int) -> DataFrame:
     """The ``n`` highest scores per group; ties go to the lower place."""
-    window = W.partitionBy(named(group)).orderBy(named(score).desc(), named(place))
+    window = W.partitionBy(named(group)).orderBy(nan_to_null(named(score).cast("double")).desc_nulls_last(), named(place))
     return patterns.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 
 
@@ -80,7 +80,7 @@ def group_then_score(df: DataFrame, group: str, order: Sequence[str], score: str
 
     Values outside the list count as a missing group and come last.
     """
-    return [order_index(named(group), order).asc_nulls_last(), named(score).desc_nulls_last(), *[named(i) for i in ids]]
+    return [order_index(named(group), order).asc_nulls_last(), nan_to_null(named(score).cast("double")).desc_nulls_last(), *[named(i) for i in ids]]
 
 
 def order_by_groups(df: DataFrame, group: str, order: Sequence[str], score: str, ids: Sequence[str]) -> DataFrame:
@@ -122,10 +122,11 @@ def group_boundaries(df: DataFrame, group: str, order: Sequence[str]) -> DataFra
 
 
 def best_setting(results: DataFrame, setting: str, score: str, smallest: bool = True) -> DataFrame:
-    """The setting with the smallest (or largest) score."""
+    """The setting with the smallest (or largest) score; missing scores don't count."""
     pick = F.min_by if smallest else F.max_by
     edge = F.min if smallest else F.max
-    return results.agg(pick(named(setting), named(score)).alias(setting), edge(named(score)).alias(score))
+    value = nan_to_null(named(score).cast("double"))
+    return results.agg(pick(named(setting), value).alias(setting), edge(value).alias(score))
 
 
 def mismatch_positions(placed: DataFrame, observed: str, predicted: str, position: str = "position") -> DataFrame:

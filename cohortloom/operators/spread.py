@@ -84,12 +84,11 @@ def hash_rank(df: DataFrame, group: str, ids: Sequence[str], seed: int = 42) ->
 def hash_cut(df: DataFrame, group: str, ids: Sequence[str], limit: Column, seed: int = 42) -> DataFrame:
     """Keep the first ``limit`` rows of each group by hash key.
 
-    Groups within their limit stay whole. For others the piece that reaches
-    the limit is found from counts; rows of later pieces are dropped before
-    any shuffle, and only the last kept piece has to be ranked.
+    Groups within their limit stay whole and are not ranked. For others the
+    piece that reaches the limit is found from counts; rows of later pieces
+    are dropped before any shuffle, and only the last kept piece is ranked.
     """
     sizes = _group_sizes(df, group).withColumn("_limit", limit.cast("long"))
-    sizes = sizes.withColumn("_digits", F.when(F.col("_size") > F.col("_limit"), F.col("_digits")).otherwise(0))
     sizes, several = _known(sizes)
     if several:
         offsets = _piece_offsets(_cut_up(df, group, ids, seed, sizes), group)
@@ -100,13 +99,15 @@ def hash_cut(df: DataFrame, group: str, ids: Sequence[str], limit: Column, seed:
         sizes = sizes.withColumns({"_last": F.lit(None).cast("string"), "_before": F.lit(0).cast("long")})
     cuts = sizes.na.fill({"_last": "", "_before": 0})
     inside = W.partitionBy(named(group), "_piece").orderBy("_key", *[named(i) for i in ids])
-    return (
-        _cut_up(df, group, ids, seed, cuts)
-        .filter("_piece <= _last")
+    cut = _cut_up(df, group, ids, seed, cuts)
+    unranked = cut.filter("_size <= _limit OR _piece < _last")
+    ranked = (
+        cut.filter("_size > _limit AND _piece = _last")
         .withColumn("_rn", F.row_number().over(inside))
-        .filter("_size <= _limit OR _piece < _last OR _before + _rn <= _limit")
-        .select(*[named(c) for c in df.columns])
+        .filter("_before + _rn <= _limit")
+        .drop("_rn")
     )
+    return unranked.unionByName(ranked).select(*[named(c) for c in df.columns])
 
 
 def sorted_position(
@@ -146,15 +147,52 @@ def sorted_position(
     )
 
 
+# Places of the grid that the sketch of an interval is read at.
+GRID = 1000
+
+
+def _narrowed(clean: DataFrame, spans: DataFrame, group: Sequence[str], accuracy: int) -> DataFrame:
+    """Intervals that hold at most ``4 * accuracy`` rows, or few distinct values."""
+    keys, before = [named(g) for g in group], None
+    fixed = ["q", "lo", "hi", "r0", "r1", "part"]
+    while True:
+        inside = F.when(F.col("_v").between(F.col("s.lo"), F.col("s.hi")), F.col("_v"))
+        seen = settle(
+            join_small(clean, spans, list(group))
+            .select(*keys, "_v", "n", F.explode("_spans").alias("s"))
+            .groupBy(*keys, "n", "s")
+            .agg(
+                F.count_if(F.col("_v") < F.col("s.lo")).alias("_below"),
+                F.count(inside).alias("_c"),
+                F.percentile_approx(inside, [i / GRID for i in range(GRID + 1)], accuracy).alias("_g"),
+            )
+        )
+        largest = seen.agg(F.max(F.when(F.col("s.lo") < F.col("s.hi"), F.col("_c")))).first()[0] or 0
+        if largest <= 4 * accuracy or (before is not None and largest > before / 2):
+            return spans
+        before = largest
+        # the sketch is off by less than one grid step
+        low = F.greatest(F.floor((F.col("s.r0") - F.col("_below")) / F.col("_c") * GRID) - 2, F.lit(0)).cast("int")
+        high = F.least(F.ceil((F.col("s.r1") - F.col("_below") + 1) / F.col("_c") * GRID) + 2, F.lit(GRID)).cast("int")
+        wide = F.col("_c") > 4 * accuracy
+        lo = F.when(wide, F.get("_g", low)).otherwise(F.col("s.lo")).alias("lo")
+        hi = F.when(wide, F.get("_g", high)).otherwise(F.col("s.hi")).alias("hi")
+        ends = {"lo": lo, "hi": hi}
+        span = F.struct(*[ends.get(c, F.col(f"s.{c}").alias(c)) for c in fixed])
+        spans = settle(seen.groupBy(*keys, "n").agg(F.collect_list(span).alias("_spans")))
+
+
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per prob.
 
     Output: group columns, ``n`` and ``q0, q1, ...``. Missing values and rows
-    with a missing group are left out. Two scans: a bounded sketch gives an
-    interval sure to hold each wanted rank, then equal values inside it are
-    counted (map side first) and the rank is read off the running count.
+    with a missing group are left out. A bounded sketch gives an interval sure
+    to hold each wanted rank; as long as an interval holds more than
+    ``4 * accuracy`` rows, a sketch of the rows inside narrows it further.
+    Then equal values inside it are counted (map side first) and the rank is
+    read off the running count.
     """
     clean = df.select(*[named(g) for g in group], nan_to_null(named(value).cast("double")).alias("_v")).filter(
         F.col("_v").isNotNull()
@@ -186,6 +224,9 @@ def exact_quantiles(
             )
         )
     spans_df = sketch.select(*[named(g) for g in group], "n", F.array(*spans).alias("_spans"))
+    most = spans_df.agg(F.max("n")).first()[0] or 0
+    if most * 4 > accuracy * 4 * accuracy:
+        spans_df = _narrowed(clean, settle(spans_df), group, accuracy)
     tagged = (
         join_small(clean, spans_df, list(group))
         .select(*[named(g) for g in group], "_v", "n", F.explode("_spans").alias("s"))
