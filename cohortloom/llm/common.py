@@ -5,7 +5,9 @@ Document ids are integers. A null id is carried as ``NO_ID`` inside an operator
 
 from __future__ import annotations
 
-import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
 #: Bytes of text that a Python task works on at a time, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -24,8 +26,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application; they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "cohortloom.zip")
+    with zipfile.ZipFile(path, "w") as held:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    held.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a batch of very long texts fits in a Python worker."""
+    """Ship the code, and keep Arrow batches small, so that a batch of very long texts fits in a Python worker."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -80,21 +103,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 BASE = 0x5851F42D4C957F2D
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    def table(b: int) -> np.ndarray:
-        steps = np.full(n, b, dtype=U64)
-        steps[0] = 1
-        return np.cumprod(steps, dtype=U64)
-
-    return table(base), table(pow(base, -1, 2**64))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    size = 1 << max(int(n), 1 << 12).bit_length()
-    a, b = _powers(size, base)
-    return a[:n], b[:n]
+    """Powers of an odd base and of its inverse modulo 2**64; a worker keeps the longest tables asked for."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        steps = np.empty(max(n, 1 << 12), dtype=U64)
+
+        def table(b: int) -> np.ndarray:
+            steps[:] = b
+            steps[0] = 1
+            return np.cumprod(steps, dtype=U64)
+
+        _POWERS[base] = table(base), table(pow(base, -1, 2**64))
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
 
 
 class Rolling:

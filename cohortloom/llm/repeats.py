@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import U64, Rolling, id_column, mix, partitions, slices, small_batches, word_bounds, word_codes
+from cohortloom.llm.common import U64, Rolling, SLICE_BYTES, id_column, mix, partitions, slices, small_batches, word_bounds, word_codes
 from cohortloom.runtime import settle
 
 ROWS = "bucket int, kind int, doc long, blob binary"
@@ -42,7 +42,7 @@ HEAVY = 20_000
 MAX_HEAVY = 1 << 20
 #: Anchors and segments that a task gathers before it sends them.
 GATHER_ANCHORS = 1_000_000
-GATHER_SEGMENTS = 150_000
+GATHER_SEGMENTS = 100_000
 LOW = U64(0xFFFFFFFF)
 
 
@@ -142,7 +142,8 @@ def segments_of(shape: Shape, texts: Texts) -> tuple[Segments, Rolling]:
     cut = np.flatnonzero(np.diff(anchor)) + 1
     head, tail = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(anchor) - 1]])
     anchor = anchor[head]
-    return Segments(grams[anchor], anchor, window[head], window[tail], text[anchor]), rolling
+    # anchors have small hashes; mixed again they fall evenly into buckets
+    return Segments(mix(grams[anchor]), anchor, window[head], window[tail], text[anchor]), rolling
 
 
 def _anchors(shape: Shape, buckets: int):
@@ -239,7 +240,7 @@ def _compressed(buckets: int):
 
 def meet(texts: DataFrame, found: DataFrame, run: Callable, schema: str, buckets: int) -> DataFrame:
     """Bring each text together with what was found about its document and run ``run`` over them."""
-    return (texts.mapInArrow(_compressed(buckets), ROWS).unionByName(found).repartition(buckets, "bucket")
+    return (texts.mapInArrow(_compressed(buckets), ROWS).unionByName(found).repartitionById(buckets, "bucket")
             .sortWithinPartitions("kind", "doc").mapInArrow(run, schema))
 
 
@@ -258,7 +259,7 @@ def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[np.nda
                     continue
                 ids.append(doc), raws.append(opener.decompress(blob.as_py()))
                 size += len(raws[-1])
-                if size >= 2 << 20:
+                if size >= SLICE_BYTES:
                     yield ids, raws
                     ids, raws, size = [], [], 0
         if ids:
@@ -279,6 +280,19 @@ def stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def pick(held: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches, one after the other; about a megabyte at a time, as each byte takes a few numbers."""
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, held.dtype)
+    first = at = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(end, at + (1 << 20), side="right")))
+        part = held[stretches(start[first:last], size[first:last])]
+        out[at:at + len(part)] = part
+        first, at = last, at + len(part)
+    return out
+
+
 def earliest(group: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows with equal ``group`` keys: whether a row is the earliest one (the first of several alike), and whether an earlier one exists."""
     order = np.lexsort((place, doc, *group[::-1]))
@@ -344,7 +358,7 @@ def _segments(shape: Shape, buckets: int, heavy_grams: np.ndarray, engine):
                 a, b = texts.start[s.first[rows]], texts.end[s.last[rows] + shape.span - 1]
                 kept.append((s.gram[rows], rolling.of(s.first[rows], s.last[rows] + shape.span), doc[rows], s.first[rows] - base[rows],
                              s.last[rows] - s.first[rows] + 1, s.anchor[rows] - s.first[rows],
-                             np.concatenate([[0], np.cumsum(b - a)]), held[stretches(a, b - a)]))
+                             np.concatenate([[0], np.cumsum(b - a)]), pick(held, a, b - a)))
                 n += len(rows)
             if len(large):
                 size = s.last[large] - s.first[large] + 1
@@ -413,13 +427,13 @@ def windows(docs: DataFrame, id: str, text: str, shape: Shape, engine, heavy: in
     small_batches(spark)
     buckets = partitions(spark)
     texts = docs.select(id_column(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    repeated = settle(texts.mapInArrow(_anchors(shape, buckets), ROWS).repartition(buckets, "bucket")
+    repeated = settle(texts.mapInArrow(_anchors(shape, buckets), ROWS).repartitionById(buckets, "bucket")
                       .mapInArrow(_repeated_anchors(buckets, heavy), ROWS))
     grams = repeated.filter(F.col("kind") == SINGLE).orderBy(F.desc("bucket")).limit(MAX_HEAVY).select("doc").toArrow()
     heavy_grams = np.sort(grams.column("doc").to_numpy().view(U64))
     places = repeated.filter(F.col("kind") == PLACES)
     sent = meet(texts, places, _segments(shape, buckets, heavy_grams, engine), ROWS, buckets)
-    found = settle(sent.repartition(buckets, "bucket").mapInArrow(_repeated_windows(shape, buckets, engine), ROWS))
+    found = settle(sent.repartitionById(buckets, "bucket").mapInArrow(_repeated_windows(shape, buckets, engine), ROWS))
     return texts, found, buckets
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from cohortloom.llm import repeats
 from cohortloom.llm.common import give_back_id
-from cohortloom.llm.repeats import SEGMENTS, Shape, Texts, squeeze, stretches
+from cohortloom.llm.repeats import SEGMENTS, Shape, Texts, pick, squeeze, stretches
 
 SPAN, GRAM = 100, 32
 HASH = 8
@@ -35,9 +35,11 @@ HASH = 8
 def padded(held: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
     """Rows of ``width`` bytes: ``size`` bytes from ``start`` in steps of 1 or -1, then zeros."""
     found = np.zeros((len(start), width), np.uint8)
-    row = np.repeat(np.arange(len(start)), size)
-    nth = stretches(np.zeros(len(start), np.int64), size)
-    found[row, nth] = held[start[row] + step * nth]
+    for first in range(0, len(start), 1 << 13):
+        n = size[first:first + (1 << 13)]
+        row = np.repeat(np.arange(first, first + len(n)), n)
+        nth = stretches(np.zeros(len(n), np.int64), n)
+        found[row, nth] = held[start[row] + step * nth]
     return found
 
 
@@ -80,7 +82,7 @@ def send(gram, doc, first, windows, lead, start, size, held, buckets) -> list[tu
         same[0] = 0
         place = np.arange(width)
         rest = rows[part][(place >= same[:, None]) & (place < length[part][:, None])]
-        left = held[stretches(start[mine], lead[mine])]
+        left = pick(held, start[mine], lead[mine])
         out.append((b, SEGMENTS, 0, squeeze(same.astype(np.uint8), length[part].astype(np.uint8), rest, lead[mine].astype(np.uint8), left,
                                             windows[mine].astype(np.uint8), doc[mine], first[mine].astype(np.uint32))))
     return out

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm import repeats
-from cohortloom.llm.common import U64, give_back_id, id_column
-from cohortloom.llm.repeats import SEGMENTS, Shape, Texts, earliest, squeeze, stretches
+from cohortloom.llm.common import SLICE_BYTES, give_back_id, id_column
+from cohortloom.llm.repeats import SEGMENTS, Shape, Texts, earliest, pick, squeeze
 
 SPAN, GRAM = 20, 10
 
@@ -35,20 +35,26 @@ def send(gram, doc, first, windows, lead, start, size, held, buckets) -> list[tu
         part = order[edges[b]:edges[b + 1]]
         if len(part):
             rows.append((b, SEGMENTS, 0, squeeze(doc[part], first[part].astype(np.uint32), windows[part].astype(np.uint8),
-                                                 size[part].astype(np.uint32), held[stretches(start[part], size[part])])))
+                                                 size[part].astype(np.uint32), pick(held, start[part], size[part]))))
     return rows
 
 
 def repeated(segments: list[list[np.ndarray]], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(document, first word) of each window of the segments that has an earlier equal one."""
     doc, first, windows, size, held = (np.concatenate(c) for c in zip(*segments))
-    at = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-    texts = Texts(shape, held, at)
-    words = np.diff(texts.at)
-    if not np.array_equal(words, windows.astype(np.int64) + shape.span - 1):
-        raise ValueError("a segment doesn't have its words")
-    left = np.repeat(texts.at[1:], words) - np.arange(len(texts.codes))
-    node, depth = _nodes(texts.codes), 1
+    at, words = np.concatenate([[0], np.cumsum(size.astype(np.int64))]), windows.astype(np.int64) + shape.span - 1
+    codes, k = [], 0
+    while k < len(size):
+        last = max(k + 1, int(np.searchsorted(at, at[k] + SLICE_BYTES, side="right")) - 1)
+        texts = Texts(shape, held[at[k]:at[last]], at[k:last + 1] - at[k])
+        if not np.array_equal(np.diff(texts.at), words[k:last]):
+            raise ValueError("a segment doesn't have its words")
+        codes.append(texts.codes)
+        k = last
+    begin = np.concatenate([[0], np.cumsum(words)])
+    left = (np.repeat(begin[1:], words) - np.arange(begin[-1])).astype(np.int32)
+    node, depth = _nodes(np.concatenate(codes)), 1
+    del held, codes
     while depth < shape.span:
         below = min(2 * depth, shape.span)
         inner = np.flatnonzero((left >= below) & (node >= 0))
@@ -58,7 +64,7 @@ def repeated(segments: list[list[np.ndarray]], shape: Shape) -> tuple[np.ndarray
         node, depth = deeper, below
     deep = np.flatnonzero(node >= 0)
     segment = np.repeat(np.arange(len(words)), words)[deep]
-    place = first[segment].astype(np.int64) + deep - texts.at[segment]
+    place = first[segment].astype(np.int64) + deep - begin[segment]
     _, again = earliest((node[deep],), doc[segment], place)
     return doc[segment][again], place[again]
 
