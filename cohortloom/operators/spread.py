@@ -171,9 +171,10 @@ def _narrowed(clean: DataFrame, spans: DataFrame, group: Sequence[str], accuracy
         if largest <= 4 * accuracy or (before is not None and largest > before / 2):
             return spans
         before = largest
-        # the sketch is off by less than one grid step
-        low = F.greatest(F.floor((F.col("s.r0") - F.col("_below")) / F.col("_c") * GRID) - 2, F.lit(0)).cast("int")
-        high = F.least(F.ceil((F.col("s.r1") - F.col("_below") + 1) / F.col("_c") * GRID) + 2, F.lit(GRID)).cast("int")
+        # the sketch is off by 1/accuracy, and places lie between grid steps
+        steps = 2 + -(-2 * GRID // accuracy)
+        low = F.greatest(F.floor((F.col("s.r0") - F.col("_below")) / F.col("_c") * GRID) - steps, F.lit(0)).cast("int")
+        high = F.least(F.ceil((F.col("s.r1") - F.col("_below") + 1) / F.col("_c") * GRID) + steps, F.lit(GRID)).cast("int")
         wide = F.col("_c") > 4 * accuracy
         lo = F.when(wide, F.get("_g", low)).otherwise(F.col("s.lo")).alias("lo")
         hi = F.when(wide, F.get("_g", high)).otherwise(F.col("s.hi")).alias("hi")
