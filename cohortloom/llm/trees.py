@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM,
                     heavy: int = repeats.HEAVY) -> DataFrame:
-    """``id`` and ``clean``, the text without its removed words and the space behind each; one row per id."""
+    """``id``, ``was`` (XXH64 of the text) and ``clean``, the text without its removed words and the space behind each."""
     shape = Shape(True, span, gram)
     texts, found, buckets = repeats.windows(docs, id, text, shape, Engine, heavy)
 
@@ -144,14 +145,20 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", spa
         cut = np.concatenate([[0], np.cumsum(keep)])[at]
         raw = units.held[keep].tobytes()
         clean = [raw[a:b].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(clean, pa.string())], ["id", "clean"])
+        whole = units.held.tobytes()
+        was = np.array([xxhash.xxh64_intdigest(whole[a:b], 42) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(was), pa.array(clean, pa.string())], ["id", "was", "clean"])
 
-    return repeats.finish(texts, found, buckets, shape, rows, "id long, clean string")
+    return repeats.finish(texts, found, buckets, shape, rows, "id long, was long, clean string")
 
 
 def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated words taken out of ``text``; rows whose text has none are as they were, and other columns stay."""
-    texts = without_repeats(docs, id, text, **options).dropDuplicates(["id", "clean"])
-    kept = docs.withColumn("_id", id_column(id)).join(texts.withColumnRenamed("id", "_id"), "_id", "left")
-    new = F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.col("clean"))
+    texts = without_repeats(docs, id, text, **options).select(F.col("id").alias("_id"), F.col("was").alias("_was"), F.col("clean").alias("_clean"))
+    texts = texts.dropDuplicates(["_id", "_was"])
+    # the text itself stays behind: its hash tells which one a row had
+    body = F.col(text).cast("string")
+    rest = docs.withColumns({"_id": id_column(id), "_was": F.xxhash64(F.coalesce(body, F.lit(""))), "_none": body.isNull()}).drop(text)
+    kept = rest.join(texts, ["_id", "_was"], "left")
+    new = F.when(~F.col("_none"), F.col("_clean"))
     return kept.select(*[(new.alias(c) if c == text else F.col(c)) for c in docs.columns])
