@@ -29,9 +29,12 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+LIBRARY = Tokenizer.from_file(VOCAB)
+
+
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(VOCAB)
+    return LIBRARY
 
 
 def same_ids(library, text):
@@ -41,7 +44,7 @@ def same_ids(library, text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40) | st.text(alphabet="abtheing's \n\t12.,!é \u0085\x1c", max_size=60))
 def test_ids_equal_the_librarys(text):
-    library = Tokenizer.from_file(VOCAB)
+    library = LIBRARY
     found = bpe.encoder_of(VOCAB).ids(text)
     assert found == same_ids(library, text)
     assert bpe.encoder_of(VOCAB).decode(found).decode() == library.decode(found, skip_special_tokens=False)

@@ -89,10 +89,9 @@ def test_perplexity_equals_the_definition(spark, sf_dir):
 def test_quality_keeps_good_and_rejects_bad(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
-    found = ngram.score(docs, labels).join(labels, "doc_id").groupBy("quality").agg({"kept": "count"}).collect()
     both = {(r.quality, r.kept): r.n for r in ngram.score(docs, labels).join(labels, "doc_id").groupBy("quality", "kept").count()
             .withColumnRenamed("count", "n").collect()}
-    assert found and both.get((0, True), 0) <= 0.05 * both[0, False] and both.get((1, False), 0) <= 0.01 * both[1, True]
+    assert both.get((0, True), 0) <= 0.05 * both[0, False] and both.get((1, False), 0) <= 0.01 * both[1, True]
 
 
 def test_quality_edges(spark):
@@ -136,7 +135,7 @@ def test_archive_round_trip(spark, sf_dir):
     archive = warc.write(pages, fresh_path(spark, "t"))
     found = warc.lookup(archive, pages).collect()
     by = {r.page_id: r for r in found}
-    assert len(found) == 11 - 1 + 1 - 1 or len(found) == 10  # the repeated row was archived twice
+    assert len(found) == 10  # the repeated row was archived twice and is asked for once
     for i, _, html, _ in rows:
         raw = (html or "").encode()
         assert (by[i].payload_bytes, by[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
