@@ -54,38 +54,49 @@ SCORES = (
     "scores AS (SELECT *, greatest(-z, 0.0) AS s FROM signed)"
 )
 
-# --- weights: the shares of four blocks of 16 features each, as topic weights ----
+# --- weights: the shares of blocks of features, as topic weights ----
 TOPICS = [f"Topic_{k}" for k in range(4)]
+# one topic per patient class, as many as there are patterns
+PATTERN_TOPICS = [f"Topic_{k}" for k in range(9)]
 
 
-def weight_columns() -> list:
-    """Four non-negative weights that sum to 1, from all 64 features of a row."""
-    blocks = [[F.abs(F.col(f"`VA/{i}`")) for i in range(16 * k, 16 * k + 16)] for k in range(4)]
+def _blocks(n: int) -> list[list[int]]:
+    """All 64 features dealt to ``n`` blocks of neighbours."""
+    return [[i for i in range(64) if i * n // 64 == k] for k in range(n)]
+
+
+def weight_columns(topics: list[str] = TOPICS) -> list:
+    """Non-negative weights that sum to 1, from all 64 features of a row."""
+    blocks = [[F.abs(F.col(f"`VA/{i}`")) for i in block] for block in _blocks(len(topics))]
     raw = [sum(block[1:], block[0]) + F.lit(0.01) for block in blocks]
-    total = raw[0] + raw[1] + raw[2] + raw[3]
-    return [(w / total).alias(t) for w, t in zip(raw, TOPICS)]
+    total = sum(raw[1:], raw[0])
+    return [(w / total).alias(t) for w, t in zip(raw, topics)]
 
 
-def topic_weights(spark: SparkSession, d: str) -> DataFrame:
-    """id, DX and four non-negative weights summing to 1 per row."""
-    return cohort(spark, d).select("id", "DX", *weight_columns())
+def topic_weights(spark: SparkSession, d: str, topics: list[str] = TOPICS) -> DataFrame:
+    """id, DX and non-negative weights summing to 1 per row."""
+    return cohort(spark, d).select("id", "DX", *weight_columns(topics))
 
 
-WEIGHTS = (
-    "raw_w AS (SELECT vec_id AS id, 'D' || CAST(label AS VARCHAR) AS DX, "
-    + ", ".join(
-        " + ".join(f"abs(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(16 * k, 16 * k + 16)) + f" + 0.01 AS w{k}"
-        for k in range(4)
+def weights_sql(n: int) -> str:
+    total = " + ".join(f"w{k}" for k in range(n))
+    sums = ", ".join(
+        " + ".join(f"abs(CAST(embedding[{i + 1}] AS DOUBLE))" for i in block) + f" + 0.01 AS w{k}"
+        for k, block in enumerate(_blocks(n))
     )
-    + " FROM embeddings), weights AS (SELECT id, DX, "
-    + ", ".join(f"w{k} / (w0 + w1 + w2 + w3) AS Topic_{k}" for k in range(4))
-    + " FROM raw_w)"
-)
+    return (
+        f"raw_w AS (SELECT vec_id AS id, 'D' || CAST(label AS VARCHAR) AS DX, {sums} FROM embeddings), "
+        "weights AS (SELECT id, DX, " + ", ".join(f"w{k} / ({total}) AS Topic_{k}" for k in range(n)) + " FROM raw_w)"
+    )
+
+
+WEIGHTS = weights_sql(len(TOPICS))
+PATTERN_WEIGHTS = weights_sql(len(PATTERN_TOPICS))
 
-# --- patterns: class mean maps of the first four non-reference classes ----------
+# --- patterns: class mean maps of the nine non-reference classes ----------
 PATTERNS = (
     SCORES + ", patterns AS (SELECT CAST(substr(DX, 2) AS INTEGER) - 1 AS topic, pos, feature, avg(s) AS weight "
-    "FROM scores WHERE DX IN ('D1','D2','D3','D4') GROUP BY DX, pos, feature)"
+    "FROM scores WHERE DX <> 'D0' GROUP BY DX, pos, feature)"
 )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import frames as fr
-from catalog.frames import FEATURES, PATTERNS, PREDICTIONS, TOPICS, WEIGHTS, cohort, table
+from catalog.frames import FEATURES, PATTERN_TOPICS, PATTERN_WEIGHTS, PATTERNS, PREDICTIONS, TOPICS, cohort, table
 from catalog.registry import query, r, rounded
 from catalog.relational import patterns
 from cohortloom.functions.rowwise import collapse_labels
@@ -276,18 +276,18 @@ def _(spark, d):
 
 @query(
     "ml22_subject_and_pattern_tables",
-    f"WITH {PATTERNS}, {WEIGHTS} SELECT 'subject' AS part, CAST(id AS VARCHAR) AS key, DX, "
-    + ", ".join(f"{r(t)} AS {t}" for t in TOPICS)
+    f"WITH {PATTERNS}, {PATTERN_WEIGHTS} SELECT 'subject' AS part, CAST(id AS VARCHAR) AS key, DX, "
+    + ", ".join(f"{r(t)} AS {t}" for t in PATTERN_TOPICS)
     + " FROM weights UNION ALL SELECT 'pattern', feature, NULL, "
-    + ", ".join(r(f"max(weight) FILTER (WHERE topic = {k})") for k in range(4))
+    + ", ".join(r(f"max(weight) FILTER (WHERE topic = {k})") for k in range(9))
     + " FROM patterns GROUP BY feature",
 )
 def _(spark, d):
-    subjects = subject_topic_table(fr.topic_weights(spark, d), ["id"], "DX", 4).select(
-        F.lit("subject").alias("part"), F.col("id").cast("string").alias("key"), "DX", *TOPICS
+    subjects = subject_topic_table(fr.topic_weights(spark, d, PATTERN_TOPICS), ["id"], "DX", 9).select(
+        F.lit("subject").alias("part"), F.col("id").cast("string").alias("key"), "DX", *PATTERN_TOPICS
     )
-    features = pattern_wide(patterns(spark, d), 4).select(
-        F.lit("pattern").alias("part"), F.col("feature").alias("key"), F.lit(None).cast("string").alias("DX"), *TOPICS
+    features = pattern_wide(patterns(spark, d), 9).select(
+        F.lit("pattern").alias("part"), F.col("feature").alias("key"), F.lit(None).cast("string").alias("DX"), *PATTERN_TOPICS
     )
     return rounded(subjects.unionByName(features))
 

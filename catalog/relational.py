@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import frames as fr
 from catalog.frames import (
     CODES, COHORT, COHORT_LONG, FEATURES, FLAGS, FLAGS_SQL, PATTERNS, PREDICTIONS, PROBS, PROFILE, SCORES, STAGED,
-    STAGE_GROUPS, TOPICS, VOXELS, WEIGHTS, codes, cohort, q, table,
+    PATTERN_TOPICS, STAGE_GROUPS, TOPICS, VOXELS, WEIGHTS, codes, cohort, q, table,
 )
 from catalog.registry import query, r, rounded
 from catalog.tables import staged
@@ -384,10 +384,10 @@ def _(spark, d):
 
 # ---- rankings, samples, folds ------------------------------------------------------------
 def patterns(spark, d):
-    """Mean maps of classes D1..D4 as topics 0..3."""
+    """Mean maps of all classes but the reference D0; class Dk is topic k - 1."""
     c = cohort(spark, d)
     base = bl.baseline_table(c.filter("DX = 'D0'"), FEATURES)
-    maps = bl.group_maps(c.filter(F.col("DX").isin("D1", "D2", "D3", "D4")), "DX", FEATURES, base)
+    maps = bl.group_maps(c.filter("DX <> 'D0'"), "DX", FEATURES, base)
     return maps.select(
         (F.substring("DX", 2, 9).cast("int") - 1).alias("topic"), "pos", "feature", F.col("score").alias("weight")
     )
@@ -408,8 +408,8 @@ def _(spark, d):
 
 @query("wn2_largest_ten_per_column", _top(10))
 def _(spark, d):
-    wide = patterns(spark, d).groupBy("pos", "feature").pivot("topic", [0, 1, 2, 3]).agg(F.first("weight"))
-    long = rs.to_long(wide, ["pos", "feature"], ["0", "1", "2", "3"], "topic", "weight")
+    wide = patterns(spark, d).groupBy("pos", "feature").pivot("topic", list(range(9))).agg(F.first("weight"))
+    long = rs.to_long(wide, ["pos", "feature"], [str(k) for k in range(9)], "topic", "weight")
     long = long.withColumn("topic", F.col("topic").cast("int"))
     return rounded(rk.top_per_group(long, "topic", "weight", "pos", 10))
 
@@ -611,7 +611,7 @@ def _(spark, d):
 @query(
     "st5_transpose",
     f"WITH {PATTERNS} SELECT 'VA/' || CAST(pos AS VARCHAR) AS region, "
-    + ", ".join(f"{r(f'max(weight) FILTER (WHERE topic = {k})')} AS Topic_{k}" for k in range(4))
+    + ", ".join(f"{r(f'max(weight) FILTER (WHERE topic = {k})')} AS Topic_{k}" for k in range(9))
     + " FROM patterns GROUP BY pos",
 )
 def _(spark, d):
@@ -619,7 +619,7 @@ def _(spark, d):
         F.concat(F.lit("Topic_"), F.col("topic").cast("string")).alias("topic"), "feature", "weight"
     )
     rows = by_topic.groupBy("topic").pivot("feature", FEATURES).agg(F.first("weight"))
-    return rounded(rs.transpose(rows, "topic", FEATURES, TOPICS, "region"))
+    return rounded(rs.transpose(rows, "topic", FEATURES, PATTERN_TOPICS, "region"))
 
 
 @query(

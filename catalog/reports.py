@@ -372,7 +372,7 @@ def _(spark, d):
     label = F.when(F.col("DX") == "D0", "CN").otherwise(F.col("DX")).alias("DX")
     combination = F.when(F.col("id") % 3 == 0, "AD").when(F.col("id") % 3 == 1, "AD+LBD").otherwise("NC").alias("combination")
     subjects = c.select("id", label, combination, *[named(f) for f in FEATURES])
-    weights = class_weights_frame(spark, MANUAL, 4)
+    weights = class_weights_frame(spark, MANUAL, 9)
     scored = class_scores(subjects, FEATURES, patterns(spark, d), weights)
     return rounded(class_score_tests(scored, significant=False))
 

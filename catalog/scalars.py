@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import frames as fr
 from catalog.frames import CODES, COHORT, FEATURES, FLAGS, PATTERNS, PREDICTIONS, PROFILE, SCORES, STAGED, \
-    STAGES, TOPICS, WEIGHTS, codes, cohort, q, table
+    PATTERN_TOPICS, PATTERN_WEIGHTS, STAGES, TOPICS, WEIGHTS, codes, cohort, q, table
 from catalog.registry import query, r, rounded
 from catalog.relational import COMBINED, patterns
 from catalog.tables import staged
@@ -311,7 +311,7 @@ TOP_SCORES = (
     "FROM patterns) WHERE rn <= 10 AND pos <> 5), topscores AS (SELECT c.id, c.DX, t.topic, sum(c.s * t.weight) AS v "
     "FROM scores c JOIN top t ON c.pos = t.pos GROUP BY c.id, c.DX, t.topic)"
 )
-TOP_NAMES = [f"Topic_{k}_top10_weighted_z" for k in range(4)]
+TOP_NAMES = [f"Topic_{k}_top10_weighted_z" for k in range(9)]
 
 
 @query(
@@ -324,7 +324,11 @@ def _(spark, d):
     return rounded(_top_scored(spark, d).select("id", *TOP_NAMES))
 
 
-MANUAL = {"AD": {0: 0.5, 2: 0.2, 3: 0.3}, "LBD": {1: 0.4, 2: 0.6}, "PD": {0: 0.4, 3: 0.6}}
+MANUAL = {
+    "AD": {0: 0.3, 2: 0.2, 3: 0.2, 5: 0.3},
+    "LBD": {1: 0.4, 4: 0.2, 6: 0.4},
+    "PD": {0: 0.2, 7: 0.3, 8: 0.5},
+}
 
 
 def _projection(dx):
@@ -336,8 +340,8 @@ def _projection(dx):
     f"WITH {TOP_SCORES} SELECT id, " + ", ".join(f"{r(_projection(dx))} AS ND_{dx}" for dx in MANUAL) + " FROM topscores GROUP BY id",
 )
 def _(spark, d):
-    weights = tp.class_weights_frame(spark, MANUAL, 4)
-    scored = tp.project_classes(_top_scored(spark, d), weights, "DX", TOPICS, TOP_NAMES)
+    weights = tp.class_weights_frame(spark, MANUAL, 9)
+    scored = tp.project_classes(_top_scored(spark, d), weights, "DX", PATTERN_TOPICS, TOP_NAMES)
     return rounded(scored.select("id", *[f"ND_{dx}" for dx in MANUAL]))
 
 
@@ -347,33 +351,33 @@ def _scaled(k, t):
 
 @query(
     "sc28_mean_times_manual_weights",
-    f"WITH {WEIGHTS}, m AS (SELECT DX, " + ", ".join(f"avg({t}) AS {t}" for t in TOPICS) + " FROM weights GROUP BY DX) "
-    "SELECT DX, "
-    + ", ".join(f"{_scaled(k, t)} AS {t}" for k, t in enumerate(TOPICS))
+    f"WITH {PATTERN_WEIGHTS}, m AS (SELECT DX, " + ", ".join(f"avg({t}) AS {t}" for t in PATTERN_TOPICS)
+    + " FROM weights GROUP BY DX) SELECT DX, "
+    + ", ".join(f"{_scaled(k, t)} AS {t}" for k, t in enumerate(PATTERN_TOPICS))
     + " FROM m",
 )
 def _(spark, d):
     from cohortloom.operators.aggregates import group_means
 
-    means = group_means(fr.topic_weights(spark, d), "DX", TOPICS)
-    return rounded(tp.scale_class_means(means, {"D1": MANUAL["AD"]}, 4))
+    means = group_means(fr.topic_weights(spark, d, PATTERN_TOPICS), "DX", PATTERN_TOPICS)
+    return rounded(tp.scale_class_means(means, {"D1": MANUAL["AD"]}, 9))
 
 
 @query(
     "sc29_group_reconstruction",
-    f"WITH {PATTERNS}, {WEIGHTS}, m AS (" + " UNION ALL ".join(
-        f"SELECT DX, {k} AS topic, avg(Topic_{k}) AS mean FROM weights GROUP BY DX" for k in range(4))
+    f"WITH {PATTERNS}, {PATTERN_WEIGHTS}, m AS (" + " UNION ALL ".join(
+        f"SELECT DX, {k} AS topic, avg(Topic_{k}) AS mean FROM weights GROUP BY DX" for k in range(9))
     + f") SELECT m.DX, p.pos, p.feature, {r('sum(m.mean * p.weight)')} AS value FROM m JOIN patterns p ON m.topic = p.topic "
     "GROUP BY m.DX, p.pos, p.feature",
 )
 def _(spark, d):
-    return rounded(tp.reconstruct_groups(fr.topic_weights(spark, d), "DX", patterns(spark, d), 4))
+    return rounded(tp.reconstruct_groups(fr.topic_weights(spark, d, PATTERN_TOPICS), "DX", patterns(spark, d), 9))
 
 
 def pattern_matrix(spark, d):
-    """The four patterns on the driver: topics x features numbers."""
-    rows = bounded_rows(patterns(spark, d), 4 * len(FEATURES), "patterns")
-    matrix = [[0.0] * len(FEATURES) for _ in range(4)]
+    """The nine patterns on the driver: topics x features numbers."""
+    rows = bounded_rows(patterns(spark, d), 9 * len(FEATURES), "patterns")
+    matrix = [[0.0] * len(FEATURES) for _ in range(9)]
     for row in rows:
         matrix[row["topic"]][row["pos"]] = row["weight"]
     return matrix
@@ -382,14 +386,15 @@ def pattern_matrix(spark, d):
 def _subjects(spark, d):
     """All features next to the topic weights of the same row."""
     c = cohort(spark, d).drop("DX")
-    return c.select(*[F.col(f"`{n}`") for n in c.columns], *fr.weight_columns())
+    return c.select(*[F.col(f"`{n}`") for n in c.columns], *fr.weight_columns(PATTERN_TOPICS))
 
 
+CHOSEN = [0, 2, 5, 8]
 PARTIAL = (
-    PATTERNS + ", " + WEIGHTS + ", part AS (SELECT c.id, c.pos, c.x, c.mean, c.std, "
-    "w.Topic_0 * max(p.weight) FILTER (WHERE p.topic = 0) + w.Topic_2 * max(p.weight) FILTER (WHERE p.topic = 2) AS rec "
-    "FROM signed c JOIN weights w ON c.id = w.id JOIN patterns p ON c.pos = p.pos "
-    "GROUP BY c.id, c.pos, c.x, c.mean, c.std, w.Topic_0, w.Topic_2)"
+    PATTERNS + ", " + PATTERN_WEIGHTS + ", part AS (SELECT c.id, c.pos, c.x, c.mean, c.std, "
+    + " + ".join(f"w.Topic_{k} * max(p.weight) FILTER (WHERE p.topic = {k})" for k in CHOSEN)
+    + " AS rec FROM signed c JOIN weights w ON c.id = w.id JOIN patterns p ON c.pos = p.pos "
+    "GROUP BY c.id, c.pos, c.x, c.mean, c.std, " + ", ".join(f"w.Topic_{k}" for k in CHOSEN) + ")"
 )
 
 
@@ -400,9 +405,9 @@ def _wide(value, names, digits=6):
 @query("sc30_partial_reconstruction", f"WITH {PARTIAL} SELECT id, {_wide('7 - rec', FEATURES)} FROM part GROUP BY id")
 def _(spark, d):
     built = tp.partial_reconstruction(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], ceiling=7
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, PATTERN_TOPICS, CHOSEN, ceiling=7
     )
-    return rounded(built.drop(*TOPICS))
+    return rounded(built.drop(*PATTERN_TOPICS))
 
 
 NMF_NAMES = swap_family(FEATURES, "VA/", "VA_nmf/")
@@ -415,7 +420,7 @@ NMF_NAMES = swap_family(FEATURES, "VA/", "VA_nmf/")
 )
 def _(spark, d):
     built = tp.reweighted_features(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], NMF_NAMES
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, PATTERN_TOPICS, CHOSEN, NMF_NAMES
     )
     return rounded(built.select("id", *[named(n) for n in NMF_NAMES]))
 
@@ -423,7 +428,7 @@ def _(spark, d):
 @query("sc32_topic_mask", f"WITH {PARTIAL} SELECT id, {_wide('x * rec', NMF_NAMES)} FROM part GROUP BY id")
 def _(spark, d):
     built = tp.topic_masked_features(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], NMF_NAMES
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, PATTERN_TOPICS, CHOSEN, NMF_NAMES
     )
     return rounded(built.select("id", *[named(n) for n in NMF_NAMES]))
 
@@ -439,7 +444,7 @@ EXPECTED = swap_family(FEATURES, "VA/", "VA_ADpred/")
 def _(spark, d):
     base = Baseline.fit(cohort(spark, d).filter("DX = 'D0'"), FEATURES)
     built = tp.loss_and_expected(
-        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, TOPICS, [0, 2], base.means, base.stds, LOSS, EXPECTED
+        _subjects(spark, d), pattern_matrix(spark, d), FEATURES, PATTERN_TOPICS, CHOSEN, base.means, base.stds, LOSS, EXPECTED
     )
     return rounded(built.select("id", *[named(n) for n in [*LOSS, *EXPECTED]]))
 
