@@ -20,6 +20,7 @@ from cohortloom.models.nmf import FactorModel
 from cohortloom.models.pca import fit_components
 from cohortloom.operators import evaluate as ev
 from cohortloom.operators.baseline import Baseline
+from cohortloom.operators.figdata import importance_bars
 from cohortloom.operators.topics import pattern_wide, subject_topic_table, topic_names
 from cohortloom.plans.analysis import CohortModel, analyse_files, infer_with_logistic, sweep_topics
 from cohortloom.runtime import fresh_path
@@ -119,6 +120,11 @@ def _(spark, d):
     return rounded(model.scores(c).select("id", *model.names), 4)
 
 
+@query("ml6b_component_loadings")
+def _(spark, d):
+    return rounded(fit_components(cohort(spark, d), FEATURES, 8).loading_table(spark), 4)
+
+
 # ---- classifiers ---------------------------------------------------------------------------
 def weighted_classes(spark, d):
     w = fr.topic_weights(spark, d)
@@ -174,6 +180,11 @@ def _(spark, d):
     return rounded(model.cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"]), 3)
 
 
+@query("fd8b_importance_bars")
+def _(spark, d):
+    return rounded(importance_bars(tree_fit(spark, d).feature_importance(spark)))
+
+
 @query("ml13_feature_importance")
 def _(spark, d):
     return rounded(tree_fit(spark, d).feature_importance(spark))
@@ -262,6 +273,16 @@ def _(spark, d):
     return rounded(_fitted(spark, d)[1]["cv"])
 
 
+@query("ml20b_out_of_fold_report")
+def _(spark, d):
+    return rounded(_fitted(spark, d)[1]["cv_report"])
+
+
+@query("ml20c_out_of_fold_confusion")
+def _(spark, d):
+    return rounded(_fitted(spark, d)[1]["cv_confusion"])
+
+
 @query("ml21_analyse_files")
 def _(spark, d):
     folder = fresh_path(spark, "analysis")
@@ -317,6 +338,15 @@ def _(spark, d):
     return rounded(TopicClassifier.load(spark, path).predict(w).drop(*TOPICS))
 
 
+@query("io10b_factor_model_store")
+def _(spark, d):
+    scored, _ = patients(spark, d)
+    path = fresh_path(spark, "factors")
+    factor_fit(spark, d).save(spark, path)
+    model = FactorModel.load(spark, path)
+    return rounded(model.transform(scored).select("id", *model.topics))
+
+
 @query("io12_analysis_store")
 def _(spark, d):
     model, _ = _fitted(spark, d)

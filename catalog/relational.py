@@ -366,7 +366,7 @@ def _(spark, d):
 
 
 COMBINED = (
-    FLAGS_SQL + ", combined AS (SELECT o_custkey, price, nullif(concat_ws('+', "
+    FLAGS_SQL + ", combined AS (SELECT o_custkey, price, n_orders, nullif(concat_ws('+', "
     + ", ".join(f"CASE WHEN {f} = 1 THEN '{f}' END" for f in FLAGS)
     + "), '') AS combination FROM flags)"
 )
@@ -553,6 +553,19 @@ def _(spark, d):
     return rounded(rk.best_setting(spread, "k", "spread", smallest=True))
 
 
+@query(
+    "wn14b_most_accurate_setting",
+    f"WITH {PREDICTIONS}, a AS (SELECT o_custkey % 7 AS k, avg(CASE WHEN DX_true = DX_pred THEN 1.0 ELSE 0.0 END) AS accuracy "
+    "FROM predictions p JOIN orders o ON p.o_orderkey = o.o_orderkey GROUP BY 1) "
+    f"SELECT arg_max(k, accuracy) AS k, {r('max(accuracy)')} AS accuracy FROM a",
+)
+def _(spark, d):
+    made = fr.predictions(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    hit = (F.col("DX_true") == F.col("DX_pred")).cast("double")
+    scored = made.groupBy(F.pmod("o_custkey", F.lit(7)).alias("k")).agg(F.avg(hit).alias("accuracy"))
+    return rounded(rk.best_setting(scored, "k", "accuracy", smallest=False))
+
+
 @query(
     "wn15_misclassified_positions",
     f'WITH {PLACED} SELECT "position", DX_true, DX_pred FROM placed WHERE DX_true <> DX_pred',

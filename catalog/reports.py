@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import frames as fr
-from catalog.frames import FEATURES, FLAGS, PATTERNS, PREDICTIONS, PROBS, STAGED, STAGE_GROUPS, TOPICS, \
+from catalog.frames import FEATURES, FLAGS, PATTERNS, PREDICTIONS, PROBS, STAGE_COLUMNS, STAGED, STAGE_GROUPS, TOPICS, \
     WEIGHTS, q, table
 from catalog.registry import query, r, rounded
 from catalog.relational import COMBINED, GROUP_ORDER, PLACED, patterns
@@ -36,7 +36,32 @@ def _(spark, d):
     return rounded(made.drop("p"))
 
 
-@query("sg1b_correlation_p_values")
+def p_sql(tests: str, keep: str) -> str:
+    """Two-sided p of ``t`` with ``dof`` in ``tests``: Simpson sums of cos(u)^(dof-1), where t = sqrt(dof) tan(u).
+
+    Beyond 14 standard deviations the rest of the sum is below 1e-40.
+    """
+    return (
+        f"bound AS (SELECT *, least(atan(abs(t) / sqrt(dof)), 14 / sqrt(dof)) AS u FROM {tests}), "
+        "step AS (SELECT unnest(range(0, 2001)) AS i), "
+        f"tailed AS (SELECT {keep}, any_value(n) AS n, any_value(t) AS t, 1 - 2 * exp(lgamma((any_value(dof) + 1) / 2.0) "
+        "- lgamma(any_value(dof) / 2.0)) / sqrt(pi()) * any_value(u) / 6000 * sum((CASE WHEN i IN (0, 2000) THEN 1 "
+        "WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(u * i / 2000), dof - 1)) AS p "
+        f"FROM bound CROSS JOIN step GROUP BY {keep})"
+    )
+
+
+@query(
+    "sg1b_correlation_p_values",
+    "WITH c AS ("
+    + " UNION ALL ".join(
+        f"SELECT l_returnflag, '{c}' AS feature, count(*) AS n, corr({c}, l_extendedprice) AS r FROM lineitem GROUP BY l_returnflag"
+        for c in LI
+    )
+    + "), tt AS (SELECT *, n - 2 AS dof, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c), "
+    + p_sql("tt", "l_returnflag, feature, r")
+    + f" SELECT l_returnflag, feature, n, {r('r')} AS r, {r('abs(p)')} AS p FROM tailed",
+)
 def _(spark, d):
     return rounded(st.pearson_with_target(table(spark, d, "lineitem"), LI, "l_extendedprice", ["l_returnflag"]))
 
@@ -67,7 +92,12 @@ def _(spark, d):
     return rounded(st.paired_tests(fr.topic_weights(spark, d), "DX", TOPICS).drop("p"))
 
 
-@query("sg3b_paired_test_p_values")
+@query(
+    "sg3b_paired_test_p_values",
+    f"WITH {TESTS}, tt AS (SELECT *, n - 1 AS dof FROM tests), "
+    + p_sql("tt", "DX, first, second, mean_diff")
+    + f" SELECT DX, first, second, n, {r('mean_diff')} AS mean_diff, {r('t')} AS t, {r('abs(p)')} AS p FROM tailed",
+)
 def _(spark, d):
     return rounded(st.paired_tests(fr.topic_weights(spark, d), "DX", TOPICS))
 
@@ -102,6 +132,7 @@ def _(spark, d):
 
 
 # ---- figure tables -------------------------------------------------------------------------
+PREDICTED = ", ".join(q(c) for c in STAGE_COLUMNS)
 PROFILES = (
     WEIGHTS + ", means AS (" + " UNION ALL ".join(
         f"SELECT DX, count(*) AS n, '{t}' AS feature, avg({t}) AS mean FROM weights GROUP BY DX" for t in TOPICS) + ")"
@@ -119,13 +150,14 @@ def _(spark, d):
 @query(
     "fd2_combination_profiles",
     f"WITH {COMBINED}, c AS (SELECT replace(combination, 'FTD_ANY', 'FTD') AS combination, "
-    "CAST(len(string_split(combination, '+')) AS INTEGER) AS n_labels, price FROM combined WHERE combination IS NOT NULL), "
-    "g AS (SELECT combination, n_labels, count(*) AS n, 'price' AS feature, avg(price) AS mean FROM c GROUP BY 1, 2) "
+    "CAST(len(string_split(combination, '+')) AS INTEGER) AS n_labels, price, n_orders FROM combined WHERE combination IS NOT NULL), "
+    "g AS (SELECT combination, n_labels, count(*) AS n, 'price' AS feature, avg(price) AS mean FROM c GROUP BY 1, 2 UNION ALL "
+    "SELECT combination, n_labels, count(*), 'n_orders', avg(n_orders) FROM c GROUP BY 1, 2) "
     f"SELECT combination, n_labels, n, feature, {r('mean')} AS mean, {r('max(mean) OVER () * 1.1')} AS y_max FROM g",
 )
 def _(spark, d):
     combined = with_combination(fr.flags(spark, d), FLAGS)
-    return rounded(fd.combination_profiles(combined, "combination", "n_labels", ["price"]))
+    return rounded(fd.combination_profiles(combined, "combination", "n_labels", ["price", "n_orders"]))
 
 
 @query(
@@ -142,13 +174,14 @@ def _(spark, d):
     "fd4_subject_heatmap",
     f"WITH {STAGED}, g AS (SELECT stage_group, count(*) AS n, {GROUP_ORDER} AS o FROM staged WHERE stage_group IS NOT NULL GROUP BY 1), "
     'e AS (SELECT *, CAST(sum(n) OVER (ORDER BY o) AS BIGINT) AS "end" FROM g), '
-    "p AS (SELECT o_orderkey, stage_group, o_totalprice, row_number() OVER (ORDER BY "
+    f"p AS (SELECT o_orderkey, stage_group, o_totalprice, {PREDICTED}, row_number() OVER (ORDER BY "
     f'{GROUP_ORDER} NULLS LAST, o_totalprice DESC, o_orderkey) AS "position" FROM staged) '
-    'SELECT p.o_orderkey, p.stage_group, p.o_totalprice, p."position", e."end" FROM p LEFT JOIN e ON p.stage_group = e.stage_group',
+    'SELECT p.*, e."end" FROM p LEFT JOIN e ON p.stage_group = e.stage_group',
 )
 def _(spark, d):
     s = staged(spark, d)
-    placed, bounds = fd.subject_heatmap(s, "stage_group", STAGE_GROUPS, "o_totalprice", ["o_totalprice"], ["o_orderkey"])
+    names = ["o_totalprice", *STAGE_COLUMNS]
+    placed, bounds = fd.subject_heatmap(s, "stage_group", STAGE_GROUPS, "o_totalprice", names, ["o_orderkey"])
     return placed.join(F.broadcast(bounds.select("stage_group", "end")), "stage_group", "left")  # three rows
 
 
@@ -210,54 +243,79 @@ def _(spark, d):
     return rounded(fd.topic_boxes(fr.topic_weights(spark, d), "DX", TOPICS))
 
 
+STAGE_FAMILY = ["o_totalprice", *STAGE_COLUMNS]
+GROUPED = f"SELECT stage_group, count(*) AS n, {GROUP_ORDER} AS o, " + ", ".join(
+    f"avg({q(c)}) AS {q(c)}" for c in STAGE_FAMILY) + " FROM staged WHERE stage_group IS NOT NULL GROUP BY 1"
+
+
+def _panel(panel, key, value, feature="NULL", position="NULL", digits=4):
+    return (f"SELECT '{panel}' AS panel, {key} AS key, {feature} AS feature, CAST({position} AS BIGINT) AS \"position\", "
+            f"{r(value, digits)} AS value")
+
+
 @query(
     "fd10_discordance_panels",
-    f"WITH {STAGED} SELECT 'mean' AS panel, stage_group AS key, {r('avg(o_totalprice)', 3)} AS value FROM staged "
-    "WHERE stage_group IS NOT NULL GROUP BY stage_group UNION ALL "
-    "SELECT 'center', stage_group, " + r("sum(count(*)) OVER (ORDER BY " + GROUP_ORDER + ") - count(*) / 2.0", 3)
-    + " FROM staged WHERE stage_group IS NOT NULL GROUP BY stage_group UNION ALL "
-    f"SELECT 'r', 'pred/low', {r('corr(' + q('pred/low') + ', o_totalprice)')} FROM staged UNION ALL "
-    f"SELECT 'slope', 'pred/low', {r('regr_slope(o_totalprice, ' + q('pred/low') + ')', 3)} FROM staged UNION ALL "
-    "SELECT 'placed', 'last', CAST(count(*) AS DOUBLE) FROM staged",
+    f"WITH {STAGED}, g AS ({GROUPED}), placed AS (SELECT *, row_number() OVER (ORDER BY {GROUP_ORDER} NULLS LAST, "
+    'o_totalprice DESC, o_orderkey) AS "position" FROM staged), ends AS (SELECT *, sum(n) OVER (ORDER BY o) AS last FROM g), '
+    "peak AS (SELECT max(greatest(" + ", ".join(q(c) for c in STAGE_FAMILY) + ")) AS top FROM g) "
+    + " UNION ALL ".join(
+        part
+        for c in STAGE_FAMILY
+        for part in (
+            _panel("means", "stage_group", q(c), f"'{c}'", "o") + " FROM g",
+            _panel("profiles", "stage_group", q(c), f"'{c}'", "n") + " FROM g",
+            _panel("subjects", "CAST(o_orderkey AS VARCHAR)", q(c), f"'{c}'", '"position"') + " FROM placed",
+            _panel("correlations", "NULL", f"corr({q(c)}, o_totalprice)", f"'{c}'", f"count({q(c)})") + " FROM staged",
+            _panel("slopes", "NULL", f"regr_slope(o_totalprice, {q(c)})", f"'{c}'", digits=2) + " FROM staged",
+            _panel("intercepts", "NULL", f"regr_intercept(o_totalprice, {q(c)})", f"'{c}'", digits=2) + " FROM staged",
+        )
+    )
+    + " UNION ALL " + _panel("centers", "stage_group", "last - n / 2.0", "NULL", "last") + " FROM ends"
+    + " UNION ALL " + _panel("scale", "NULL", "top") + " FROM peak",
 )
 def _(spark, d):
+    """Every row of every panel; ``position`` is a place or, for profiles and correlations, a number of rows."""
     panels = fd.discordance_panels(
-        staged(spark, d), "stage_group", STAGE_GROUPS, ["o_totalprice", "pred/low"], "o_totalprice", ["o_orderkey"],
-        scatter="o_totalprice",
+        staged(spark, d), "stage_group", STAGE_GROUPS, STAGE_FAMILY, "o_totalprice", ["o_orderkey"], scatter="o_totalprice"
     )
-    key = F.col("stage_group").alias("key")
+
+    def shaped(name, df, key, feature, position, value, digits=4):
+        return df.select(F.lit(name).alias("panel"), key.cast("string").alias("key"), feature.cast("string").alias("feature"),
+                         position.cast("long").alias("position"), F.round(value, digits).alias("value"))
+
+    none, group, feature = F.lit(None), F.col("stage_group"), F.col("feature")
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), named(c).cast("double").alias("value")) for c in STAGE_FAMILY]))
+    long = lambda df, *keep: df.select(*keep, entries.alias("e")).select(*keep, "e.*")
+    value = F.col("value")
     parts = [
-        panels["means"].select(F.lit("mean").alias("panel"), key, F.round("o_totalprice", 3).alias("value")),
-        panels["boundaries"].select(F.lit("center").alias("panel"), key, F.col("center").alias("value")),
-        panels["correlations"].filter("feature = 'pred/low'").select(
-            F.lit("r").alias("panel"), F.col("feature").alias("key"), F.round("r", 6).alias("value")
-        ),
-        panels["lines"].filter("feature = 'pred/low'").select(
-            F.lit("slope").alias("panel"), F.col("feature").alias("key"), F.round("slope", 3).alias("value")
-        ),
-        panels["subjects"].agg(F.max("position").cast("double").alias("value")).select(
-            F.lit("placed").alias("panel"), F.lit("last").alias("key"), "value"
-        ),
+        shaped("means", long(panels["means"], "stage_group", "order_idx"), group, feature, F.col("order_idx"), value),
+        shaped("subjects", long(panels["subjects"], "o_orderkey", "position"), F.col("o_orderkey"), feature, F.col("position"), value),
+        shaped("centers", panels["boundaries"], group, none, F.col("end"), F.col("center")),
+        shaped("profiles", panels["profiles"], group, feature, F.col("n"), F.col("mean")),
+        shaped("scale", panels["profiles"].select("y_max").distinct(), none, none, none, F.col("y_max")),
+        shaped("correlations", panels["correlations"], none, feature, F.col("n"), F.col("r")),
+        shaped("slopes", panels["lines"], none, feature, none, F.col("slope"), 2),
+        shaped("intercepts", panels["lines"], none, feature, none, F.col("intercept"), 2),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return rounded(out)
 
 
 @query(
     "fd11_flag_panels",
     f"WITH {fr.FLAGS_SQL}, l AS ("
     + " UNION ALL ".join(f"SELECT '{f}' AS flag, o_custkey, price, n_orders FROM flags WHERE {f} = 1" for f in FLAGS)
-    + "), g AS (SELECT flag, count(*) AS n, avg(n_orders) AS m FROM l GROUP BY flag HAVING count(*) >= 5) "
-    "SELECT l.flag, l.o_custkey, l.price, row_number() OVER (PARTITION BY l.flag ORDER BY l.price DESC, l.o_custkey) AS \"position\", "
-    f"g.n, {r('g.m')} AS mean_orders FROM l JOIN g ON l.flag = g.flag",
+    + "), g AS (SELECT flag, count(*) AS n, avg(n_orders) AS m, avg(price) AS mp FROM l GROUP BY flag HAVING count(*) >= 5) "
+    "SELECT l.flag, l.o_custkey, l.price, l.n_orders, row_number() OVER (PARTITION BY l.flag ORDER BY l.price DESC, l.o_custkey) AS \"position\", "
+    f"g.n, {r('g.m')} AS mean_orders, {r('g.mp', 3)} AS mean_price FROM l JOIN g ON l.flag = g.flag",
 )
 def _(spark, d):
-    profiles, placed = fd.flag_panels(fr.flags(spark, d), FLAGS, ["n_orders"], "price", ["o_custkey"], 5)
-    side = profiles.select("flag", "n", F.col("n_orders").alias("mean_orders"))
+    profiles, placed = fd.flag_panels(fr.flags(spark, d), FLAGS, ["n_orders", "price"], "price", ["o_custkey"], 5)
+    side = profiles.select("flag", "n", F.col("n_orders").alias("mean_orders"), F.round("price", 3).alias("mean_price"))
     # one row per listed flag
-    return rounded(placed.drop("n_orders").join(F.broadcast(side), "flag"))
+    return rounded(placed.join(F.broadcast(side), "flag"))
 
 
 CELLS = {"Pred A | True C": ("C", "A"), "Pred B | True C": ("C", "B"), "Pred C | True C": ("C", "C"), "none": ("C", "X")}
@@ -284,16 +342,22 @@ def _(spark, d):
     return rounded(fd.cell_composition(joined, "DX_true", "DX_pred", CELLS, "o_orderpriority", PRIORITIES))
 
 
+FENCE = "v BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)"
+
+
 @query(
     "fd13_stage_group_composition",
-    f"WITH {STAGED}, i AS (SELECT stage_group, coalesce(\"pred/mid\", 0) + \"pred/high\" AS v, \"pred/low\" AS low FROM staged "
-    "WHERE stage_group IS NOT NULL), b AS (SELECT stage_group, count(*) AS n, avg(low) AS low, quantile_cont(v, 0.25) AS a, "
-    "quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS c FROM i GROUP BY 1) "
-    f"SELECT stage_group, n, {r('low')} AS \"pred/low\", {r('a')} AS quartile_1, {r('m')} AS median, {r('c')} AS quartile_3 FROM b",
+    f"WITH {STAGED}, i AS (SELECT stage_group, coalesce(\"pred/mid\", 0) + \"pred/high\" AS v, {PREDICTED} FROM staged "
+    "WHERE stage_group IS NOT NULL), b AS (SELECT stage_group, count(*) AS n, "
+    + ", ".join(f"avg({q(c)}) AS {q('m_' + c)}" for c in STAGE_COLUMNS)
+    + ", quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS c FROM i GROUP BY 1) "
+    "SELECT b.stage_group, n, " + ", ".join(f"{r('any_value(' + q('m_' + c) + ')')} AS {q(c)}" for c in STAGE_COLUMNS)
+    + f", {r('a')} AS quartile_1, {r('m')} AS median, {r('c')} AS quartile_3, {r(f'min(v) FILTER (WHERE {FENCE})')} AS whisker_low, "
+    f"{r(f'max(v) FILTER (WHERE {FENCE})')} AS whisker_high, count(*) FILTER (WHERE NOT {FENCE}) AS n_outliers "
+    "FROM b JOIN i ON b.stage_group = i.stage_group GROUP BY b.stage_group, n, a, m, c",
 )
 def _(spark, d):
-    means, boxes = fd.stage_group_composition(staged(spark, d), "stage_group", ["pred/low"], ["pred/mid", "pred/high"])
-    boxes = boxes.select("stage_group", "n", "quartile_1", "median", "quartile_3")
+    means, boxes = fd.stage_group_composition(staged(spark, d), "stage_group", STAGE_COLUMNS, ["pred/mid", "pred/high"])
     return rounded(boxes.join(means, "stage_group"))
 
 

@@ -1,63 +1,71 @@
-"""Tail probability of Student's t for short summary tables."""
+"""Tail probability of Student's t, for whole columns of summary rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Steps of the continued fraction; it settles in some sqrt(dof) of them.
+STEPS = 10_000
 
-def _make_tail():
+
+def _make_tail(steps: int):
     def two_sided(t, dof):
         import math
 
         import numpy as np
         import pandas as pd
 
-        def continued_fraction(a, b, x):
-            # modified Lentz evaluation of the incomplete beta fraction
-            tiny = 1e-300
-            c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            value = d
-            for m in range(1, 400):
+        def off_zero(v):
+            return np.where(np.abs(v) > 1e-300, v, 1e-300)
+
+        def fraction(a, b, x):
+            """Modified Lentz evaluation of the incomplete beta fraction, all entries a step."""
+            c = np.ones_like(x)
+            d = 1.0 / off_zero(1.0 - (a + b) * x / (a + 1.0))
+            value = d.copy()
+            live = np.arange(len(x))
+            for m in range(1, steps):
+                if not len(live):
+                    break
+                al, bl, xl = a[live], b[live], x[live]
                 for num in (
-                    m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+                    m * (bl - m) * xl / ((al + 2 * m - 1) * (al + 2 * m)),
+                    -(al + m) * (al + bl + m) * xl / ((al + 2 * m) * (al + 2 * m + 1)),
                 ):
-                    d = 1.0 + num * d
-                    d = 1.0 / (d if abs(d) > tiny else tiny)
-                    c = 1.0 + num / c
-                    c = c if abs(c) > tiny else tiny
-                    value *= d * c
-                if abs(d * c - 1.0) < 1e-15:
-                    break
+                    d[live] = 1.0 / off_zero(1.0 + num * d[live])
+                    c[live] = off_zero(1.0 + num / c[live])
+                    value[live] *= d[live] * c[live]
+                live = live[np.abs(d[live] * c[live] - 1.0) >= 1e-15]
             return value
 
-        def beta_share(a, b, x):
-            if x <= 0.0:
-                return 0.0
-            if x >= 1.0:
-                return 1.0
-            front = math.exp(
-                math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-            )
-            if x < (a + 1.0) / (a + b + 2.0):
-                return front * continued_fraction(a, b, x) / a
-            return 1.0 - front * continued_fraction(b, a, 1.0 - x) / b
-
-        out = np.full(len(t), np.nan)
-        for i, (tv, n) in enumerate(zip(t.to_numpy(dtype=float), dof.to_numpy(dtype=float))):
-            if n > 0 and np.isinf(tv):
-                out[i] = 0.0
-            elif n > 0 and not np.isnan(tv):
-                out[i] = beta_share(n / 2.0, 0.5, n / (n + tv * tv))
+        tv, n = t.to_numpy(dtype=float), dof.to_numpy(dtype=float)
+        out = np.full(len(tv), np.nan)
+        out[(n > 0) & np.isinf(tv)] = 0.0
+        out[(n > 0) & (tv == 0)] = 1.0
+        rows = np.flatnonzero((n > 0) & np.isfinite(tv) & (tv != 0))
+        if len(rows):
+            a, b = n[rows] / 2.0, np.full(len(rows), 0.5)
+            square = tv[rows] * tv[rows]
+            x, rest = n[rows] / (n[rows] + square), square / (n[rows] + square)
+            # one log-gamma for each number of rows that occurs
+            values, place = np.unique(a, return_inverse=True)
+            scale = np.array([math.lgamma(v + 0.5) - math.lgamma(v) - math.lgamma(0.5) for v in values])[place]
+            with np.errstate(divide="ignore"):
+                front = np.exp(scale + a * np.log1p(-rest) + b * np.log(rest))
+            direct = x < (a + 1.0) / (a + b + 2.0)
+            p = np.empty(len(rows))
+            p[direct] = front[direct] * fraction(a[direct], b[direct], x[direct]) / a[direct]
+            turned = ~direct
+            p[turned] = 1.0 - front[turned] * fraction(b[turned], a[turned], rest[turned]) / b[turned]
+            out[rows] = p
         return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("float64")
 
     return two_sided
 
 
-def t_two_sided(t: Column, dof: Column) -> Column:
+def t_two_sided(t: Column, dof: Column, steps: int = STEPS) -> Column:
     """Two-sided p value; null or NaN input gives null."""
-    tail = F.pandas_udf(_make_tail(), "double")
+    tail = F.pandas_udf(_make_tail(steps), "double")
     p = tail(t.cast("double"), dof.cast("double"))
     return F.when(t.isNotNull() & ~F.isnan(t), p)

@@ -8,15 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rowwise import double_of, named, nan_to_null, quoted
+from cohortloom.functions.rowwise import named, nan_to_null, quoted
 from cohortloom.operators.columns import feature_vector, long_features, name_array
 from cohortloom.operators.spread import exact_quantiles
 from cohortloom.runtime import join_small
 
-# Above this many columns one aggregate per column makes generated code too
-# large, so means are taken over (position, value) rows instead.
-WIDE_AGGREGATE_COLUMNS = 40
-
 
 def with_group(df: DataFrame, group: Sequence[str] | str) -> tuple[list[str], DataFrame]:
     groups = [group] if isinstance(group, str) else list(group)
@@ -37,12 +33,12 @@ def group_means_long(df: DataFrame, group: Sequence[str] | str, names: Sequence[
 
 
 def group_means(df: DataFrame, group: Sequence[str] | str, names: Sequence[str]) -> DataFrame:
-    """Mean of many columns per group; rows without a group are dropped."""
-    groups, kept = with_group(df, group)
-    if len(names) <= WIDE_AGGREGATE_COLUMNS:
-        return kept.groupBy(*[named(g) for g in groups]).agg(
-            *[F.expr(f"avg(nanvl({double_of(n)}, NULL))").alias(n) for n in names]
-        )
+    """Mean of many columns per group; rows without a group are dropped.
+
+    Means are taken over (position, value) rows: one aggregate per column
+    makes generated code too large for wide blocks.
+    """
+    groups, _ = with_group(df, group)
     long = group_means_long(df, groups, names)
     # at most one entry per feature in each list
     by_pos = F.array_sort(F.collect_list(F.struct("pos", "mean")))

@@ -15,6 +15,8 @@ from cohortloom.runtime import bounded_rows, join_small
 # Added to the population standard deviation (fixed value).
 SPREAD_FLOOR = 1e-8
 MAX_FEATURES = 100_000
+# Numbers that cohort baselines may hold when they are broadcast (32 MB).
+BROADCAST_NUMBERS = 4_000_000
 
 
 def baseline_table(
@@ -109,7 +111,8 @@ class CohortBaselines:
 
     def apply(self, df: DataFrame, clip: bool = True) -> DataFrame:
         """Score every row against its cohort; without reference rows of its cohort a row's scores are missing."""
-        joined = join_small(df, self.arrays, [self.cohort], "left")
+        cohorts = max(1, BROADCAST_NUMBERS // (2 * len(self.features)))
+        joined = join_small(df, self.arrays, [self.cohort], "left", cohorts)
         scores = []
         for i, n in enumerate(self.features):
             z = f"(({double_of(n)} - _means[{i}]) / _stds[{i}])"

@@ -27,7 +27,7 @@ from cohortloom.operators.ranking import (
     top_per_group,
 )
 from cohortloom.operators.reshape import to_long, to_wide
-from cohortloom.operators.stats import pearson_with_target, trend_line
+from cohortloom.operators.stats import pearson_with_target, trend_lines
 from cohortloom.operators.spread import sorted_position
 
 
@@ -142,11 +142,7 @@ def discordance_panels(
     }
     if scatter is not None:
         panels["correlations"] = pearson_with_target(df, names, scatter)
-        lines = [trend_line(df, n, scatter).withColumn("feature", F.lit(n)) for n in names]
-        merged = lines[0]
-        for line in lines[1:]:
-            merged = merged.unionByName(line)
-        panels["lines"] = merged
+        panels["lines"] = trend_lines(df, names, scatter)
     return panels
 
 

@@ -46,6 +46,17 @@ def trend_line(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> Data
     )
 
 
+def trend_lines(df: DataFrame, names: Sequence[str], y: str) -> DataFrame:
+    """(feature, slope, intercept) of every column against ``y``, in one scan."""
+    values = F.transform(feature_vector(names, clip=False), nan_to_null)
+    return (
+        df.select(nan_to_null(named(y).cast("double")).alias("_y"), F.posexplode(values).alias("pos", "_x"))
+        .groupBy("pos")
+        .agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"))
+        .select(F.get(name_array(names), F.col("pos")).alias("feature"), "slope", "intercept")
+    )
+
+
 def paired_tests(df: DataFrame, group: str, names: Sequence[str]) -> DataFrame:
     """(group, first, second, n, mean_diff, t, p) for all column pairs.
 

@@ -92,6 +92,26 @@ def test_components_are_centred_and_match_numpy(planted):
     assert (model.loadings[np.abs(model.loadings).argmax(axis=0), range(4)] > 0).all()
 
 
+def test_loadings_are_orthonormal_in_feature_order(spark, planted):
+    df, _ = planted
+    model = fit_components(df, NAMES, 3)
+    got = model.loading_table(spark).toPandas().sort_values("pos")
+    assert list(got["feature"]) == NAMES
+    matrix = got[model.names].to_numpy()
+    assert np.allclose(matrix.T @ matrix, np.eye(3), atol=1e-8)
+
+
+def test_factor_model_store_gives_equal_weights(spark, planted):
+    df, _ = planted
+    model = FactorModel(TOPICS).fit(df, NAMES)
+    path = fresh_path(spark, "factors")
+    model.save(spark, path)
+    again = FactorModel.load(spark, path)
+    assert again.converged_ and again.features == NAMES
+    one, two = (m.transform(df).select("PTID", *m.topics).toPandas().sort_values("PTID").to_numpy() for m in (model, again))
+    assert np.array_equal(one, two)
+
+
 def test_mixture_uses_the_lower_part(spark):
     rng = np.random.default_rng(3)
     v = np.concatenate([rng.normal(1, 0.1, 400), rng.normal(3, 0.3, 200)])

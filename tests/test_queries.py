@@ -1,4 +1,8 @@
-"""Every registered query runs, and matches its SQL where it has one."""
+"""Every query with SQL matches it; of the others, those that take seconds run here.
+
+Queries that start from a full topic or tree fit take minutes each: ``python -m tests.oracle`` runs them, and
+``tests/test_models.py`` holds their fits to their invariants.
+"""
 
 import pytest
 
@@ -19,6 +23,29 @@ def test_query_matches_sql(spark, con, sf_dir, name):
     assert state == "ok", note
 
 
+QUICK = {
+    "ml4_factor_fit_patterns": 4 * 64,
+    "ml4b_factor_weights_of_new_rows": None,
+    "io10b_factor_model_store": None,
+    "ml5_two_component_mixture": 2,
+    "ml6_component_scores": None,
+    "ml6b_component_loadings": 64,
+    "sc34_mixture_score": None,
+    "clinical_stage_scores": None,
+    "class_score_projection_and_tests": 6,
+}
+
+
+@pytest.mark.parametrize("name", list(QUICK))
+def test_query_without_sql(spark, sf_dir, name):
+    got = queries()[name](spark, sf_dir).toArrow()
+    assert got.num_rows == QUICK[name] if QUICK[name] else got.num_rows > 0
+    for column in got.columns:
+        if str(column.type) == "double":
+            values = [v for v in column.to_pylist() if v is not None]
+            assert all(v == v and abs(v) < float("inf") for v in values)
+
+
 def test_entry(spark):
     assert entry(spark).count() == 50
 

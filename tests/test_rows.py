@@ -143,6 +143,36 @@ def test_t_tail_known_values(spark):
     assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(0.05, abs=1e-4) and got[3] is None
 
 
+def test_t_tail_over_many_sizes(spark):
+    # the integral of the density, by t = sqrt(n) tan(u)
+    import math
+
+    cases = [(t, n) for t in (0.1, 1.0, 2.5, 40.0, -3.0) for n in (1, 2, 7, 60, 20_000)]
+    df = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(cases)], "i int, t double, n int")
+    got = dict(rows(df.select("i", t_two_sided(F.col("t"), F.col("n")).alias("p")), "i"))
+    for i, (t, n) in enumerate(cases):
+        u = min(math.atan(abs(t) / math.sqrt(n)), 14 / math.sqrt(n))
+        cells = [(1 if k in (0, 4000) else 4 if k % 2 else 2) * math.cos(u * k / 4000) ** (n - 1) for k in range(4001)]
+        inside = 2 * math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi) * u / 12000 * sum(cells)
+        assert got[i] == pytest.approx(1 - inside, abs=1e-9)
+    edge = spark.createDataFrame([(float("inf"), 3), (1.0, 0), (float("nan"), 3), (1.0, None)], "t double, n int")
+    assert [r[0] for r in edge.select(t_two_sided(F.col("t"), F.col("n"))).collect()] == [0.0, None, None, None]
+
+
+def test_trend_lines_in_one_scan(spark):
+    from cohortloom.operators.stats import trend_line, trend_lines
+
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [(1.0, 2.0, 3.0), (2.0, None, 5.0), (3.0, 1.0, 7.0), (nan, 4.0, 1.0), (4.0, 0.5, nan)], "a double, b double, y double"
+    )
+    got = {r["feature"]: (r["slope"], r["intercept"]) for r in trend_lines(df, ["a", "b"], "y").collect()}
+    assert got["a"] == (pytest.approx(2.0), pytest.approx(1.0))
+    one = trend_line(df, "b", "y").first()
+    assert got["b"] == (pytest.approx(one["slope"]), pytest.approx(one["intercept"]))
+    assert trend_lines(df.limit(0), ["a"], "y").count() == 0
+
+
 def test_column_range_errors(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert co.column_range(df, "a", "b") == ["a", "b"]
