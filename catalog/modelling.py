@@ -5,12 +5,14 @@ Iterative fits have no SQL; their invariants are asserted in the tests.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog import frames as fr
-from catalog.frames import FEATURES, PATTERN_TOPICS, PATTERN_WEIGHTS, PATTERNS, PREDICTIONS, TOPICS, cohort, table
+from catalog.frames import FEATURES, PATTERN_TOPICS, PATTERN_WEIGHTS, PATTERNS, PREDICTIONS, SCORES, TOPICS, cohort, table
 from catalog.registry import query, r, rounded
-from catalog.relational import patterns
+from catalog.relational import HASHED, patterns
 from cohortloom.functions.rowwise import collapse_labels
 from cohortloom.models.boosted import TopicClassifier
 from cohortloom.models.lda import TopicModel
@@ -23,7 +25,7 @@ from cohortloom.operators.baseline import Baseline
 from cohortloom.operators.figdata import importance_bars
 from cohortloom.operators.topics import pattern_wide, subject_topic_table, topic_names
 from cohortloom.plans.analysis import CohortModel, analyse_files, infer_with_logistic, sweep_topics
-from cohortloom.runtime import fresh_path
+from cohortloom.runtime import fresh_path, settle
 from cohortloom.sources.tables import read_csv, write_csv
 
 
@@ -81,6 +83,16 @@ def _(spark, d):
     return rounded(topic_fit(spark, d).patterns(spark))
 
 
+@query(
+    "ml1b_topic_mass_per_feature",
+    # a pass hands out all of the data, so the topics of a feature add up to its sum and the priors
+    f"WITH {SCORES} SELECT pos, feature, {r('sum(s) + 4 * 0.25', 4)} AS mass FROM scores WHERE DX <> 'D0' GROUP BY pos, feature",
+)
+def _(spark, d):
+    made = topic_fit(spark, d).patterns(spark, normalised=False)
+    return rounded(made.groupBy("pos", "feature").agg(F.sum("weight").alias("mass")), 4)
+
+
 @query("ml2_topic_weights_of_new_rows")
 def _(spark, d):
     model, base = topic_fit(spark, d), patients(spark, d)[1]
@@ -162,11 +174,36 @@ def _(spark, d):
     return rounded(model.predict(w.select("id", *TOPICS)).drop(*TOPICS))
 
 
+def tree_folds(spark, d):
+    model = TopicClassifier(class_weight="balanced")
+    return shared(spark, d, "tree folds", lambda: settle(model.cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"])))
+
+
+def logistic_folds(spark, d):
+    model = LogisticTopicClassifier()
+    return shared(spark, d, "logistic folds", lambda: settle(model.cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"])))
+
+
 @query("ml11_out_of_fold_predictions")
 def _(spark, d):
-    return rounded(
-        TopicClassifier(class_weight="balanced").cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"])
-    )
+    return rounded(tree_folds(spark, d))
+
+
+FOLDS = (
+    "WITH c AS (SELECT vec_id AS id, CASE WHEN label IN (1, 2) THEN 'D' || CAST(label AS VARCHAR) ELSE 'rest' END AS DX_true "
+    "FROM embeddings) SELECT id, DX_true, CAST((row_number() OVER (PARTITION BY DX_true ORDER BY "
+    f"{HASHED.format(id='id')}) - 1) % 5 AS INTEGER) AS fold FROM c"
+)
+
+
+@query("ml11b_rows_of_out_of_fold_predictions", FOLDS)
+def _(spark, d):
+    return tree_folds(spark, d).select("id", "DX_true", "fold")
+
+
+@query("ml12c_rows_of_logistic_out_of_fold", FOLDS)
+def _(spark, d):
+    return logistic_folds(spark, d).select("id", "DX_true", "fold")
 
 
 @query("ml12_multinomial_logistic")
@@ -176,8 +213,7 @@ def _(spark, d):
 
 @query("ml12b_logistic_out_of_fold")
 def _(spark, d):
-    model = LogisticTopicClassifier()
-    return rounded(model.cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"]), 3)
+    return rounded(logistic_folds(spark, d), 3)
 
 
 @query("fd8b_importance_bars")
@@ -330,6 +366,37 @@ def _(spark, d):
     return rounded(TopicModel.load(spark, path).transform(scored).select("id", *model.topics))
 
 
+def agreeing(first, second, names):
+    """(id, agrees): whether two results have equal numbers and labels for a row."""
+    other = second.select("id", *[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)])
+    same = [F.col(f"`{n}`").eqNullSafe(F.col(f"_{i}")) for i, n in enumerate(names)]
+    return first.join(other, "id", "full").select("id", reduce(lambda a, b: a & b, same).alias("agrees"))
+
+
+@query("io10c_stored_topics_agree", "SELECT vec_id AS id, true AS agrees FROM embeddings WHERE label <> 0")
+def _(spark, d):
+    scored, _ = patients(spark, d)
+    model, path = topic_fit(spark, d), fresh_path(spark, "topics")
+    model.save(spark, path)
+    return agreeing(model.transform(scored), TopicModel.load(spark, path).transform(scored), model.topics)
+
+
+@query("io10d_stored_factors_agree", "SELECT vec_id AS id, true AS agrees FROM embeddings WHERE label <> 0")
+def _(spark, d):
+    scored, _ = patients(spark, d)
+    model, path = factor_fit(spark, d), fresh_path(spark, "factors")
+    model.save(spark, path)
+    return agreeing(model.transform(scored), FactorModel.load(spark, path).transform(scored), model.topics)
+
+
+@query("io11b_stored_classifier_agrees", "SELECT vec_id AS id, true AS agrees FROM embeddings")
+def _(spark, d):
+    w, model, path = weighted_classes(spark, d), tree_fit(spark, d), fresh_path(spark, "classifier")
+    model.save(spark, path)
+    names = [*[f"P({c})" for c in model.classes], "DX_pred"]
+    return agreeing(model.predict(w), TopicClassifier.load(spark, path).predict(w), names)
+
+
 @query("io11_classifier_store")
 def _(spark, d):
     w = weighted_classes(spark, d)

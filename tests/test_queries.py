@@ -1,4 +1,4 @@
-"""Every query with SQL matches it; of the others, those that take seconds run here.
+"""Queries with SQL match it, and queries without run, as far as they take seconds.
 
 Queries that start from a full topic or tree fit take minutes each: ``python -m tests.oracle`` runs them, and
 ``tests/test_models.py`` holds their fits to their invariants.
@@ -17,7 +17,12 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n in SQL])
+# a full topic or tree fit stands before these; the comparison by ``tests.oracle`` has them
+LONG = {"ml1b_topic_mass_per_feature", "io10c_stored_topics_agree", "io11b_stored_classifier_agrees",
+        "ml11b_rows_of_out_of_fold_predictions"}
+
+
+@pytest.mark.parametrize("name", [n for n in queries() if n in SQL and n not in LONG])
 def test_query_matches_sql(spark, con, sf_dir, name):
     state, note = compare(spark, con, sf_dir, queries()[name], SQL[name])
     assert state == "ok", note
