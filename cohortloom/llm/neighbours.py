@@ -3,16 +3,20 @@
 Equal vectors are one vertex. A neighbour graph is started from vectors that share a bucket of a random hyperplane table
 and is then refined: the neighbours of a vertex, in either direction, are compared with each other, and each keeps the
 nearest it has seen. A vertex has ``k`` neighbours; a list that is saturated, that is, full of neighbours above the
-threshold, is enlarged to ``4 k``. Rounds go on while they find a notable number of links. Vectors travel in half
-precision here, and neighbours below ``floor`` are not kept, since no path to a link leads through them.
+threshold, is enlarged to ``4 k``. The number of tables grows with the number of hyperplanes, so that two vectors at the
+threshold share a bucket of some table with probability ``1 - MISSED`` at every size. Rounds go on while they find a notable
+share of the links of vertices that aren't saturated. Vectors travel in half precision here, and neighbours below ``floor`` are not kept, since no path to a link leads through them.
 
 The links found hold regions together. Inside a region every vertex is compared with every other in double precision, in
 blocks of ``BLOCK`` by ``BLOCK`` whatever the region's size, so enlarged lists need not hold a large region's links;
 the blocks count each vertex's links (weighted by the number of equal vectors) and give spanning links, and only the latter
 are joined to components. Cosine is at least the threshold for every link, and no other pair is linked.
 
-Recall is audited: for ``AUDITED`` vectors on average, chosen by hash, all links are counted by brute force. Below the
-wanted recall the graph gets more tables and rounds, up to ``attempts`` times, and the last recall is logged.
+Recall is audited: vectors are taken in the order of a hash, and all their links are counted by brute force, until ``AUDITED``
+of them have links, but at most ``4 k``; where links are rarer than that, every vector is audited. Recall is the mean over linked
+vertices of the share of their links that was found, equal vectors counting once; it is taken over all of them and over those with
+at most ``4 k`` links, and the lesser counts, so large groups don't hide what is missed elsewhere. Below the wanted recall the graph
+gets twice as many tables and more rounds, up to ``attempts`` times. The last recall is logged; below ``LEAST_RECALL`` the job stops.
 
 Vectors that are null, zero, or have null or non-finite components link with nothing, as do vectors of another length than
 most (each length is compared for itself). Repeated rows of one id are one vector with as many copies. A null id is the
@@ -35,6 +39,11 @@ from cohortloom.runtime import settle
 BLOCK = 256
 BUCKET = 64
 AUDITED = 200
+PIECE = 4096
+PLACES = 1 << 40
+TABLES = 24
+MISSED = 0.005
+LEAST_RECALL = 0.9
 log = logging.getLogger(__name__)
 
 
@@ -67,7 +76,13 @@ def _vertices(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(full, pa.binary()), pa.array(half, pa.binary())], ["id", "full", "half"])
 
 
-def _tables(seed: int, tables: int, bits: int):
+def tables_for(bits: int, threshold: float) -> int:
+    """How many tables two vectors at the threshold need to share a bucket with probability ``1 - MISSED``."""
+    shared = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return TABLES if shared >= 1 else max(TABLES, int(np.ceil(np.log(MISSED) / np.log1p(-shared))))
+
+
+def _tables(seed: list[int], tables: int, bits: int):
     """Bucket keys of each vertex, one a table, and its place along a further direction."""
 
     def run(batches):
@@ -76,7 +91,7 @@ def _tables(seed: int, tables: int, bits: int):
             for rows in _by_length(sizes):
                 part = batch.take(pa.array(rows))
                 x = _matrix(part.column("half"), "<f2").astype(np.float32)
-                planes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], tables * (bits + 1))).astype(np.float32)
+                planes = np.random.default_rng([*seed, x.shape[1]]).normal(size=(x.shape[1], tables * (bits + 1))).astype(np.float32)
                 side = (x @ planes).reshape(len(x), tables, bits + 1)
                 key = ((side[:, :, :bits] > 0) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
                 key = (np.arange(tables, dtype=np.int64) << 48) + (np.int64(x.shape[1] % 4096) << 36) + key
@@ -155,18 +170,30 @@ def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     return ranked.filter((F.col("rank") <= k) | (F.col("s") >= threshold)).drop("rank")
 
 
+def _degrees(edges: DataFrame, threshold: float) -> DataFrame:
+    return settle(_both(edges.filter(F.col("s") >= threshold)).groupBy("u").agg(F.count("*").alias("n")))
+
+
+def _growth(before: DataFrame, now: DataFrame, saturated: int) -> float:
+    """The mean share of new links, over linked vertices that weren't saturated before."""
+    old = F.coalesce("old", F.lit(0))
+    return now.join(before.withColumnRenamed("n", "old"), "u", "left").filter(old < saturated).agg(F.avg((F.col("n") - old) / F.col("n"))).first()[0] or 0.0
+
+
 def graph(vertices: DataFrame, threshold: float, k: int, floor: float, tables: int, bits: int, seed: int, edges: DataFrame | None,
           rounds: int = 6) -> DataFrame:
     """Edges (a < b, cosine s) of the refined neighbour graph; ``edges`` are those known before."""
     spark = vertices.sparkSession
     n = partitions(spark)
     halves = vertices.select("v", "half")
-    keyed = settle(halves.mapInArrow(_tables(seed, tables, bits), "key long, along double, v long, half binary"))
-    started = (keyed.repartitionByRange(n, "key", "along").sortWithinPartitions("key", "along")
-               .mapInArrow(_start(k, floor), "a long, b long, s float"))
-    now = started if edges is None else started.unionByName(edges)
-    now = settle(now.groupBy("a", "b").agg(F.max("s").alias("s")))
-    links = now.filter(F.col("s") >= threshold).count()
+    now = edges
+    for first in range(0, tables, TABLES):
+        keyed = settle(halves.mapInArrow(_tables([seed, first], min(TABLES, tables - first), bits), "key long, along double, v long, half binary"))
+        started = (keyed.repartitionByRange(n, "key", "along").sortWithinPartitions("key", "along")
+                   .mapInArrow(_start(k, floor), "a long, b long, s float"))
+        now = started if now is None else started.unionByName(now)
+        now = settle(now.groupBy("a", "b").agg(F.max("s").alias("s")))
+    degrees = _degrees(now, threshold)
     for _ in range(rounds):
         near = _lists(now, k, threshold)
         vectors = near.select("u", "v").join(halves, "v")
@@ -174,22 +201,21 @@ def graph(vertices: DataFrame, threshold: float, k: int, floor: float, tables: i
         kept = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "s")
         linked = now.filter(F.col("s") >= threshold)
         now = settle(kept.unionByName(seen).unionByName(linked).groupBy("a", "b").agg(F.max("s").alias("s")))
-        grown = now.filter(F.col("s") >= threshold).count()
-        if grown <= links * 1.01:
+        before, degrees = degrees, _degrees(now, threshold)
+        if _growth(before, degrees, 4 * k) <= 0.01:
             break
-        links = grown
     return now
 
 
 def _blocks(threshold: float):
-    """Links inside a pair of blocks of a region: each vertex's weighted count, and spanning links."""
+    """Links inside a pair of blocks of a region: each vertex's weighted and plain counts, and spanning links."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.RecordBatch):
             ids, weight, block = (table.column(c).to_numpy() for c in ("v", "copies", "block"))
-            counts, a, b = np.zeros(len(ids), np.int64), [], []
+            counts, plain, a, b = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [], []
             sizes = np.array([len(x) for x in table.column("full").to_pylist()])
             for rows in _by_length(sizes):
                 x = _unit(_matrix(table.column("full").take(pa.array(rows)), "<f8"))
@@ -197,7 +223,7 @@ def _blocks(threshold: float):
                 np.fill_diagonal(near, False)
                 if block[rows].min() != block[rows].max():
                     near &= block[rows][:, None] != block[rows][None]
-                counts[rows] = near @ weight[rows]
+                counts[rows], plain[rows] = near @ weight[rows], near.sum(axis=1)
                 # the least vertex that each one reaches
                 root = np.arange(len(rows))
                 while True:
@@ -211,10 +237,10 @@ def _blocks(threshold: float):
                 a.append(ids[rows][moved]), b.append(ids[rows][root[moved]])
             moved, roots = np.concatenate(a), np.concatenate(b)
             linked = counts > 0
+            none, edge = np.zeros(len(moved), np.int64), np.concatenate([np.zeros(int(linked.sum()), bool), np.ones(len(moved), bool)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[linked], moved])), pa.array(np.concatenate([counts[linked], np.zeros(len(moved), np.int64)])),
-                 pa.array(np.concatenate([np.zeros(int(linked.sum()), np.int64), roots])), pa.array(np.concatenate([np.zeros(int(linked.sum()), bool), np.ones(len(moved), bool)]))],
-                ["v", "n", "root", "edge"])
+                [pa.array(np.concatenate([ids[linked], moved])), pa.array(np.concatenate([counts[linked], none])), pa.array(np.concatenate([plain[linked], none])),
+                 pa.array(np.concatenate([np.zeros(int(linked.sum()), np.int64), roots])), pa.array(edge)], ["v", "n", "plain", "root", "edge"])
 
         last = None
         for batch in batches:
@@ -235,7 +261,7 @@ def _blocks(threshold: float):
 
 
 def verify(vertices: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """Rows (v, n, root, edge): exact link counts, and spanning links (v, root), inside the regions that ``edges`` hold together."""
+    """Rows (v, n, plain, root, edge): exact link counts, with and without copies, and spanning links (v, root), inside the regions that ``edges`` hold together."""
     n = partitions(vertices.sparkSession)
     regions = settle(components(edges))
     sizes = settle(regions.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
@@ -244,38 +270,53 @@ def verify(vertices: DataFrame, edges: DataFrame, threshold: float) -> DataFrame
     pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     rows = placed.select("v", pair.alias("pair"), "block").join(vertices.select("v", "copies", "full"), "v")
     return settle(rows.repartition(n, "pair").sortWithinPartitions("pair").select("v", "pair", "block", "copies", "full")
-                  .mapInArrow(_blocks(threshold), "v long, n long, root long, edge boolean"))
+                  .mapInArrow(_blocks(threshold), "v long, n long, plain long, root long, edge boolean"))
 
 
-def audit(vertices: DataFrame, counts: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the true links, by brute force, that sampled vertices have in ``counts`` (v, n)."""
-    share = min(1.0, audited / max(1, vertices.count()))
-    sample = vertices.filter(F.abs(F.xxhash64("v", F.lit("audit")) % 1_000_000) < share * 1_000_000).select("v", "full").limit(4 * audited).toArrow()
-    asked, blobs = sample.column("v").to_numpy(), sample.column("full").to_pylist()
-    if not len(asked):
-        return 1.0
+def _truth(vertices: DataFrame, asked: np.ndarray, blobs: list[bytes], threshold: float) -> DataFrame:
+    """(v, truth): how many other vertices each of the asked ones is linked with, by brute force; those with none have no row."""
 
     def brute(batches):
         total = np.zeros(len(asked), np.int64)
         by = {n: [i for i, b in enumerate(blobs) if len(b) == n] for n in {len(b) for b in blobs}}
+        unit = {n: _unit(np.frombuffer(b"".join(blobs[i] for i in mine), "<f8").reshape(len(mine), -1)) for n, mine in by.items()}
         for batch in batches:
             sizes = np.array([len(b) for b in batch.column("full").to_pylist()])
             for rows in _by_length(sizes):
-                mine = by.get(int(sizes[rows[0]]))
-                if mine:
+                n = int(sizes[rows[0]])
+                if n in by:
                     x = _unit(_matrix(batch.column("full").take(pa.array(rows)), "<f8"))
-                    q = _unit(np.frombuffer(b"".join(blobs[i] for i in mine), "<f8").reshape(len(mine), -1))
-                    near = (q @ x.T >= threshold) & (asked[mine][:, None] != batch.column("v").to_numpy()[rows][None])
-                    total[mine] += near @ batch.column("copies").to_numpy()[rows]
-        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(total)], ["v", "n"])
-
-    true = vertices.select("v", "copies", "full").mapInArrow(brute, "v long, n long").groupBy("v").agg(F.sum("n").alias("truth"))
-    both = true.join(counts, "v", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return 1.0 if not both.t else both.f / both.t
+                    near = (unit[n] @ x.T >= threshold) & (asked[by[n]][:, None] != batch.column("v").to_numpy()[rows][None])
+                    total[by[n]] += near.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[total > 0]), pa.array(total[total > 0])], ["v", "n"])
+
+    return vertices.select("v", "full").mapInArrow(brute, "v long, n long").groupBy("v").agg(F.sum("n").alias("truth"))
+
+
+def audit(vertices: DataFrame, counts: DataFrame, threshold: float, audited: int = AUDITED, few: int = 48) -> float:
+    """Mean share of a linked vertex's true links that ``counts`` (v, plain) has: over all, or over those of at most ``few`` links if less."""
+    n = vertices.count()
+    place = F.pmod(F.xxhash64("v", F.lit("audit")), F.lit(PLACES))
+    linked, found, sparse, sparse_found, first, size = 0, 0.0, 0, 0.0, 0, audited
+    while n and first < PLACES and sparse < audited:
+        end = min(PLACES, first + max(1, PLACES * size // n))
+        sample = vertices.filter((place >= first) & (place < end)).select("v", "full").toArrow()
+        first, size = end, min(2 * size, PIECE)
+        if not sample.num_rows:
+            continue
+        true = _truth(vertices, sample.column("v").to_numpy(), sample.column("full").to_pylist(), threshold).filter("truth > 0")
+        share = F.least("truth", F.coalesce("plain", F.lit(0))) / F.col("truth")
+        low = F.col("truth") <= few
+        got = true.join(counts.select("v", "plain"), "v", "left").agg(
+            F.count("*").alias("linked"), F.sum(share).alias("found"), F.count(F.when(low, 1)).alias("sparse"), F.sum(F.when(low, share)).alias("sparse_found")).first()
+        linked, found = linked + got.linked, found + (got.found or 0.0)
+        sparse, sparse_found = sparse + got.sparse, sparse_found + (got.sparse_found or 0.0)
+    log.info("%d linked vectors audited, %d of them with at most %d links", linked, sparse, few)
+    return min([f / m for f, m in ((found, linked), (sparse_found, sparse)) if m], default=1.0)
 
 
 def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, k: int = 12,
-                    floor: float | None = None, tables: int = 24, recall: float = 0.97, attempts: int = 3) -> DataFrame:
+                    floor: float | None = None, tables: int | None = None, recall: float = 0.97, attempts: int = 3) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other vectors linked directly), ``component_id`` and ``kept``."""
     spark = table.sparkSession
     small_batches(spark)
@@ -284,19 +325,22 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     valid = settle(rows.mapInArrow(_vertices, "id long, full binary, half binary"))
     vertices = settle(valid.groupBy("full").agg(F.min("id").alias("v"), F.count("*").alias("copies"), F.first("half").alias("half")))
     bits = min(30, max(1, int(np.log2(max(2, vertices.count() / 16)))))
+    tables = tables_for(bits, threshold) if tables is None else tables
     edges, checked, counts = None, None, None
     for attempt in range(attempts):
-        edges = graph(vertices, threshold - 0.01, k, floor, tables, bits, attempt, edges)
+        edges = graph(vertices, threshold - 0.01, k, floor, tables << attempt, bits, attempt, edges)
         checked = verify(vertices, edges.filter(F.col("s") >= threshold - 0.01).select("a", "b"), threshold)
-        counts = settle(checked.filter("not edge").groupBy("v").agg(F.sum("n").alias("n")))
-        reached = audit(vertices, counts, threshold)
+        counts = settle(checked.filter("not edge").groupBy("v").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")))
+        reached = audit(vertices, counts, threshold, few=4 * k)
         log.info("attempt %d: recall %.4f", attempt + 1, reached)
         if reached >= recall:
             break
     else:
+        if reached < LEAST_RECALL:
+            raise RuntimeError(f"recall {reached:.4f} is below {LEAST_RECALL} after {attempts} attempts")
         log.warning("recall %.4f is below %.4f", reached, recall)
     roots = components(checked.filter("edge").select(F.col("v").alias("a"), F.col("root").alias("b")))
-    named = (vertices.select("full", "v", "copies").join(roots.withColumnRenamed("node", "v"), "v", "left").join(counts, "v", "left")
+    named = (vertices.select("full", "v", "copies").join(roots.withColumnRenamed("node", "v"), "v", "left").join(counts.select("v", "n"), "v", "left")
              .select("full", F.coalesce("root", "v").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")))
     found = valid.select("id", "full").join(settle(named), "full").select("id", "component", "links")
     lone = rows.select("id").join(valid.select("id").distinct(), "id", "left_anti").select(

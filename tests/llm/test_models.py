@@ -193,6 +193,43 @@ def test_vectors_equal_brute_force(spark):
     assert neighbours.near_duplicates(table.limit(0)).count() == 0
 
 
+def audited_vertices(spark, groups, alone, seed=3):
+    """Vertices of random directions: groups of near copies of the given sizes, and vectors alone; and their true links."""
+    rng, rows, links = np.random.default_rng(seed), [], []
+    for size in [*groups, *[1] * alone]:
+        centre = rng.normal(size=48)
+        for _ in range(size):
+            rows.append((len(rows), 1, bytearray((centre + rng.normal(size=48) * 0.01).tobytes())))
+            links.append(size - 1)
+    return spark.createDataFrame(rows, "v long, copies long, full binary"), links
+
+
+def test_audit_goes_on_until_links_are_seen(spark):
+    vertices, _ = audited_vertices(spark, [2], 1500)
+    none = spark.createDataFrame([], "v long, n long, plain long")
+    assert neighbours.audit(vertices, none, 0.9) == 0
+    assert neighbours.audit(vertices, spark.createDataFrame([(0, 1, 1), (1, 1, 1)], none.schema), 0.9) == 1
+
+
+def test_audit_of_a_large_group_does_not_hide_missed_pairs(spark):
+    vertices, links = audited_vertices(spark, [500, *[2] * 150], 100)
+    counts = spark.createDataFrame([(v, n, n) for v, n in enumerate(links) if n > 1], "v long, n long, plain long")
+    assert neighbours.audit(vertices, counts, 0.9) < 0.1
+
+
+def test_low_recall_stops_the_job(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "audit", lambda *a, **b: 0.5)
+    table = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(table, attempts=1)
+
+
+def test_tables_grow_with_bits():
+    shared = 1 - math.acos(0.9) / math.pi
+    for bits in (1, 11, 16, 22, 30):
+        assert (1 - shared ** bits) ** neighbours.tables_for(bits, 0.9) <= 0.0051
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     from tests.llm.test_first import brute_print, roots
     from tests.llm.test_repeats import WORD
