@@ -45,8 +45,14 @@ _FITTED: dict[tuple, object] = {}
 
 
 def shared(spark, d, name, make):
-    """A fit of this session and table folder, made once for all queries that start from it."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A fit of this session and table folder, made once for all queries that start from it.
+
+    The key has the files' lengths and times, so changed tables are fitted anew.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/embeddings.parquet")
+    held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+    state = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder)
+    key = (spark.sparkContext.applicationId, d, name, held.getLength(), held.getFileCount(), state.getModificationTime())
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]
@@ -277,7 +283,8 @@ def _(spark, d):
 @query("ml17_topic_count_sweep")
 def _(spark, d):
     scored, _ = patients(spark, d)
-    return rounded(sweep_topics(scored, FEATURES, "DX", ["id"], [8], classifier=TopicClassifier(class_weight="balanced")))
+    swept = lambda: sweep_topics(scored, FEATURES, "DX", ["id"], range(4, 26, 2), classifier=TopicClassifier(class_weight="balanced"), tol=1e-5)
+    return rounded(shared(spark, d, "sweep", swept))
 
 
 def _fitted(spark, d):

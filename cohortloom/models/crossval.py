@@ -42,8 +42,7 @@ def out_of_fold(
     ``fit`` trains on a frame and returns a model with ``predict(frame)``.
     Folds are written once, so every fit sees the same split.
     """
-    needed = df.select(*[named(c) for c in dict.fromkeys([*ids, label, *features])])
-    folded = settle(stratified_folds(needed, label, ids, k, seed))
+    folded = folded_rows(df, features, label, ids, k, seed)
 
     def one(fold: int) -> DataFrame:
         model = fit(folded.filter(F.col("fold") != fold))
@@ -51,6 +50,17 @@ def out_of_fold(
 
     parts = run_parallel(df.sparkSession, [lambda f=f: one(f) for f in range(k)], workers)
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return shown_predictions(whole, label, ids)
+
+
+def folded_rows(df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str], k: int, seed: int) -> DataFrame:
+    """The labelled rows with their ``fold``, written once."""
+    needed = df.select(*[named(c) for c in dict.fromkeys([*ids, label, *features])])
+    return settle(stratified_folds(needed, label, ids, k, seed))
+
+
+def shown_predictions(whole: DataFrame, label: str, ids: Sequence[str]) -> DataFrame:
+    """Ids, ``P(class)`` in the order of names, true and predicted class and fold."""
     probabilities = [c for c in whole.columns if c.startswith("P(")]
     return whole.select(
         *[named(i) for i in ids],

@@ -65,14 +65,15 @@ def dirichlet_log_mean(a: np.ndarray) -> np.ndarray:
     return digamma(a) - digamma(a.sum(axis=1))[:, None]
 
 
-def topic_posterior(x: np.ndarray, word: np.ndarray, alpha: float, steps: int = 100, tol: float = 1e-3):
+def topic_posterior(x: np.ndarray, word: np.ndarray, alpha: float, steps: int = 100, tol: float = 1e-3, start: np.ndarray | None = None):
     """Variational Dirichlet parameters of every row of ``x``.
 
     ``word`` is exp(E[log beta]), topics x features. Rows stop on their own
-    once their parameters move less than ``tol`` on average.
+    once their parameters move less than ``tol`` on average. They begin at
+    ``start``, or at ones.
     """
     rows, topics = x.shape[0], word.shape[0]
-    gamma = np.ones((rows, topics))
+    gamma = np.ones((rows, topics)) if start is None else start.copy()
     active = np.arange(rows)
     for _ in range(steps):
         if not len(active):
@@ -86,11 +87,27 @@ def topic_posterior(x: np.ndarray, word: np.ndarray, alpha: float, steps: int =
     return gamma
 
 
-def topic_statistics(x: np.ndarray, word: np.ndarray, alpha: float, steps: int = 100, tol: float = 1e-3) -> np.ndarray:
-    """Sufficient statistics of one batch, topics x features."""
-    weight = np.exp(dirichlet_log_mean(topic_posterior(x, word, alpha, steps, tol)))
-    norm = weight @ word + EPS
-    return (weight.T @ (x / norm)) * word
+def topic_block(batch: pa.RecordBatch) -> dict:
+    """A block of rows for topic fits: the matrix, and no posteriors yet."""
+    return {"x": batch_matrix(batch, "x"), "posterior": {}, "sums": {}}
+
+
+def topic_pass(words: dict, alphas: dict, steps: int, tol: float, warm: bool):
+    """One pass over a block for several fits at once: posteriors go on from the last pass, sums are topics x features."""
+    def step(block: dict) -> dict:
+        x, made, sums = block["x"], {}, {}
+        for k, word in words.items():
+            start = block["posterior"].get(k) if warm else None
+            made[k] = topic_posterior(x, word, alphas[k], steps, tol, start)
+            weight = np.exp(dirichlet_log_mean(made[k]))
+            sums[k] = (weight.T @ (x / (weight @ word + EPS))) * word
+        return {"x": x, "posterior": made, "sums": sums}
+
+    return step
+
+
+def topic_sums(block: dict) -> np.ndarray:
+    return np.concatenate([s.ravel() for s in block["sums"].values()])
 
 
 def topic_bound(

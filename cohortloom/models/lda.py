@@ -1,9 +1,12 @@
 """Latent Dirichlet allocation by batch variational Bayes on Spark.
 
 One Spark job per iteration: the topic parameters (topics x features) sit on
-the driver, tasks compute the row posteriors of their partition and send back
-sums of the same size. Follows Blei, Ng and Jordan (2003) and Hoffman, Blei
-and Bach (2010); inputs may be fractional.
+the driver, tasks compute the row posteriors of their blocks and send back
+sums of the same size. Blocks stay in memory as matrices between iterations.
+Several models, such as the topic counts of a sweep, are fitted in the same
+iterations (``fit_topics``).
+Follows Blei, Ng and Jordan (2003) and Hoffman, Blei and Bach (2010); inputs
+may be fractional.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from cohortloom.models.common import (
     write_json,
     write_matrix,
 )
+from cohortloom.models.resident import Resident
 from cohortloom.operators.aggregates import group_means
 from cohortloom.operators.ranking import top_per_group
 from cohortloom.operators.topics import pattern_frame, pattern_wide, subject_topic_table, topic_names
@@ -36,7 +40,8 @@ class TopicModel:
     ``tol`` ends the fit once the mean relative change of the topic
     parameters falls below it; 0 always runs ``max_iter`` passes. A row's
     posterior takes up to ``posterior_steps`` steps, or stops when they move
-    less than ``posterior_tol``. After a fit ``n_iter_`` has the passes made,
+    less than ``posterior_tol``; with ``warm`` it goes on from the iteration
+    before instead of from ones, which takes fewer steps but may end in another, worse optimum. After a fit ``n_iter_`` has the passes made,
     ``converged_`` whether ``tol`` was reached. Missing or negative values are
     refused.
     """
@@ -51,10 +56,11 @@ class TopicModel:
         tol: float = 0.0,
         posterior_steps: int = 100,
         posterior_tol: float = 1e-3,
+        warm: bool = False,
     ):
         self.n_topics, self.alpha, self.beta = n_topics, float(alpha), float(beta)
         self.max_iter, self.seed, self.tol = max_iter, seed, tol
-        self.posterior_steps, self.posterior_tol = posterior_steps, posterior_tol
+        self.posterior_steps, self.posterior_tol, self.warm = posterior_steps, posterior_tol, warm
         self.features: list[str] | None = None
         self.components: np.ndarray | None = None
         self.perplexity_: float | None = None
@@ -67,50 +73,38 @@ class TopicModel:
         return self.components
 
     def fit(self, df: DataFrame, features: Sequence[str], with_perplexity: bool = True) -> "TopicModel":
-        self.features = list(features)
-        x = fit_input(df, features, nonnegative=True)
-        settle = (self.posterior_steps, self.posterior_tol)
-        try:
-            shape = (self.n_topics, len(self.features))
-            lam = np.random.RandomState(self.seed).gamma(100.0, 0.01, shape)
-            alpha, self.mass_ = self.alpha, []
-            for i in range(self.max_iter):
-                word = np.exp(kernels.dirichlet_log_mean(lam))
-                stats = sum_over_rows(
-                    x, lam.size, lambda m, w=word: kernels.topic_statistics(m, w, alpha, *settle).ravel()
-                ).reshape(shape)
-                new = self.beta + stats
-                change = float(np.abs(new - lam).mean() / max(np.abs(lam).mean(), 1e-300))
-                lam, self.n_iter_ = new, i + 1
-                self.mass_.append(float(lam.sum()))
-                self.converged_ = change < self.tol
-                if self.converged_:
-                    break
-            self.components = lam
-            self.perplexity_ = self._perplexity(x) if with_perplexity else None
-        finally:
-            x.unpersist()
+        fit_topics(df, features, [self], with_perplexity)
         return self
 
-    def _perplexity(self, x: DataFrame) -> float:
+    def _bound(self):
+        """A step that adds up the rows' part of the bound and the mass, and what turns the sums into the perplexity."""
         lam, alpha, settle = self._fitted(), self.alpha, (self.posterior_steps, self.posterior_tol)
         word_log = kernels.dirichlet_log_mean(lam)
         word = np.exp(word_log)
-        bound, mass = sum_over_rows(
-            x, 2, lambda m: np.array([kernels.topic_bound(m, word_log, word, alpha, *settle), m.sum()])
-        )
-        eta, width = self.beta, lam.shape[1]
-        bound += float(((eta - lam) * word_log).sum())
-        bound += float((kernels.log_gamma(lam) - kernels.log_gamma(np.full_like(lam, eta))).sum())
-        row = kernels.log_gamma(np.full(len(lam), eta * width)) - kernels.log_gamma(lam.sum(axis=1))
-        bound += float(row.sum())
-        return float(np.exp(-bound / mass))
+
+        def rows(m):
+            return np.array([kernels.topic_bound(m, word_log, word, alpha, *settle), m.sum()])
+
+        def perplexity(bound: float, mass: float) -> float:
+            eta, width = self.beta, lam.shape[1]
+            bound += float(((eta - lam) * word_log).sum())
+            bound += float((kernels.log_gamma(lam) - kernels.log_gamma(np.full_like(lam, eta))).sum())
+            row = kernels.log_gamma(np.full(len(lam), eta * width)) - kernels.log_gamma(lam.sum(axis=1))
+            bound += float(row.sum())
+            return float(np.exp(-bound / mass))
+
+        return rows, perplexity
 
     def perplexity(self, df: DataFrame) -> float:
-        return self._perplexity(matrix_input(df, self.features or []))
+        rows, perplexity = self._bound()
+        return perplexity(*sum_over_rows(matrix_input(df, self.features or []), 2, rows))
 
     def transform(self, df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
         """Add ``Topic_k`` weights (rows sum to 1); the topics stay fixed."""
+        return map_rows(df, features or self.features, self.weights_step(), self.topics)
+
+    def weights_step(self):
+        """The step that turns rows into weights; it carries the topics only."""
         lam, alpha, settle = self._fitted(), self.alpha, (self.posterior_steps, self.posterior_tol)
         word = np.exp(kernels.dirichlet_log_mean(lam))
 
@@ -118,7 +112,7 @@ class TopicModel:
             gamma = kernels.topic_posterior(m, word, alpha, *settle)
             return gamma / gamma.sum(axis=1, keepdims=True)
 
-        return map_rows(df, features or self.features, weights, self.topics)
+        return weights
 
     @property
     def topics(self) -> list[str]:
@@ -150,15 +144,59 @@ class TopicModel:
         params = dict(n_topics=self.n_topics, alpha=self.alpha, beta=self.beta, max_iter=self.max_iter,
                       seed=self.seed, tol=self.tol, features=self.features, perplexity=self.perplexity_,
                       n_iter=self.n_iter_, converged=self.converged_, posterior_steps=self.posterior_steps,
-                      posterior_tol=self.posterior_tol)
+                      posterior_tol=self.posterior_tol, warm=self.warm)
         write_json(spark, f"{path}/params", params)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TopicModel":
         p = read_json(spark, f"{path}/params")
         model = cls(p["n_topics"], p["alpha"], p["beta"], p["max_iter"], p["seed"], p["tol"],
-                    p["posterior_steps"], p["posterior_tol"])
+                    p["posterior_steps"], p["posterior_tol"], p["warm"])
         model.features, model.perplexity_ = p["features"], p["perplexity"]
         model.n_iter_, model.converged_ = p["n_iter"], p["converged"]
         model.components = read_matrix(spark, f"{path}/components")
         return model
+
+
+def fit_topics(df: DataFrame, features: Sequence[str], models: Sequence[TopicModel], with_perplexity: bool = True) -> Sequence[TopicModel]:
+    """Fit all models in the same passes over the rows; a model that has converged or made its passes drops out.
+
+    The models must agree on how posteriors settle. One pass is one job, whatever the number of models.
+    """
+    settle = {(m.posterior_steps, m.posterior_tol, m.warm) for m in models}
+    if len(settle) > 1:
+        raise ValueError("models that are fitted together need equal posterior settings")
+    x = fit_input(df, features, nonnegative=True)
+    lam = {}
+    for k, m in enumerate(models):
+        m.features, m.mass_, m.n_iter_, m.converged_ = list(features), [], 0, False
+        lam[k] = np.random.RandomState(m.seed).gamma(100.0, 0.01, (m.n_topics, len(m.features)))
+    alphas = {k: m.alpha for k, m in enumerate(models)}
+    state = Resident(x, kernels.topic_block)
+    try:
+        while True:
+            active = [k for k, m in enumerate(models) if not m.converged_ and m.n_iter_ < m.max_iter]
+            if not active:
+                break
+            words = {k: np.exp(kernels.dirichlet_log_mean(lam[k])) for k in active}
+            state.advance(kernels.topic_pass(words, alphas, *next(iter(settle))))
+            flat, at = state.total(kernels.topic_sums, sum(lam[k].size for k in active)), 0
+            for k in active:
+                m, old = models[k], lam[k]
+                lam[k] = m.beta + flat[at:at + old.size].reshape(old.shape)
+                at += old.size
+                m.n_iter_ += 1
+                m.mass_.append(float(lam[k].sum()))
+                m.converged_ = float(np.abs(lam[k] - old).mean() / max(np.abs(old).mean(), 1e-300)) < m.tol
+        for k, m in enumerate(models):
+            m.components = lam[k]
+        if with_perplexity:
+            bounds = [m._bound() for m in models]
+            steps = [rows for rows, _ in bounds]
+            sums = state.total(lambda block: np.concatenate([rows(block["x"]) for rows in steps]), 2 * len(models))
+            for k, (m, (_, perplexity)) in enumerate(zip(models, bounds)):
+                m.perplexity_ = perplexity(*sums[2 * k:2 * k + 2])
+    finally:
+        state.drop()
+        x.unpersist()
+    return models

@@ -22,6 +22,8 @@ def local_session(cores: int | str = 8, app: str = "cohortloom", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # a pass of a fit is a job of milliseconds; over TCP each waits for delayed acknowledgements
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
