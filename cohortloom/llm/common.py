@@ -61,6 +61,22 @@ def give_back_id(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names made of the stems that ``df`` does not have, whatever their case."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem)
+        names.append(stem)
+    return names
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Counts as single bytes if they all fit, else as 32-bit numbers."""
+    return values.astype(np.uint8 if values.max(initial=0) < 256 else np.uint32)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

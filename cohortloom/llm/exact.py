@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import give_back_id, id_column, partitions, small_batches, value_buffer
+from cohortloom.llm.common import give_back_id, id_column, partitions, small_batches, unused, value_buffer
 from cohortloom.runtime import settle
 
 PRIME = (1 << 61) - 1
@@ -122,5 +122,6 @@ def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stays."""
-    stays = duplicates(docs, id, text).filter("kept").select(id_column("doc_id").alias("_stays"))
-    return docs.join(stays, id_column(id) == F.col("_stays"), "left_semi")
+    (name,) = unused(docs, "_stays")
+    stays = duplicates(docs, id, text).filter("kept").select(id_column("doc_id").alias(name))
+    return docs.join(stays, id_column(id) == F.col(name), "left_semi")

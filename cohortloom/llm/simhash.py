@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import U64, give_back_id, id_column, small_batches
+from cohortloom.llm.common import U64, give_back_id, id_column, small_batches, unused
 from cohortloom.llm.components import components
 from cohortloom.runtime import settle
 
@@ -153,5 +153,6 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its group."""
     found = groups(docs, id, text, width, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = found.select(id_column("doc_id").alias("_stays"))
-    return docs.join(stays, id_column(id) == F.col("_stays"), "left_semi")
+    (name,) = unused(docs, "_stays")
+    stays = found.select(id_column("doc_id").alias(name))
+    return docs.join(stays, id_column(id) == F.col(name), "left_semi")

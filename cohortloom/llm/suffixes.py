@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortloom.llm import repeats
-from cohortloom.llm.common import give_back_id
+from cohortloom.llm.common import give_back_id, narrow
 from cohortloom.llm.repeats import SEGMENTS, Shape, Texts, pick, squeeze, stretches
 
 SPAN, GRAM = 100, 32
@@ -83,8 +83,8 @@ def send(gram, doc, first, windows, lead, start, size, held, buckets) -> list[tu
         place = np.arange(width)
         rest = rows[part][(place >= same[:, None]) & (place < length[part][:, None])]
         left = pick(held, start[mine], lead[mine])
-        out.append((b, SEGMENTS, 0, squeeze(same.astype(np.uint8), length[part].astype(np.uint8), rest, lead[mine].astype(np.uint8), left,
-                                            windows[mine].astype(np.uint8), doc[mine], first[mine].astype(np.uint32))))
+        out.append((b, SEGMENTS, 0, squeeze(narrow(same), narrow(length[part]), rest, narrow(lead[mine]), left,
+                                            narrow(windows[mine]), doc[mine], first[mine].astype(np.uint32))))
     return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm import repeats
-from cohortloom.llm.common import SLICE_BYTES, give_back_id, id_column
+from cohortloom.llm.common import SLICE_BYTES, give_back_id, id_column, narrow, unused
 from cohortloom.llm.repeats import SEGMENTS, Shape, Texts, earliest, pick, squeeze
 
 SPAN, GRAM = 20, 10
@@ -35,7 +35,7 @@ def send(gram, doc, first, windows, lead, start, size, held, buckets) -> list[tu
     for b in range(buckets):
         part = order[edges[b]:edges[b + 1]]
         if len(part):
-            rows.append((b, SEGMENTS, 0, squeeze(doc[part], first[part].astype(np.uint32), windows[part].astype(np.uint8),
+            rows.append((b, SEGMENTS, 0, squeeze(doc[part], first[part].astype(np.uint32), narrow(windows[part]),
                                                  size[part].astype(np.uint32), pick(held, start[part], size[part]))))
     return rows
 
@@ -153,12 +153,13 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", spa
 
 
 def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated words taken out of ``text``; rows whose text has none are as they were, and other columns stay."""
-    texts = without_repeats(docs, id, text, **options).select(F.col("id").alias("_id"), F.col("was").alias("_was"), F.col("clean").alias("_clean"))
-    texts = texts.dropDuplicates(["_id", "_was"])
+    """``docs`` with repeated words taken out of ``text``; rows whose text has none are as they were, and other columns stay, whatever their names."""
+    key, was, none, new = unused(docs, "_id", "_was", "_none", "_clean")
+    texts = without_repeats(docs, id, text, **options).select(F.col("id").alias(key), F.col("was").alias(was), F.col("clean").alias(new))
+    texts = texts.dropDuplicates([key, was])
     # the text itself stays behind: its hash tells which one a row had
     body = F.col(text).cast("string")
-    rest = docs.withColumns({"_id": id_column(id), "_was": F.xxhash64(F.coalesce(body, F.lit(""))), "_none": body.isNull()}).drop(text)
-    kept = rest.join(texts, ["_id", "_was"], "left")
-    new = F.when(~F.col("_none"), F.col("_clean"))
-    return kept.select(*[(new.alias(c) if c == text else F.col(c)) for c in docs.columns])
+    rest = docs.withColumns({key: id_column(id), was: F.xxhash64(F.coalesce(body, F.lit(""))), none: body.isNull()}).drop(text)
+    kept = rest.join(texts, [key, was], "left")
+    cleaned = F.when(~F.col(none), F.col(new))
+    return kept.select(*[(cleaned.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])

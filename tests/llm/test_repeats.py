@@ -112,3 +112,30 @@ def test_merge_gives_order_and_common_prefixes(runs):
         assert known == (suffixes.common(out[-1], s, 0) if out else 0)
         out.append(s)
     assert out == sorted(s for r in runs for s in r)
+
+
+@pytest.mark.parametrize("span", [1, 100, 255, 256, 300, 2000])
+def test_spans_of_any_width(spark, span):
+    draw = random.Random(span)
+    shared = " ".join(f"w{draw.randrange(10**6)}" for _ in range(2 * span + 200))
+    texts = [(1, "a b " + shared), (2, "c " + shared + " d"), (3, "own words only"), (4, shared[: len(shared) // 2] + " z"), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in trees.digests(docs, span=span, gram=max(1, span // 2)).collect()}
+    assert got == {d: (n, gone, sha) for d, (n, gone, _, sha) in brute(texts, WORD.findall, span, b" ".join).items()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(docs, span=span, gram=min(span, suffixes.GRAM)).collect()}
+    assert got == brute(texts, bytes, span, b"".join)
+
+
+def test_stages_keep_columns_with_any_name(spark):
+    from cohortloom.llm import exact, ngram, simhash
+
+    line = " ".join(f"word{k}" for k in range(30))
+    rows = [(k, f"{line} tail {k}", 77 + k, "w", True, "c", "s", "r", "en") for k in range(4)] + [(9, f"{line} tail 0", 99, "w", True, "c", "s", "r", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _was string, _none boolean, _Clean string, _stays string, _rejected string, lang string")
+    cleaned = trees.clean(docs)
+    assert cleaned.columns == docs.columns and {r.doc_id: r._id for r in cleaned.collect()} == {0: 77, 1: 78, 2: 79, 3: 80, 9: 99}
+    assert {r.doc_id for r in exact.keep_one(docs).collect()} == {1, 2, 3, 9}
+    assert simhash.keep_one(docs).columns == docs.columns
+    labels = spark.createDataFrame([(k, 1) for k in range(3)], "doc_id long, quality int")
+    kept = ngram.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r._rejected for r in kept.collect()} <= {"r"}
