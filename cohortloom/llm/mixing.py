@@ -31,6 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.llm.common import partitions
 from cohortloom.runtime import SMALL_TABLE_ROWS, settle
 
 #: What a word is made of; all other signs separate words.
@@ -109,7 +110,8 @@ def draws(sources: DataFrame, shard_slots: int, seed: int = SEED) -> DataFrame:
     total = F.sum("slots").over(Window.partitionBy())
     pieces = (sources.select("place", "blocks", "slots", "tickets_before", total.alias("all")).filter("slots > 0")
               .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / UNFOLDED)))))
-    tickets = (pieces.repartition("place", "piece")
+    # a fixed number of partitions: few rows unfold to many, so they are not to be put together
+    tickets = (pieces.repartition(partitions(sources.sparkSession), "place", "piece")
                .withColumn("k", F.explode(F.sequence(F.col("piece") * UNFOLDED,
                                                      F.least(F.col("slots"), (F.col("piece") + 1) * UNFOLDED) - 1))))
     at = permuted(F.col("tickets_before") + F.col("k"), F.col("all"), F.lit(-1).cast("long"), seed=seed)
@@ -132,7 +134,8 @@ def _running(counts: DataFrame, value: str, name: str, group: str, order: str) -
 
 def slots(sources: DataFrame, shard_slots: int = 8192, seed: int = SEED) -> DataFrame:
     """(shard, slot_hash, place, block): the block that each slot of the mix takes; a shard is read in the order of slot_hash."""
-    drawn = draws(sources, shard_slots, seed).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
+    counted = draws(sources, shard_slots, seed).repartition(partitions(sources.sparkSession), "shard", "place")
+    drawn = counted.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
     numbered = drawn.withColumn("k", F.col("first") + F.col("nth"))
     turn = F.floor(F.col("k") / F.col("blocks")).cast("long")
     block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("place").cast("long"), turn, seed=seed)
@@ -184,7 +187,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     blocks = pieces.groupBy("place", "source", "block").agg(
         F.sum("words").alias("words"),
         F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"])).alias("text"))
-    return (slots(shares, shard_slots, seed).join(blocks, ["place", "block"])
+    return (slots(shares, shard_slots, seed).hint("merge").join(blocks, ["place", "block"])
             .select("shard", "slot_hash", "source", "block", "words", "text"))
 
 
@@ -195,7 +198,8 @@ def taken(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     shares = settle(targets(rows, weights, most, block_words))
     placed = settle(positions(rows, shares))
     uses = slots(shares, shard_slots, seed).groupBy("place", "block").agg(F.count("*").alias("uses"))
-    found = (segments(placed, block_words).join(uses, ["place", "block"], "left")
+    # as many uses as blocks; the planner takes them for few, as they unfold from the table of sources
+    found = (segments(placed, block_words).join(uses.hint("merge"), ["place", "block"], "left")
              .groupBy("place", "doc_id", "size", "start")
              .agg(F.sum(F.col("words") * F.coalesce(F.col("uses"), F.lit(0))).alias("taken")))
     empty = placed.filter("size = 0").select("place", "doc_id", "size", "start", F.lit(0).cast("long").alias("taken"))
