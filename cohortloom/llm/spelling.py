@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,8 @@ from cohortloom.runtime import settle
 RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 BREAK = re.compile(rb"[^a-z\x80-\xff]")
 SIGNS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
-PLACE = {sign: k for k, sign in enumerate(SIGNS)}
 GROUPS = 8
-GROUP_WORDS = 50_000
+GROUP_WORDS = 10_000
 LEAF = 4
 FRONTIER = 200_000
 #: Distinct words that a task adds up before it hands them on.
@@ -101,10 +101,15 @@ def words(docs: DataFrame, id: str = "doc_id", text: str = "text", shortest: int
             .filter(F.col("n") >= fewest))
 
 
+def _places(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the signs of all words in a row, lengths)."""
+    signs = np.frombuffer("".join(found).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return np.where(signs < 0xC0, signs - ord("a"), signs - 0xC0 + 26), np.array(list(map(len, found)), dtype=np.int64)
+
+
 def counts_of(found: list[str]) -> np.ndarray:
     """Words x signs matrix of counts."""
-    lengths = np.array([len(w) for w in found], dtype=np.int64)
-    flat = np.array([PLACE[c] for w in found for c in w], dtype=np.int64)
+    flat, lengths = _places(found)
     row = np.repeat(np.arange(len(found)), lengths)
     return np.bincount(row * len(SIGNS) + flat, minlength=len(found) * len(SIGNS)).reshape(len(found), len(SIGNS))
 
@@ -128,7 +133,9 @@ def _members(depth: int):
 
 
 def reachable(counts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys) of the subtrees within one surplus and one deficit; each row has each key once."""
+    """(rows, keys) of the subtrees within one surplus and one deficit, each once; of two subtrees that
+    reach each other only the one with the larger key is given."""
+    own = keys_of(counts, depth)
     groups = np.stack([counts[:, g::GROUPS].sum(axis=1) for g in range(depth)], axis=1)
     rows, keys = [], []
     for up in range(-1, depth):
@@ -144,7 +151,8 @@ def reachable(counts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.n
             key = np.zeros(len(use), dtype=np.int64)
             for g in range(depth):
                 key = (key << 8) | np.minimum(moved[use, g], 255)
-            rows.append(use), keys.append(key)
+            ahead = key >= own[use]
+            rows.append(use[ahead]), keys.append(key[ahead])
     # counts above 255 share a key, so two moves may lead to one
     pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(keys)]), axis=1)
     return pairs[0], pairs[1]
@@ -154,8 +162,11 @@ def _queries(depth: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                rows, keys = reachable(counts_of(batch.column("word").to_pylist()), depth)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("word").take(pa.array(rows))], ["key", "word"])
+                counts = counts_of(batch.column("word").to_pylist())
+                rows, keys = reachable(counts, depth)
+                same = keys == keys_of(counts, depth)[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(pa.array(rows)) for c in ("word", "n")), pa.array(same)],
+                                                 ["key", "word", "n", "same"])
 
     return run
 
@@ -167,7 +178,8 @@ class Trie:
     def __init__(self, counts: np.ndarray):
         self.order = np.argsort(-counts.sum(axis=0), kind="stable")
         counts = np.minimum(counts[:, self.order], 255)
-        self.rows = np.lexsort(counts.T[::-1])
+        flat = np.ascontiguousarray(counts.astype(np.uint8))
+        self.rows = np.argsort(flat.view(f"S{flat.shape[1]}").ravel(), kind="stable")
         counts = counts[self.rows]
         self.levels = []
         active, node = np.arange(len(counts)), np.zeros(len(counts), dtype=np.int64)
@@ -240,32 +252,83 @@ def edits(word: str) -> Iterator[str]:
             yield word[:i] + word[i + 1:]
 
 
-def near_words(members: list[str], queries: list[str]) -> tuple[list[int], list[int]]:
+class Spelled:
+    """Words as rows of sign numbers, from the left and from the right, to compare many pairs at a time.
+
+    Words longer than ``WIDE`` have no row and are compared one by one.
+    """
+
+    WIDE = 48
+
+    def __init__(self, found: list[str]):
+        self.words = found
+        flat, self.length = _places(found)
+        width = min(self.WIDE, int(self.length.max(initial=0)))
+        at = np.cumsum(self.length) - self.length
+        self.left, self.right = np.full((2, len(found), width), 255, dtype=np.uint8)
+        short = self.length <= width
+        row, place = np.repeat(np.arange(len(found)), self.length), np.arange(len(flat)) - np.repeat(at, self.length)
+        use = short[row]
+        self.left[row[use], place[use]] = flat[use]
+        self.right[row[use], self.length[row[use]] - 1 - place[use]] = flat[use]
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many signs each two rows share at their beginning."""
+    width = min(a.shape[1], b.shape[1])
+    differ = a[:, :width] != b[:, :width]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+
+
+def verified(a: Spelled, b: Spelled, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of words are one edit apart: what agrees from both sides leaves at most one sign of the longer word."""
+    la, lb = a.length[i], b.length[j]
+    good, wide = np.abs(la - lb) <= 1, np.maximum(la, lb) > min(a.left.shape[1], b.left.shape[1])
+    for k in np.flatnonzero(good & wide):
+        good[k] = one_edit(a.words[i[k]], b.words[j[k]])
+    use = np.flatnonzero(good & ~wide)
+    short, long = np.minimum(la[use], lb[use]), np.maximum(la[use], lb[use])
+    head = np.minimum(_agree(a.left[i[use]], b.left[j[use]]), short)
+    tail = np.minimum(_agree(a.right[i[use]], b.right[j[use]]), short)
+    good[use] = (head + tail >= long - 1) & ((head < short) | (short < long))
+    return good
+
+
+def near_words(members: list[str], queries: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(queries, members) that are one edit apart, each pair once."""
-    trie, found = Trie(counts_of(members)), set()
-    place = {w: k for k, w in enumerate(members)}
-    asked = set()
+    trie, place, asked, found = Trie(counts_of(members)), {}, set(), []
+    held, wanted = Spelled(members), Spelled(queries)
     for which, low, high in trie.search(counts_of(queries)):
-        for q, a, b in zip(which.tolist(), low.tolist(), high.tolist()):
-            word = queries[q]
-            if b - a <= 2 * len(SIGNS) * (len(word) + 1):
-                found.update((q, int(m)) for m in trie.rows[a:b] if one_edit(word, members[m]))
-            elif q not in asked:
-                asked.add(q)
-                found.update((q, place[w]) for w in edits(word) if w in place)
-    pairs = sorted(found)
-    return [q for q, _ in pairs], [m for _, m in pairs]
+        size = high - low
+        large = size > 2 * len(SIGNS) * (wanted.length[which] + 1)
+        for q in set(which[large].tolist()) - asked:
+            asked.add(q)
+            place = place or {w: k for k, w in enumerate(members)}
+            met = {place[w] for w in edits(queries[q]) if w in place}
+            found.append((np.full(len(met), q), np.array(sorted(met), dtype=np.int64)))
+        which, low, size = which[~large], low[~large], size[~large]
+        edges = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + FRONTIER, FRONTIER))
+        for a, b in zip(edges, np.append(edges[1:], len(size))):
+            n = size[a:b]
+            i = np.repeat(which[a:b], n)
+            j = trie.rows[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)]
+            good = verified(wanted, held, i, j)
+            found.append((i[good], j[good]))
+    pairs = np.unique(np.concatenate([np.stack(f, axis=1) for f in found] or [np.empty((0, 2), np.int64)]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _search(table: pa.Table) -> pa.Table:
+    """Near words of one subtree. Queries from other subtrees aren't searched for there, so their pairs go out both ways."""
     member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
     held, asked = table.filter(pa.array(member)), table.filter(pa.array(~member))
-    queries, members = [], []
+    queries, members = np.empty((2, 0), np.int64)
     if held.num_rows and asked.num_rows:
         queries, members = near_words(held.column("word").to_pylist(), asked.column("word").to_pylist())
-    at = pa.array(members, pa.int64())
-    return pa.table({"word": asked.column("word").take(pa.array(queries, pa.int64())), "near": held.column("word").take(at),
-                     "near_n": held.column("n").take(at)})
+    at, other = pa.array(queries, pa.int64()), pa.array(members, pa.int64())
+    found = pa.table({"word": asked.column("word").take(at), "near": held.column("word").take(other), "near_n": held.column("n").take(other)})
+    back = pa.table({"word": found.column("near"), "near": found.column("word"), "near_n": asked.column("n").take(at)})
+    return pa.concat_tables([found, back.filter(pa.compute.invert(asked.column("same").take(at)))])
 
 
 def links(vocabulary: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
@@ -278,11 +341,10 @@ def links(vocabulary: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
         if (sizes.agg(F.max("size")).first()[0] or 0) <= group_words:
             break
     cut = sizes.select("key", F.ceil(F.col("size") / group_words).cast("int").alias("cuts"))
-    asked = vocabulary.mapInArrow(_queries(depth), "key long, word string").join(cut, "key")
-    asked = asked.select("key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "word", F.lit(None).cast("long").alias("n"),
-                         F.lit(False).alias("member"))
+    asked = vocabulary.mapInArrow(_queries(depth), "key long, word string, n long, same boolean").join(cut, "key")
+    asked = asked.select("key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "word", "n", "same", F.lit(False).alias("member"))
     held = members.join(cut, "key").select("key", F.pmod(F.xxhash64("word"), F.col("cuts")).cast("int").alias("cut"), "word", "n",
-                                           F.lit(True).alias("member"))
+                                           F.lit(True).alias("same"), F.lit(True).alias("member"))
     return held.unionByName(asked).groupBy("key", "cut").applyInArrow(_search, "word string, near string, near_n long")
 
 
