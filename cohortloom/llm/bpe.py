@@ -5,8 +5,7 @@ length, the candidates for a prefix are the vocabulary entries that end there (a
 them all in one pass); the right one starts at 0, or fits behind the last token of the prefix it leaves. Two tokens fit
 if no merge across their border would have come before the merges that built them. The back-pointers give the ids.
 
-Texts are split into units at spaces that stand before other signs (no piece crosses such a place), so units and
-pieces repeat a lot, and each Python worker keeps the encodings of the latest ones in tables of bounded size.
+Pieces repeat a lot, and each Python worker keeps the encodings of the latest ones in a table of bounded size.
 
 Nulls count as empty text: no tokens, the hash of nothing. Repeated rows and ties need no rule, each row stands alone.
 """
@@ -30,10 +29,14 @@ from cohortloom.llm.common import small_batches
 #: Fixed values of the byte-level format: the pattern of pieces, and the printable stand-ins of bytes.
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
           r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: The same pattern for texts of signs below U+0100, with the letters, numbers and spaces among them spelt out.
+NARROW = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
+          r"| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+          r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: Entries of one generation of each table in a Python worker; the tables hold two generations.
-KEPT = 120_000
+#: Entries of one generation of a table in a Python worker; a table holds two generations.
+KEPT = 250_000
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -146,44 +149,39 @@ class Encoder:
         """Ids of a whole text."""
         return [i for part in self.table(tuple).parts(text) for i in part]
 
-    def table(self, value: Callable) -> "Units":
-        return Units(self, value)
+    def table(self, value: Callable) -> "Pieces":
+        return Pieces(self, value)
 
 
-class Units(Latest):
-    """unit -> value(ids), for the units of texts as ``parts`` gives them."""
+class Pieces(Latest):
+    """piece -> value(ids), for the pieces of texts as ``parts`` gives them."""
 
-    split = staticmethod(re.compile(r" (?=\S)").split)
     pattern = PIECES
-    pieces = staticmethod(regex.compile(PIECES).findall)
+    wide, narrow = staticmethod(regex.compile(PIECES).findall), staticmethod(re.compile(NARROW).findall)
 
     def __init__(self, encoder: Encoder, value: Callable):
-        super().__init__(lambda unit: value(self.ids(unit)))
+        super().__init__(lambda piece: value(encoder.piece(piece.encode("utf-8", "surrogatepass").decode("latin-1"))))
         self.encoder, self.value = encoder, value
-        self.known = Latest(lambda piece: tuple(encoder.piece(piece.encode("utf-8", "surrogatepass").decode("latin-1"))))
 
-    def ids(self, unit: str) -> list[int]:
-        return [i for p in self.pieces(unit) for i in self.known[p]]
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide(text)
+        return self.narrow(text)
 
     def parts(self, text: str) -> list:
-        """Values of the units of a text, in order. The split takes a unit's leading space away; it is put back."""
+        """Values of the pieces of a text, in order."""
         if self.encoder.split_special is None:
-            return self._plain(text)
+            return [self[p] for p in self.split(text)]
         parts = []
         for k, stretch in enumerate(self.encoder.split_special.split(text)):
             if k % 2:
                 parts.append(self.value([self.encoder.special[stretch]]))
-            else:
-                parts += self._plain(stretch)
+            elif stretch:
+                parts += [self[p] for p in self.split(stretch)]
         return parts
 
-    def _plain(self, text: str) -> list:
-        if not text:
-            return []
-        first, *rest = self.split(text)
-        found = [self[first]] if first else []
-        return found + [self[" " + unit] for unit in rest]
-
 
 @functools.lru_cache(maxsize=4)
 def encoder_of(path: str) -> Encoder:
@@ -192,7 +190,7 @@ def encoder_of(path: str) -> Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _coded(path: str) -> Units:
+def _coded(path: str) -> Pieces:
     encoder = encoder_of(path)
     return encoder.table(lambda ids: (len(ids), ",".join(map(str, ids)), b"".join([encoder.bytes_of[i] for i in ids])))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.bpe import Units, default_vocabulary, encoder_of
+from cohortloom.llm.bpe import Pieces, default_vocabulary, encoder_of
 from cohortloom.llm.common import small_batches
 from cohortloom.runtime import settle
 
@@ -28,15 +28,15 @@ Pattern = tuple[tuple[int, int], ...]
 
 
 @functools.lru_cache(maxsize=2)
-def _coded(path: str) -> Units:
+def _coded(path: str) -> Pieces:
     import tiktoken
 
     encoder = encoder_of(path)
     ranks = {raw: n for n, raw in enumerate(encoder.bytes_of) if raw and n not in encoder.special.values()}
     # the merges of this format are ranked by the ids they make, so a rank encoder gives the same ids
-    ordinary = tiktoken.Encoding("units", pat_str=Units.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    table = Units(encoder, lambda ids: np.array(ids, dtype="<u4").tobytes())
-    table.make = lambda unit: np.array(ordinary(unit), dtype="<u4").tobytes()
+    ordinary = tiktoken.Encoding("pieces", pat_str=Pieces.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    table = Pieces(encoder, lambda ids: np.array(ids, dtype="<u4").tobytes())
+    table.make = lambda piece: np.array(ordinary(piece), dtype="<u4").tobytes()
     return table
 
 

@@ -195,3 +195,9 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (None, 3), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(max_codepoint=0xFF), max_size=40))
+def test_narrow_texts_have_the_same_pieces(text):
+    assert bpe.Pieces.narrow(text) == bpe.Pieces.wide(text)
