@@ -84,3 +84,11 @@ def test_quantile_brackets_stay_small(spark):
             assert q == pytest.approx(low + (values[math.ceil(at)] - low) * (at - math.floor(at)), rel=1e-12)
     ties = rows.withColumn("v", F.when(F.col("v") > 0, 1.0).otherwise(F.floor(F.col("v") / 1e6).cast("double")))
     assert spread.exact_quantiles(ties, ["g"], "v", [0.9], accuracy).first()["q0"] == 1.0
+
+
+def test_dominant_topic_skips_nan(spark):
+    from cohortloom.operators.ranking import order_by_dominant
+
+    rows = [(1, "a", float("nan"), 0.2, 0.7), (2, "a", 0.5, 0.5, float("nan")), (3, "a", None, None, 0.1)]
+    got = order_by_dominant(spark.createDataFrame(rows, "id int, DX string, t0 double, t1 double, t2 double"), "DX", ["t0", "t1", "t2"], ["id"])
+    assert {r.id: r.dominant for r in got.collect()} == {1: 2, 2: 0, 3: 2}
