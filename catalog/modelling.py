@@ -18,6 +18,7 @@ from cohortloom.models.boosted import TopicClassifier
 from cohortloom.models.lda import TopicModel
 from cohortloom.models.logistic import LogisticTopicClassifier
 from cohortloom.models.mixture import two_components
+from cohortloom.models.newton import probabilities
 from cohortloom.models.nmf import FactorModel
 from cohortloom.models.pca import fit_components
 from cohortloom.operators import evaluate as ev
@@ -222,6 +223,26 @@ def _(spark, d):
     return rounded(logistic_folds(spark, d), 3)
 
 
+@query(
+    "ml12d_logistic_mass_of_folds",
+    # intercepts are free, so the probabilities that a fold's model gives its own rows add up to the class counts
+    f"WITH folded AS ({FOLDS}) SELECT CAST(m.left_out AS INTEGER) AS left_out, f.DX_true AS DX, "
+    + r("count(*)", 3)
+    + " AS mass FROM folded f JOIN range(5) m(left_out) ON f.fold <> m.left_out GROUP BY 1, 2",
+)
+def _(spark, d):
+    model = LogisticTopicClassifier()
+    folded = model.cross_validate(weighted_classes(spark, d), TOPICS, "DX", ["id"]).select("id", "fold")
+    rows = weighted_classes(spark, d).select("id", *TOPICS).join(folded, "id")
+    found = spark.createDataFrame([(k, m.raw()) for k, m in enumerate(model.fold_models)], "left_out int, raw array<double>")
+    # five models, one row each
+    seen = rows.join(F.broadcast(found), F.col("fold") != F.col("left_out"))
+    classes = ["D1", "D2", "rest"]
+    scored = seen.select("left_out", F.posexplode(probabilities(TOPICS, len(classes), F.col("raw"))).alias("pos", "p"))
+    mass = scored.groupBy("left_out", "pos").agg(F.sum("p").alias("mass"))
+    return rounded(mass.select("left_out", F.get(F.lit(classes), F.col("pos")).alias("DX"), "mass"), 3)
+
+
 @query("fd8b_importance_bars")
 def _(spark, d):
     return rounded(importance_bars(tree_fit(spark, d).feature_importance(spark)))

@@ -21,8 +21,9 @@ def matrix_input(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(feature_vector(features, clip=False).alias("x"))
 
 
-# Partial sums that the driver adds up itself; more are first added in tasks.
+# Partial sums that the driver adds up itself, in number and in bytes; more are first added in tasks.
 DIRECT_PARTS = 64
+DIRECT_BYTES = 64 << 20
 
 
 def cached(df: DataFrame) -> DataFrame:
@@ -60,9 +61,10 @@ def sum_over_rows(
 ) -> np.ndarray:
     """Sum ``step(batch)`` (a flat array of ``length``) over all batches.
 
-    Every task emits one partial array. Up to ``DIRECT_PARTS`` of them are
-    added on the driver; more are added in tasks first, level by level, so the
-    driver never holds more than that whatever the number of tasks.
+    Every task emits one partial array. Up to ``DIRECT_PARTS`` of them with at
+    most ``DIRECT_BYTES`` in all are added on the driver; more are added in
+    tasks first, level by level, so the driver never holds more than that
+    whatever the number of tasks (two at least, if one is that large).
     """
     from cohortloom.models.kernels import as_list_column, batch_matrix
 
@@ -83,8 +85,9 @@ def sum_over_rows(
     count = getattr(x, "_part_count", None)
     if count is None:
         count = x._part_count = x.rdd.getNumPartitions()
-    while count > DIRECT_PARTS:
-        count = -(-count // DIRECT_PARTS)
+    direct = max(2, min(DIRECT_PARTS, DIRECT_BYTES // (8 * max(length, 1))))
+    while count > direct:
+        count = -(-count // direct)
         parts = parts.repartition(count).mapInArrow(adding("s", lambda m: m.sum(axis=0)), "s array<double>")
     return batch_matrix(parts.toArrow().combine_chunks(), "s").reshape(-1, length).sum(axis=0)
 

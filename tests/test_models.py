@@ -173,18 +173,66 @@ def test_out_of_fold_covers_every_row_once(planted):
     assert (cv["DX_true"] == cv["DX_pred"]).mean() > 0.8
 
 
+def slope_of(model, classes, x, y):
+    """Gradient of the summed log loss plus half the squared weights, in numpy."""
+    z = (x - np.array(model.center)) / np.array(model.scale)
+    coef = np.array(model.coefficients)
+    logits = z @ coef.T + np.array(model.intercepts)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    hit = (y[:, None] == np.array(classes)[None, :]).astype(float)
+    return np.concatenate([(p - hit).T @ z + coef, (p - hit).sum(axis=0)[:, None]], axis=1)
+
+
 def test_logistic_matches_stationarity(spark, planted):
     df, x = planted
     model = LogisticTopicClassifier(n_splits=3, max_iter=200).fit(df, NAMES[:3], "DX")
-    coef = model.coefficients(spark).toPandas().set_index("DX").loc[model.classes].to_numpy()
-    # gradient of summed log loss plus half the squared coefficients is zero
     pdf = df.toPandas()
-    z = (pdf[NAMES[:3]].to_numpy() - np.array(model.center)) / np.array(model.scale)
-    logits = z @ coef.T + model.model.interceptVector.toArray()
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    y = (pdf["DX"].to_numpy()[:, None] == np.array(model.classes)[None, :]).astype(float)
-    assert np.abs((p - y).T @ z + coef).max() < 0.05
+    slope = slope_of(model.model, model.classes, pdf[NAMES[:3]].to_numpy(), pdf["DX"].to_numpy())
+    assert np.abs(slope).max() < 1e-6 and model.model.converged and model.model.steps < 20
+    assert (np.diff(model.model.losses) <= 1e-9).all()
+    shown = model.coefficients(spark).toPandas().set_index("DX").loc[model.classes].to_numpy()
+    assert shown.tolist() == model.model.coefficients
+    assert abs(sum(model.model.intercepts)) < 1e-9
+
+
+def test_logistic_folds_share_passes_and_equal_single_fits(spark, planted):
+    df, _ = planted
+    joint = LogisticTopicClassifier(n_splits=3)
+    cv = joint.fit_and_cross_validate(df, NAMES[:4], "DX", ["PTID"]).toPandas().set_index("PTID")
+    assert len(cv) == 150 and len(joint.fold_models) == 3
+    pdf = df.toPandas()
+    pdf["fold"] = pdf["PTID"].map(cv["fold"])
+    for k, model in enumerate(joint.fold_models):
+        rest, out = pdf[pdf["fold"] != k], pdf[pdf["fold"] == k]
+        assert model.center == pytest.approx(rest[NAMES[:4]].mean().tolist(), rel=1e-12)
+        assert np.abs(slope_of(model, joint.classes, rest[NAMES[:4]].to_numpy(), rest["DX"].to_numpy())).max() < 1e-6
+        alone = LogisticTopicClassifier().fit(spark.createDataFrame(rest), NAMES[:4], "DX")
+        assert np.array(alone.model.coefficients) == pytest.approx(np.array(model.coefficients), abs=1e-6)
+        own = alone.predict(spark.createDataFrame(out)).toPandas().set_index("PTID")
+        for c in joint.classes:
+            assert own[f"P({c})"].to_numpy() == pytest.approx(cv.loc[own.index, f"P({c})"].to_numpy(), abs=1e-6)
+    whole = LogisticTopicClassifier().fit(df, NAMES[:4], "DX")
+    assert np.array(whole.model.coefficients) == pytest.approx(np.array(joint.model.coefficients), abs=1e-6)
+
+
+def test_logistic_defined_results_at_the_edges(spark):
+    rows = [(i, "A" if i % 2 else "B", float(i % 3), 1.0) for i in range(30)] + [(99, "only", 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, DX string, v double, flat double")
+    joint = LogisticTopicClassifier(n_splits=3)
+    cv = joint.cross_validate(df, ["v", "flat"], "DX", ["id"]).toPandas().set_index("id")
+    # the class of one row is absent where that row is left out: probability zero, no failure
+    assert cv.loc[99, "P(only)"] == 0.0 and np.allclose(cv[["P(A)", "P(B)", "P(only)"]].sum(axis=1), 1.0)
+    model = LogisticTopicClassifier().fit(df, ["v", "flat"], "DX")
+    gap = spark.createDataFrame([(1, None, 1.0), (2, float("nan"), 1.0)], "id int, v double, flat double")
+    assert [tuple(r) for r in model.predict(gap).select("P(A)", "DX_pred").collect()] == [(None, None)] * 2
+    with pytest.raises(ValueError, match="missing values in v"):
+        LogisticTopicClassifier().fit(df.withColumn("v", F.lit(None).cast("double")), ["v", "flat"], "DX")
+    path = fresh_path(spark, "logistic")
+    model.save(spark, path)
+    again = LogisticTopicClassifier.load(spark, path)
+    names = ["id", "P(A)", "P(B)", "P(only)"]
+    assert again.predict(df).select(names).collect() == model.predict(df).select(names).collect()
 
 
 def test_whole_analysis_round_trip(spark, planted):
