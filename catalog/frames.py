@@ -286,3 +286,45 @@ VOXELS = (
 )
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "DataFrame", "SparkSession", "F"}]
+
+
+# --- two-part mixtures: the steps as recursive SQL -------------------------------
+def mixture_sql(values: str) -> str:
+    """CTEs up to ``mixture`` (key, m1, s1, w1, m2, s2, w2; part 1 has the lower mean) from rows (key, v).
+
+    Two means first (at most 100 steps), then expectation and maximisation until the level moves by less than 1e-3.
+    """
+    logs = [f"(ln(greatest(w{i}, 1e-300)) - 0.5 * ln(2 * pi() * v{i}) - (x - m{i}) * (x - m{i}) * (0.5 / v{i}))" for i in (1, 2)]
+    share = f"(1 / (1 + exp({logs[1]} - {logs[0]})))"
+    top = f"greatest({logs[0]}, {logs[1]})"
+    level = f"avg({top} + ln(exp({logs[0]} - {top}) + exp({logs[1]} - {top})))"
+
+    def parts(a: str) -> str:
+        out = []
+        for i, s in ((1, a), (2, f"(1 - {a})")):
+            size = f"(sum({s}) + 1e-12)"
+            mean = f"(sum({s} * x) / {size})"
+            out.append(f"{mean} AS m{i}, greatest(sum({s} * x * x) / {size} - {mean} * {mean}, 0) + 1e-6 AS v{i}, {size} / count(*) AS w{i}")
+        return ", ".join(out)
+
+    return (
+        f"val AS (SELECT key, CAST(v AS DOUBLE) AS v FROM ({values}) WHERE v IS NOT NULL AND NOT isnan(v)), "
+        "st AS (SELECT key, avg(v) AS c, min(v) AS lo, max(v) AS hi, var_pop(v) AS sp FROM val GROUP BY key HAVING count(*) >= 2), "
+        "xs AS (SELECT key, v - c AS x FROM val JOIN st USING (key)), "
+        "tm AS (SELECT key, 0 AS step, lo - c AS low, hi - c AS high, sp, CAST('inf' AS DOUBLE) AS moved FROM st UNION ALL "
+        "SELECT key, step + 1, below, above, sp, (below - low) * (below - low) + (above - high) * (above - high) FROM ("
+        "SELECT t.key, t.step, t.low, t.high, t.sp, coalesce(avg(x) FILTER (x <= (low + high) / 2), low) AS below, "
+        "coalesce(avg(x) FILTER (x > (low + high) / 2), high) AS above FROM tm t JOIN xs ON t.key = xs.key "
+        "WHERE t.moved > 1e-4 * t.sp AND t.step < 100 GROUP BY t.key, t.step, t.low, t.high, t.sp)), "
+        "cut AS (SELECT key, arg_max((low + high) / 2, step) AS cut FROM tm GROUP BY key), "
+        f"em0 AS (SELECT key, {parts('(CASE WHEN x <= cut THEN 1.0 ELSE 0.0 END)')} FROM xs JOIN cut USING (key) GROUP BY key), "
+        "em AS (SELECT key, 0 AS step, m1, v1, w1, m2, v2, w2, CAST('-inf' AS DOUBLE) AS level, CAST('inf' AS DOUBLE) AS moved FROM em0 "
+        "UNION ALL SELECT key, step + 1, n.m1, n.v1, n.w1, n.m2, n.v2, n.w2, n.l, abs(n.l - n.level) FROM ("
+        f"SELECT e.key, e.step, e.level, {level} AS l, {parts(share)} "
+        "FROM em e JOIN xs ON e.key = xs.key WHERE e.moved >= 1e-3 AND e.step < 100 "
+        "GROUP BY e.key, e.step, e.level) n), "
+        "last AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY key ORDER BY step DESC) = 1), "
+        "mixture AS (SELECT key, CASE WHEN m1 <= m2 THEN m1 ELSE m2 END + c AS m1, sqrt(CASE WHEN m1 <= m2 THEN v1 ELSE v2 END) AS s1, "
+        "CASE WHEN m1 <= m2 THEN w1 ELSE w2 END AS w1, CASE WHEN m1 <= m2 THEN m2 ELSE m1 END + c AS m2, "
+        "sqrt(CASE WHEN m1 <= m2 THEN v2 ELSE v1 END) AS s2, CASE WHEN m1 <= m2 THEN w2 ELSE w1 END AS w2 FROM last JOIN st USING (key))"
+    )

@@ -17,7 +17,7 @@ from cohortloom.functions.rowwise import collapse_labels
 from cohortloom.models.boosted import TopicClassifier
 from cohortloom.models.lda import TopicModel
 from cohortloom.models.logistic import LogisticTopicClassifier
-from cohortloom.models.mixture import two_components
+from cohortloom.models.mixture import fit_mixtures, mixture_scores
 from cohortloom.models.newton import probabilities
 from cohortloom.models.nmf import FactorModel
 from cohortloom.models.pca import fit_components
@@ -125,11 +125,45 @@ def _(spark, d):
     return rounded(model.transform(new, prefix="nmf/Topic_").select("id", *topic_names(4, "nmf/Topic_")))
 
 
-@query("ml5_two_component_mixture")
+@query(
+    "ml5_two_component_mixture",
+    f"WITH RECURSIVE {fr.mixture_sql('SELECT 0 AS key, ln(1 + value) AS v FROM events')} "
+    f"SELECT CAST(0 AS INTEGER) AS part, {r('m1', 3)} AS mean, {r('s1', 3)} AS std, {r('w1', 3)} AS weight FROM mixture UNION ALL "
+    f"SELECT 1, {r('m2', 3)}, {r('s2', 3)}, {r('w2', 3)} FROM mixture",
+)
 def _(spark, d):
     e = table(spark, d, "events").select(F.log1p("value").alias("v"))
-    rows = [(i, *p) for i, p in enumerate(two_components(e, "v"))]
-    return rounded(spark.createDataFrame(rows, "part int, mean double, std double, weight double"), 3)
+    return rounded(fit_mixtures(e, ["v"]).select("part", "mean", "std", "weight"), 3)
+
+
+def _both_values(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", F.log1p("value").alias("v"), F.sqrt("value").alias("w"))
+
+
+BOTH_VALUES = (
+    "SELECT event_type || '/v' AS key, ln(1 + value) AS v FROM events UNION ALL SELECT event_type || '/w', sqrt(value) FROM events"
+)
+
+
+@query(
+    "ml5b_mixtures_of_groups",
+    f"WITH RECURSIVE {fr.mixture_sql(BOTH_VALUES)}, parts AS (SELECT key, 0 AS part, m1 AS mean, s1 AS std, w1 AS weight FROM mixture "
+    "UNION ALL SELECT key, 1, m2, s2, w2 FROM mixture) SELECT split_part(key, '/', 1) AS event_type, split_part(key, '/', 2) AS score, "
+    f"CAST(part AS INTEGER) AS part, {r('mean', 3)} AS mean, {r('std', 3)} AS std, {r('weight', 3)} AS weight FROM parts",
+)
+def _(spark, d):
+    return rounded(fit_mixtures(_both_values(spark, d), ["v", "w"], ["event_type"]), 3)
+
+
+@query(
+    "ml5c_scores_of_groups",
+    f"WITH RECURSIVE {fr.mixture_sql(BOTH_VALUES)} SELECT event_id, {r('(ln(1 + value) - a.m1) / a.s1', 3)} AS v_z, "
+    f"{r('(sqrt(value) - b.m1) / b.s1', 3)} AS w_z FROM events LEFT JOIN mixture a ON a.key = event_type || '/v' "
+    "LEFT JOIN mixture b ON b.key = event_type || '/w'",
+)
+def _(spark, d):
+    scored = mixture_scores(_both_values(spark, d), {"v": "v_z", "w": "w_z"}, ["event_type"])
+    return rounded(scored.select("event_id", "v_z", "w_z"), 3)
 
 
 @query("ml6_component_scores")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import frames as fr
-from catalog.frames import FEATURES, FLAGS, PATTERNS, PREDICTIONS, PROBS, STAGE_COLUMNS, STAGED, STAGE_GROUPS, TOPICS, \
+from catalog.frames import COHORT, FEATURES, FLAGS, PATTERNS, PREDICTIONS, PROBS, STAGE_COLUMNS, STAGED, STAGE_GROUPS, TOPICS, \
     WEIGHTS, q, table
 from catalog.registry import query, r, rounded
 from catalog.relational import COMBINED, GROUP_ORDER, PLACED, patterns
@@ -16,7 +16,8 @@ from cohortloom.functions.rules import COMBINATION_FLAGS
 from cohortloom.operators import figdata as fd
 from cohortloom.operators import stats as st
 from cohortloom.operators.topics import class_weights_frame
-from cohortloom.plans.clinical import prepare_clinical, with_combination, with_stage_scores
+from cohortloom.plans.clinical import MEDIAL_LABELS, NEOCORTEX_LABELS, TAU_COLUMNS, prepare_clinical, with_combination, \
+    with_stage_scores
 from cohortloom.plans.projection import class_scores, class_score_tests
 
 LI = ["l_quantity", "l_discount", "l_tax"]
@@ -419,10 +420,26 @@ def _(spark, d):
     return made.select("NACCID", "NACCAGEB", "EDUC", "NACCMMSE", "combination", "n_labels")
 
 
-@query("clinical_stage_scores")
-def _(spark, d):
-    from cohortloom.plans.clinical import TAU_COLUMNS
+def _area(labels):
+    """The weighted mean of an area's labels, cell i of the vector standing for label i."""
+    place = {v: i for i, v in enumerate(TAU_COLUMNS)}
+    top = " + ".join(f"({q(f'VA/{place[v] + 1}')} + 1.0) * {100 + place[v]}" for v in labels)
+    return f"(({top}) / {sum(100 + place[v] for v in labels)})"
+
+
+STAGE_SCORES = f"areas AS (SELECT id, {_area(MEDIAL_LABELS)} AS a, {_area(NEOCORTEX_LABELS)} AS b FROM cohort)"
+
 
+@query(
+    "clinical_stage_scores",
+    f"WITH RECURSIVE {COHORT}, {STAGE_SCORES}, "
+    + fr.mixture_sql("SELECT 'a' AS key, a AS v FROM areas UNION ALL SELECT 'b', b FROM areas")
+    + ", z AS (SELECT id, a, (a - (SELECT m1 FROM mixture WHERE key = 'a')) / (SELECT s1 FROM mixture WHERE key = 'a') AS za, "
+    "(b - (SELECT m1 FROM mixture WHERE key = 'b')) / (SELECT s1 FROM mixture WHERE key = 'b') AS zb FROM areas) "
+    f"SELECT id, {r('a', 4)} AS \"TAU/MTL_SUVR\", CASE WHEN za < 2 AND zb < 2 THEN 'low' WHEN za >= 2 AND zb < 2 THEN 'mid' "
+    "WHEN zb >= 2 THEN 'high' END AS \"TAU/stage_aa_gt\" FROM z",
+)
+def _(spark, d):
     c = fr.cohort(spark, d)
     # vector cells 1..12 stand for the tau columns of the staging labels
     tau = c.select("id", *[(named(f"VA/{i + 1}") + F.lit(1.0)).alias(n) for i, n in enumerate(TAU_COLUMNS.values())])

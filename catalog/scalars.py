@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import frames as fr
 from catalog.frames import CODES, COHORT, FEATURES, FLAGS, PATTERNS, PREDICTIONS, PROFILE, SCORES, STAGED, \
-    PATTERN_TOPICS, PATTERN_WEIGHTS, STAGES, TOPICS, WEIGHTS, codes, cohort, q, table
+    PATTERN_TOPICS, PATTERN_WEIGHTS, STAGES, TOPICS, WEIGHTS, codes, cohort, mixture_sql, q, table
 from catalog.registry import query, r, rounded
 from catalog.relational import COMBINED, patterns
 from catalog.tables import staged
@@ -449,7 +449,11 @@ def _(spark, d):
     return rounded(built.select("id", *[named(n) for n in [*LOSS, *EXPECTED]]))
 
 
-@query("sc34_mixture_score")
+@query(
+    "sc34_mixture_score",
+    f"WITH RECURSIVE {mixture_sql('SELECT 0 AS key, ln(1 + value) AS v FROM events')} "
+    f"SELECT event_id, {r('ln(1 + value)', 4)} AS v, {r('(ln(1 + value) - m1) / s1', 4)} AS v_z FROM events CROSS JOIN mixture",
+)
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", F.log1p("value").alias("v"))
     return rounded(mixture_score(e, "v", "v_z"), 4)

@@ -19,7 +19,7 @@ from cohortloom.functions.rowwise import (
     weighted_mean,
 )
 from cohortloom.functions.rules import COMBINATION_FLAGS, with_clinical_flags
-from cohortloom.models.mixture import mixture_score
+from cohortloom.models.mixture import mixture_scores
 from cohortloom.operators.joins import fill_from_lookup, merge
 
 # Join keys of the clinical tables and the columns to fill.
@@ -66,12 +66,15 @@ def with_combination(df: DataFrame, flags: Mapping[str, str] | Sequence[str]) ->
     return df.withColumn("n_labels", label_count(F.col("combination")))
 
 
-def with_stage_scores(df: DataFrame, cell_counts: Mapping[int, int]) -> DataFrame:
-    """Weighted area means, their mixture scores and the observed stage."""
+def with_stage_scores(df: DataFrame, cell_counts: Mapping[int, int], by: Sequence[str] = ()) -> DataFrame:
+    """Weighted area means, their mixture scores and the observed stage.
+
+    With ``by`` each cohort has its own mixtures; those of both areas and all cohorts are fitted together.
+    """
     for out, labels in (("MTL", MEDIAL_LABELS), ("NEO", NEOCORTEX_LABELS)):
         pairs = [(TAU_COLUMNS[v], float(cell_counts[v])) for v in labels]
         df = df.withColumn(f"TAU/{out}_SUVR", weighted_mean(pairs, df.columns))
-        df = mixture_score(df, f"TAU/{out}_SUVR", f"TAU/{out}_Z")
+    df = mixture_scores(df, {f"TAU/{out}_SUVR": f"TAU/{out}_Z" for out in ("MTL", "NEO")}, by)
     return df.withColumn("TAU/stage_aa_gt", threshold_stage(named("TAU/MTL_Z"), named("TAU/NEO_Z")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import CohortModel, FactorModel, LogisticTopicClassifier, TopicClassifier, TopicModel
 from cohortloom.models import kernels
-from cohortloom.models.mixture import mixture_score, two_components
+from cohortloom.models.mixture import fit_mixtures, mixture_score, mixture_scores, two_components
 from cohortloom.models.pca import fit_components
 from cohortloom.plans.analysis import analyse_files, best_topic_count, infer_with_logistic, sweep_topics
 from cohortloom.operators.baseline import Baseline
@@ -148,6 +148,30 @@ def test_mixture_uses_the_lower_part(spark):
     assert mixture_score(df.filter("v is null"), "v", "z").columns == ["v"]
 
 
+def test_mixtures_of_groups_equal_single_fits(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    # a third of the rows in one group, a null group, a group of one value and one of equal values
+    for g, n, far in (("big", 400, 3.0), ("far", 150, 9.0), (None, 120, 5.0)):
+        a = np.concatenate([rng.normal(1, 0.2, n), rng.normal(far, 0.3, n // 2)])
+        rows += [(g, float(x), float(x * x)) for x in a]
+    rows += [("one", 1.0, None), ("same", 2.0, float("nan")), ("same", 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(3)
+    got = {(r["g"], r["score"], r["part"]): (r["mean"], r["std"], r["weight"]) for r in fit_mixtures(df, ["v", "w"], ["g"]).collect()}
+    assert {k[:2] for k in got} == {(g, s) for g in ("big", "far", None) for s in "vw"} | {("same", "v")}
+    for g, score in {k[:2] for k in got}:
+        alone = two_components(df.filter(F.col("g").eqNullSafe(F.lit(g))), score)
+        for part in (0, 1):
+            assert got[g, score, part] == pytest.approx(alone[part], rel=1e-9)
+    scored = mixture_scores(df, {"v": "v_z", "w": "w_z"}, ["g"]).toPandas()
+    assert len(scored) == len(rows) and list(scored.columns) == ["g", "v", "w", "v_z", "w_z"]
+    far = scored[scored["g"] == "far"]
+    assert far["v_z"].to_numpy() == pytest.approx((far["v"].to_numpy() - got["far", "v", 0][0]) / got["far", "v", 0][1])
+    assert scored.loc[scored["g"] == "one", "v_z"].isna().all() and scored.loc[scored["g"].isna(), "v_z"].notna().all()
+    none = fit_mixtures(df.limit(0), ["v"], ["g"])
+    assert none.columns == ["g", "score", "part", "mean", "std", "weight"] and none.count() == 0
+
+
 @pytest.mark.parametrize("kind", ["boosted", "forest"])
 def test_trees_beat_majority_and_reload(spark, planted, kind):
     df, _ = planted
