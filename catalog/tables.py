@@ -14,15 +14,51 @@ from cohortloom.operators.baseline import Baseline, clip_scores
 from cohortloom.plans.clinical import with_discordance
 from cohortloom.runtime import fresh_path
 from cohortloom.sources import tables as src
-
-CUSTOMER_SCHEMA = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
-
+from cohortloom.sources.typed import read_typed_csv
+from cohortloom.sources.versions import manifest, newest, write_version
 
 # ---- scans and sinks -------------------------------------------------------------
 @query("io1_csv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, d):
     path = src.write_csv(table(spark, d, "customer"), fresh_path(spark, "customer"))
-    return src.read_csv(spark, path, CUSTOMER_SCHEMA)
+    rows, _rejects = read_typed_csv(spark, path)
+    return rows.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+
+
+def _with_bad_cells(spark, d):
+    balance = F.when(F.col("c_custkey") % 97 == 0, F.concat(F.lit("bad "), "c_custkey")).otherwise(F.col("c_acctbal").cast("string"))
+    return src.write_csv(table(spark, d, "customer").withColumn("c_acctbal", balance), fresh_path(spark, "bad-customer"))
+
+
+@query(
+    "io1b_csv_rejects",
+    "SELECT 'c_acctbal' AS \"column\", 'bad ' || CAST(c_custkey AS VARCHAR) AS text FROM customer WHERE c_custkey % 97 = 0",
+)
+def _(spark, d):
+    # one cell in 97 is bad: types are inferred with room for a fiftieth
+    return read_typed_csv(spark, _with_bad_cells(spark, d), bad_share=0.02)[1].select("column", "text")
+
+
+@query(
+    "io1c_csv_rows_with_bad_cells",
+    "SELECT c_custkey, c_name, CASE WHEN c_custkey % 97 <> 0 THEN c_acctbal END AS c_acctbal FROM customer",
+)
+def _(spark, d):
+    return read_typed_csv(spark, _with_bad_cells(spark, d), bad_share=0.02)[0].select("c_custkey", "c_name", "c_acctbal")
+
+
+@query(
+    "io8b_versions_of_tables",
+    "SELECT 'orders' AS part, count(*) AS rows, count(*) AS read_back FROM orders UNION ALL "
+    "SELECT 'customer', count(*), count(*) FROM customer",
+)
+def _(spark, d):
+    path, names = fresh_path(spark, "versions"), ("customer", "orders")
+    for _ in range(2):
+        write_version(spark, path, {n: lambda p, n=n: src.write_parquet(table(spark, d, n), p) for n in names})
+    folder = newest(spark, path)
+    read = [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("part"), F.count("*").alias("read_back")) for n in names]
+    return manifest(spark, path).select("part", "rows").join(read[0].unionByName(read[1]), "part")
 
 
 @query("io2_csv_row_key", 'SELECT c_custkey AS "key", c_name, c_acctbal FROM customer')
