@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import string
 
 import numpy as np
 import pytest
@@ -94,6 +96,58 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert both.get((0, True), 0) <= 0.05 * both[0, False] and both.get((1, False), 0) <= 0.01 * both[1, True]
 
 
+def test_quality_pools_languages_without_trusted_text(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = documents(spark, sf).select("doc_id", "text", "lang")
+    taught = labels.join(known.filter("lang = 'es'"), "doc_id", "left_anti")
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+    junk = [(10**9 + k, " ".join(word() for _ in range(100)), (None, "zz")[k % 2]) for k in range(20)]
+    docs = known.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))).unionByName(spark.createDataFrame(junk, known.schema))
+    found = ngram.score(docs, taught).cache()
+    assert found.count() == docs.count() and found.filter("lang in ('und', 'zz') and threshold is null").count() == 0
+    kept = {r.doc_id for r in found.filter("kept").collect()}
+    assert not kept & {i for i, _, _ in junk}
+    good = {r.doc_id for r in labels.join(known.filter("lang = 'es'"), "doc_id").filter("quality = 1").collect()}
+    assert len(good) > 20 and good <= kept
+    # the languages that have trusted text are scored as without the others
+    alone = ngram.score(docs.filter("lang in ('de', 'en', 'fr')"), taught)
+    assert {(r.doc_id, r.kept) for r in alone.collect()} == {(r.doc_id, r.kept) for r in found.filter("lang in ('de', 'en', 'fr')").collect()}
+    found.unpersist()
+
+
+def test_small_languages_keep_their_trusted_text():
+    share = ngram.shares({0: 1_000_000, 1: 40, 2: 300, 3: 50_000}, 1000)
+    taken = {c: share[c] * n for c, n in {0: 1_000_000, 1: 40, 2: 300, 3: 50_000}.items()}
+    assert share[1] == 1.0 and share[2] == 1.0 and taken[0] == pytest.approx(330) and taken[3] == pytest.approx(330)
+    assert ngram.shares({0: 10, 1: 5}, 100) == {0: 1.0, 1: 1.0} and ngram.shares({}, 5) == {}
+
+
+def test_quality_thresholds_by_brute_force(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    rows = [r for r in ngram.score(docs, labels).collect() if r.n_symbols]
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang]
+        mean = {r.doc_id: math.log(r.perplexity) for r in mine}
+        trusted = [r for r in mine if r.doc_id in good]
+        if not trusted:
+            continue
+
+        def least(values, share):
+            values = sorted(round(v * ngram.SCALE) for v in values)
+            return values[math.ceil(share * len(values)) - 1] / ngram.SCALE
+
+        median = least([mean[r.doc_id] for r in trusted], 0.5)
+        drawn = {r.doc_id: (mean[r.doc_id] * r.n_symbols + ngram.PRIOR * median) / (r.n_symbols + ngram.PRIOR) for r in mine}
+        limit = least([drawn[r.doc_id] for r in trusted], 0.999) * 1.05
+        for r in mine:
+            assert math.log(r.threshold) == pytest.approx(limit, abs=2 / ngram.SCALE)
+            if abs(drawn[r.doc_id] - limit) > 2 / ngram.SCALE:
+                assert r.kept == (drawn[r.doc_id] <= limit)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "en", 5), (2, "", None, 6), (None, "some words here", "en", 7), (3, "a word " * 9000, "xx", 8), (3, "again", "en", 9)],
                                  "doc_id long, text string, lang string, total int")
