@@ -103,10 +103,9 @@ def _(spark, d):
     return rounded(st.paired_tests(fr.topic_weights(spark, d), "DX", TOPICS))
 
 
-# a stand-in p value from the t value, so that the adjustment can be checked in SQL
-FAKE_P = "exp(-2.0 * t * t)"
 ADJUSTED = (
-    TESTS + f", p AS (SELECT *, {FAKE_P} AS p FROM tests), k AS (SELECT *, row_number() OVER (PARTITION BY DX ORDER BY p, first, second) AS k, "
+    TESTS + ", tt AS (SELECT *, n - 1 AS dof FROM tests), " + p_sql("tt", "DX, first, second")
+    + ", p AS (SELECT DX, first, second, abs(p) AS p FROM tailed), k AS (SELECT *, row_number() OVER (PARTITION BY DX ORDER BY p, first, second) AS k, "
     "count(*) OVER (PARTITION BY DX) AS m FROM p), a AS (SELECT *, least(min(p * m / k) OVER (PARTITION BY DX ORDER BY k DESC "
     "ROWS UNBOUNDED PRECEDING), 1.0) AS p_adjusted FROM k)"
 )
@@ -114,7 +113,6 @@ ADJUSTED = (
 
 def _adjusted(spark, d):
     tests = st.paired_tests(fr.topic_weights(spark, d), "DX", TOPICS)
-    tests = tests.withColumn("p", F.exp(F.lit(-2.0) * F.col("t") * F.col("t")))
     return st.adjust_bh(tests, ["DX"], ["first", "second"]).select("DX", "first", "second", "p", "p_adjusted")
 
 

@@ -59,37 +59,46 @@ def fit_input(df: DataFrame, features: Sequence[str], nonnegative: bool = False)
 def sum_over_rows(
     x: DataFrame, length: int, step: Callable[[np.ndarray], np.ndarray], column: str = "x"
 ) -> np.ndarray:
-    """Sum ``step(batch)`` (a flat array of ``length``) over all batches.
+    """Sum ``step(batch)`` (a flat array of ``length``) over all batches."""
+    return fold_over_rows(x, length, step, lambda a, b: a + b, column)
+
+
+def fold_over_rows(
+    x: DataFrame, length: int, step: Callable[[np.ndarray], np.ndarray],
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray], column: str = "x"
+) -> np.ndarray:
+    """Merge ``step(batch)`` (a flat array of ``length``) of all batches; zeros if there are none.
 
     Every task emits one partial array. Up to ``DIRECT_PARTS`` of them with at
-    most ``DIRECT_BYTES`` in all are added on the driver; more are added in
+    most ``DIRECT_BYTES`` in all are merged on the driver; more are merged in
     tasks first, level by level, so the driver never holds more than that
     whatever the number of tasks (two at least, if one is that large).
     """
     from cohortloom.models.kernels import as_list_column, batch_matrix
 
-    def adding(name: str, add: Callable[[np.ndarray], np.ndarray]):
+    def merging(name: str, of: Callable[[np.ndarray], list]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(length)
-            seen = False
+            total = None
             for batch in batches:
-                if batch.num_rows:
-                    total += add(batch_matrix(batch, name))
-                    seen = True
-            if seen:
+                for part in of(batch_matrix(batch, name)) if batch.num_rows else []:
+                    total = part if total is None else merge(total, part)
+            if total is not None:
                 yield pa.RecordBatch.from_arrays([as_list_column(total[None, :])], names=["s"])
 
         return run
 
-    parts = x.select(column).mapInArrow(adding(column, step), "s array<double>")
+    parts = x.select(column).mapInArrow(merging(column, lambda m: [step(m)]), "s array<double>")
     count = getattr(x, "_part_count", None)
     if count is None:
         count = x._part_count = x.rdd.getNumPartitions()
     direct = max(2, min(DIRECT_PARTS, DIRECT_BYTES // (8 * max(length, 1))))
     while count > direct:
         count = -(-count // direct)
-        parts = parts.repartition(count).mapInArrow(adding("s", lambda m: m.sum(axis=0)), "s array<double>")
-    return batch_matrix(parts.toArrow().combine_chunks(), "s").reshape(-1, length).sum(axis=0)
+        parts = parts.repartition(count).mapInArrow(merging("s", list), "s array<double>")
+    total = np.zeros(length)
+    for k, part in enumerate(batch_matrix(parts.toArrow().combine_chunks(), "s").reshape(-1, length)):
+        total = part if k == 0 else merge(total, part)
+    return total
 
 
 def map_rows(
