@@ -17,6 +17,7 @@ from cohortloom.operators import baseline as bl
 from cohortloom.operators import joins as jn
 from cohortloom.operators import ranking as rk
 from cohortloom.operators import reshape as rs
+from cohortloom.sources.bucketed import by_subject
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SPECIAL_SEGMENTS = {"BUILDING": 40}
@@ -166,6 +167,18 @@ def _(spark, d):
     return rounded(jn.attach_predictions(raw, made, "o_orderkey").drop("SUBJ_ID", "DX_true"))
 
 
+@query(
+    "jn11b_prediction_join_back_by_subject",
+    f"WITH {PREDICTIONS} SELECT o.o_orderkey, o.o_totalprice, p.DX_pred, "
+    + ", ".join(f"{r('p.' + q(p))} AS {q(p)}" for p in PROBS)
+    + " FROM orders o LEFT JOIN predictions p ON o.o_orderkey = p.o_orderkey",
+)
+def _(spark, d):
+    made = by_subject(fr.predictions(spark, d).withColumnRenamed("o_orderkey", "SUBJ_ID"), "SUBJ_ID")
+    raw = by_subject(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return rounded(jn.attach_predictions(raw, made, "o_orderkey").drop("SUBJ_ID", "DX_true"))
+
+
 SLOT_SQL = {i: g for g, members in jn.LOBE_SLOTS.items() for i in members}
 LOBES = list(jn.LOBE_SLOTS)
 

@@ -130,6 +130,30 @@ def _(spark, d):
     return st.significant_only(_adjusted(spark, d)).select("DX", "first", "second", "code")
 
 
+PART_VALUES = {"discount": "CAST(l_discount AS DOUBLE)", "line": "l_linenumber / 80.0D", "tax": "CAST(l_tax AS DOUBLE)"}
+PART_PAIRS = [("discount", "line"), ("discount", "tax"), ("line", "tax")]
+
+
+@query(
+    "sg5b_significant_pairs_by_part",
+    "WITH v AS (SELECT l_partkey, " + ", ".join(f"{e.replace('80.0D', '80.0')} AS {n}" for n, e in PART_VALUES.items()) + " FROM lineitem), tests AS ("
+    + " UNION ALL ".join(
+        f"SELECT l_partkey, '{a}' AS first, '{b}' AS second, count(*) AS n, avg({a} - {b}) / (stddev_samp({a} - {b}) / sqrt(count(*))) AS t "
+        "FROM v GROUP BY l_partkey HAVING count(*) > 1 AND stddev_samp({a} - {b}) > 0".replace("{a}", a).replace("{b}", b)
+        for a, b in PART_PAIRS
+    )
+    + "), tt AS (SELECT *, n - 1 AS dof FROM tests), " + p_sql("tt", "l_partkey, first, second")
+    + ", p AS (SELECT l_partkey, first, second, abs(p) AS p FROM tailed), k AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY p, first, second) AS k, "
+    "count(*) OVER (PARTITION BY l_partkey) AS m FROM p), a AS (SELECT *, least(min(p * m / k) OVER (PARTITION BY l_partkey ORDER BY k DESC "
+    "ROWS UNBOUNDED PRECEDING), 1.0) AS p_adjusted FROM k) SELECT l_partkey, first, second, CASE WHEN p_adjusted <= 1e-4 THEN '****' "
+    "WHEN p_adjusted <= 1e-3 THEN '***' WHEN p_adjusted <= 1e-2 THEN '**' ELSE '*' END AS code FROM a WHERE p_adjusted <= 5e-2",
+)
+def _(spark, d):
+    values = table(spark, d, "lineitem").selectExpr("l_partkey", *[f"{e} AS {n}" for n, e in PART_VALUES.items()])
+    adjusted = st.adjust_bh(st.paired_tests(values, "l_partkey", list(PART_VALUES)), ["l_partkey"], ["first", "second"])
+    return st.significant_only(adjusted).select("l_partkey", "first", "second", "code")
+
+
 # ---- figure tables -------------------------------------------------------------------------
 PREDICTED = ", ".join(q(c) for c in STAGE_COLUMNS)
 PROFILES = (
