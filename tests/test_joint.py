@@ -1,7 +1,10 @@
 """Boosted trees in common passes, and resident blocks."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from cohortloom import TopicClassifier, TopicModel
@@ -133,3 +136,42 @@ def test_warm_posteriors_reach_the_same_optimum_when_settled(rows):
     df, _, _ = rows
     fits = [TopicModel(2, 5.0, 1.0, max_iter=40, posterior_tol=1e-10, posterior_steps=3000, warm=w).fit(df, NAMES) for w in (False, True)]
     assert np.abs(fits[0].normalised() - fits[1].normalised()).max() < 1e-6
+
+
+def test_sums_meet_in_tasks_and_the_driver_gets_splits(rows, monkeypatch):
+    df, _, _ = rows
+    model = TopicClassifier(n_splits=3, rounds=3, depth=5)
+    want = model.fit_and_cross_validate(df, NAMES, "DX", ["id"]).toPandas().set_index("id").sort_index()
+    taken, collect = [], RDD.collect
+
+    def seen(self):
+        found = collect(self)
+        taken.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(joint, "MODEL_ROWS", 40)
+    monkeypatch.setattr(RDD, "collect", seen)
+    got = model.fit_and_cross_validate(df, NAMES, "DX", ["id"]).toPandas().set_index("id").sort_index()
+    names = [f"P({c})" for c in model.classes]
+    assert got[names].to_numpy() == pytest.approx(want[names].to_numpy(), abs=1e-9)
+    # four models and three classes with 16 nodes at most; sums would have 3 features x 64 bins x 2 numbers a node
+    assert len(taken) > 10 and max(taken) < 4 * 3 * (16 * 7 * 8 + 400)
+
+
+def test_pieces_of_many_partitions_stand_in_order(spark):
+    df = spark.range(40).selectExpr("array(CAST(id AS DOUBLE)) AS x").repartition(5).cache()
+    state = Resident(df, lambda batch: batch_matrix(batch, "x")[:, 0])
+    whole = np.concatenate(state.blocks.collect())
+    state.deal(lambda b: (((int(o), int(o)), (int(o), b[b % 3 == o])) for o in range(3)), 3, lambda found: found)
+    for alone in (True, False):
+        sums = state.reduced(lambda b: np.array([[b[1].sum()], [len(b[1])]]), lambda b: b[0], lambda row: row * 2, 2, 3, alone)
+        assert {k: float(v[0]) for k, v in sums.items()} == {
+            (o, k): 2.0 * ((whole[whole % 3 == o]).sum() if k == 0 else (whole % 3 == o).sum()) for o in range(3) for k in range(2)}
+    state.drop()
+    df.unpersist()
+
+
+def test_topic_blocks_are_not_rewritten(rows, monkeypatch):
+    df, _, _ = rows
+    monkeypatch.setattr(Resident, "advance", lambda self, step: pytest.fail("the blocks of a cold fit don't change"))
+    assert TopicModel(2, 0.5, 0.5, max_iter=3).fit(df, NAMES).n_iter_ == 3
