@@ -124,6 +124,24 @@ def test_small_languages_keep_their_trusted_text():
     assert ngram.shares({0: 10, 1: 5}, 100) == {0: 1.0, 1: 1.0} and ngram.shares({}, 5) == {}
 
 
+def test_all_trusted_documents_train_the_models(spark, sf_dir, monkeypatch):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    labels = labels.join(docs.filter("lang is null"), "doc_id", "left_anti")
+
+    def found():
+        return {r.doc_id: (r.lang, r.n_symbols, r.perplexity, r.threshold, r.kept) for r in ngram.score(docs, labels).collect()}
+
+    monkeypatch.setattr(ngram, "shares", lambda sizes, bound: pytest.fail("the models are trained on a sample"))
+    few = found()
+    assert len(few) == docs.count() and any(r[0] == "und" and r[3] for r in few.values())
+    # more ids than are broadcast: the same by a shuffle, also with counts added up often
+    monkeypatch.setattr(ngram, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram, "PARTIAL_COUNTS", 1)
+    for key, row in found().items():
+        assert row[:2] == few[key][:2] and row[2:] == pytest.approx(few[key][2:], rel=1e-6, nan_ok=True)
+
+
 def test_quality_thresholds_by_brute_force(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
