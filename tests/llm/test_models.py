@@ -1,6 +1,7 @@
 """Classifiers, archives, vectors and the pipeline against brute force, held-out rows and round trips."""
 
 import hashlib
+import inspect
 import math
 import random
 import string
@@ -142,6 +143,20 @@ def test_all_trusted_documents_train_the_models(spark, sf_dir, monkeypatch):
         assert row[:2] == few[key][:2] and row[2:] == pytest.approx(few[key][2:], rel=1e-6, nan_ok=True)
 
 
+def test_quality_leaves_no_trusted_text_out_and_no_language_unjudged(spark):
+    assert "max_trusted" not in inspect.signature(ngram.score).parameters
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice(["the", "house", "stands", "near", "a", "river", "and", "people", "walk"]) for _ in range(60))
+    junk = lambda: "".join(rng.choice(string.ascii_lowercase + " ") for _ in range(300))
+    rows = [(k, line(), "en") for k in range(30)] + [(100, "", "fr"), (101, None, "fr"), (102, line(), "fr"), *[(110 + k, junk(), "fr") for k in range(5)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in [*range(30), 100, 101]], "doc_id long, quality int")
+    found = {r.doc_id: r for r in ngram.score(docs, labels).collect()}
+    # the good documents of fr have no text, so the pooled model judges it
+    assert all(found[k].threshold and not found[k].kept for k in range(110, 115))
+    assert all(found[k].kept for k in [*range(30), 100, 101, 102])
+
+
 def test_quality_thresholds_by_brute_force(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
