@@ -8,7 +8,7 @@ from pyspark import RDD
 from pyspark.sql import functions as F
 
 from cohortloom import TopicClassifier, TopicModel
-from cohortloom.models import joint
+from cohortloom.models import joint, kernels, lda
 from cohortloom.models.boosted import cross_validate_jointly
 from cohortloom.models.common import matrix_input
 from cohortloom.models.kernels import batch_matrix
@@ -175,3 +175,45 @@ def test_topic_blocks_are_not_rewritten(rows, monkeypatch):
     df, _, _ = rows
     monkeypatch.setattr(Resident, "advance", lambda self, step: pytest.fail("the blocks of a cold fit don't change"))
     assert TopicModel(2, 0.5, 0.5, max_iter=3).fit(df, NAMES).n_iter_ == 3
+
+
+def test_models_of_few_rows_make_their_passes_without_jobs(rows, monkeypatch):
+    df, _, _ = rows
+    made = lambda: [TopicModel(k, 1.0 / k, 1.0 / k, max_iter=m, tol=t) for k, m, t in ((2, 9, 0.0), (3, 40, 1e-2), (4, 5, 0.0))]
+    sums, total = [], Resident.total
+    monkeypatch.setattr(Resident, "total", lambda self, of, length: sums.append(length) or total(self, of, length))
+    few = fit_topics(df, NAMES, made())
+    # the perplexities only; a job for each pass would be many
+    assert sums == [6]
+    monkeypatch.setattr(lda, "ALONE_BYTES", 0)
+    for one, other in zip(few, fit_topics(df, NAMES, made())):
+        assert (one.n_iter_, one.converged_) == (other.n_iter_, other.converged_) and one.mass_ == pytest.approx(other.mass_)
+        assert one.components == pytest.approx(other.components) and one.perplexity_ == pytest.approx(other.perplexity_)
+    assert few[1].converged_ and len(sums) > 6
+
+
+def test_trees_of_few_rows_grow_in_one_task_and_are_the_same(rows, monkeypatch):
+    df, _, _ = rows
+    grown = lambda: TopicClassifier(n_splits=3, rounds=5, depth=4, bins=32, class_weight="balanced")
+    by_levels, in_tasks = grown(), grown()
+    with monkeypatch.context() as m:
+        m.setattr(joint, "MODEL_BYTES", 0)
+        want = by_levels.fit_and_cross_validate(df, NAMES, "DX", ["id"]).toPandas().set_index("id").sort_index()
+    monkeypatch.setattr(joint, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(Resident, "reduced", lambda *a: pytest.fail("a job for each level"))
+    got = in_tasks.fit_and_cross_validate(df, NAMES, "DX", ["id"]).toPandas().set_index("id").sort_index()
+    assert got.equals(want) or got.drop(columns=["DX_true", "DX_pred"]).to_numpy() == pytest.approx(want.drop(columns=["DX_true", "DX_pred"]).to_numpy())
+    for name, value in vars(by_levels.models[0]).items():
+        if name != "cuts":
+            assert np.asarray(vars(in_tasks.models[0])[name]) == pytest.approx(np.asarray(value)), name
+    # and quantiles are those of Spark, missing values left out
+    cuts = joint.quantile_cuts(df, NAMES, 16)
+    plain = df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(NAMES)])
+    found = plain.approxQuantile(plain.columns, [i / 16 for i in range(1, 16)], 0.1 / 16)
+    assert all(np.array_equal(c, np.unique(f)) for c, f in zip(cuts, found))
+
+
+def test_weights_equal_the_digamma_of_the_definition():
+    x = np.geomspace(1e-2, 1e4, 500).reshape(2, 250)
+    made = kernels.exp_digamma(x, *[np.empty_like(x) for _ in range(4)])
+    assert np.log(made) == pytest.approx(kernels.digamma(x), rel=1e-9, abs=1e-9)
